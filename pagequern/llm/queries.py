@@ -9,12 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import spread, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .sentences import paragraphs, sentence_units
+
+    articles = table(spark, d, "articles")
+    told = articles.where(F.col("description").isNotNull()).select("page_id", F.lit("description").alias("field_name"), F.lit(0).alias("block_no"), F.col("description").alias("text"))
+    probed = articles.select("page_id", "clean_html").join(table(spark, d, "probe_pages"), "page_id", "left_semi")
+    inside = paragraphs(spread(probed.distinct())).select("page_id", F.lit("clean_html").alias("field_name"), "block_no", "text")
+    return sentence_units(told.distinct()).unionByName(sentence_units(inside))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .lookalike import same_look_pairs
 
     return same_look_pairs(table(spark, d, "articles").select("page_id", "title", "description"), "page_id", ["title", "description"])
 
 
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    from .language import language_segments
+
+    return language_segments(spread(table(spark, d, "articles").select("page_id", "language", "description")), table(spark, d, "lang_samples"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .language import wrong_or_mixed
+
+    return wrong_or_mixed(p5_segments(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from .leak import leaked_items
 
