@@ -39,6 +39,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return wrong_or_mixed(p5_segments(spark, d))
 
 
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from .encoding import affected
+
+    return affected(spread(table(spark, d, "articles").select("page_id", "title", "clean_html")), table(spark, d, "lang_samples"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_repaired(spark, d).select("page_id", "field_name").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from .leak import leaked_items
 
