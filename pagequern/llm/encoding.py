@@ -33,6 +33,7 @@ PAIRS = [
     ("cp874", "cp1252"), ("cp874", "latin-1"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("mac_roman", "latin-1"), ("cp437", "cp1252"),
     ("cp437", "latin-1"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp1250"), ("cp1254", "cp1252"), ("iso8859_9", "latin-1"), ("cp1252", "utf-8"), ("cp1251", "utf-8"), ("cp932", "utf-8"), ("gb18030", "utf-8"),
 ]
+SINGLE_BYTE = {"cp1251", "koi8_r", "cp866", "cp1252", "cp1254", "iso8859_9", "mac_roman", "cp437", "cp874"}
 ENTER, LEAVE = 1e-6, 1e-3
 ALPHA = 2.0
 BATCH_TEXTS = 1500
@@ -290,7 +291,7 @@ def repair(model: Model, texts: list[str]) -> list[tuple[int, str, str, bool, st
             if disguised(span):
                 continue
             pair = model.pairs[s - 1]
-            if not pair[0].startswith("utf-8") and apart(t, a, b):
+            if pair[0] in SINGLE_BYTE and "\ufffd" not in span and apart(t, a, b):
                 continue
             fixed, whole = undo(span, pair)
             if fixed is None:  # a sibling of the state's pair
