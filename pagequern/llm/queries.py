@@ -27,6 +27,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(table(spark, d, "articles").select("page_id", "title", "description"), "page_id", ["title", "description"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .markup import shown_markup
+
+    return shown_markup(spread(table(spark, d, "articles").select("page_id", "clean_html")))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    from .markup import clean_bodies
+
+    return clean_bodies(spread(table(spark, d, "articles").select("page_id", "clean_html")))
+
+
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     from .language import language_segments
 
@@ -49,6 +61,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_repaired(spark, d).select("page_id", "field_name").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .templates import residue
+
+    return residue(spread(table(spark, d, "articles").select("page_id", "site", "title", "clean_html")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from .leak import leaked_items
 
