@@ -389,7 +389,7 @@ def affected(articles, samples, fields=("title", "clean_html")):
     long = articles.select(
         F.col("page_id").cast("long"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")
     ).select("page_id", "x.field_name", "x.value")
-    long = long.where(F.col("value").rlike(r"[^\x00-\x7f]")).distinct()
+    long = long.where(F.col("value").rlike(r"[^\x00-\x7f]"))
 
     def run(pdfs):
         for pdf in pdfs:
@@ -402,4 +402,4 @@ def affected(articles, samples, fields=("title", "clean_html")):
                     "read": [g[2] for g in got], "restored": [g[3] for g in got], "original": [g[4] for g in got],
                 })
 
-    return long.mapInPandas(run, "page_id long, field_name string, written string, read string, restored boolean, original string")
+    return long.mapInPandas(run, "page_id long, field_name string, written string, read string, restored boolean, original string").distinct()

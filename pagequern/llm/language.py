@@ -183,7 +183,7 @@ def language_segments(articles, samples):
     from pyspark.sql import functions as F
 
     profiles = fit(samples)
-    a = articles.select(F.col("page_id").cast("long"), F.col("language").alias("label"), "description").where("description IS NOT NULL").distinct()
+    a = articles.select(F.col("page_id").cast("long"), F.col("language").alias("label"), "description").where("description IS NOT NULL")
 
     def run(pdfs):
         for pdf in pdfs:
@@ -194,7 +194,7 @@ def language_segments(articles, samples):
             out["label"] = pdf["label"].to_numpy()[out["row"]] if len(out) else pd.Series(dtype="object")
             yield out[["page_id", "label", "segment_no", "segment", "lang", "confidence", "main_lang", "main_confidence"]]
 
-    return a.mapInPandas(run, "page_id long, label string, segment_no int, segment string, lang string, confidence double, main_lang string, main_confidence double")
+    return a.mapInPandas(run, "page_id long, label string, segment_no int, segment string, lang string, confidence double, main_lang string, main_confidence double").distinct()
 
 
 def wrong_or_mixed(segs):

@@ -17,8 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles")
     told = articles.where(F.col("description").isNotNull()).select("page_id", F.lit("description").alias("field_name"), F.lit(0).alias("block_no"), F.col("description").alias("text"))
     probed = articles.select("page_id", "clean_html").join(table(spark, d, "probe_pages"), "page_id", "left_semi")
-    inside = paragraphs(spread(probed.distinct())).select("page_id", F.lit("clean_html").alias("field_name"), "block_no", "text")
-    return sentence_units(told.distinct()).unionByName(sentence_units(inside))
+    inside = paragraphs(spread(probed)).select("page_id", F.lit("clean_html").alias("field_name"), "block_no", "text")
+    return sentence_units(told).unionByName(sentence_units(inside)).distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .boilerplate import unwanted_blocks
+
+    return unwanted_blocks(spread(table(spark, d, "pages").select("page_id", "html")), spread(table(spark, d, "articles").select("page_id", "clean_html")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -200,7 +200,7 @@ def residue(articles, share: float = RECURRENT_SHARE, least: int = RECURRENT_PAG
     """
     from pyspark.sql import functions as F
 
-    a = articles.select(F.col("page_id").cast("long"), "site", "title", "clean_html").distinct()
+    a = articles.select(F.col("page_id").cast("long"), "site", "title", "clean_html")
 
     def run(pdfs):
         for pdf in pdfs:
