@@ -93,5 +93,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def _truncation(spark: SparkSession, d: str):
+    from .truncation import Truncation
+
+    return Truncation(spread(table(spark, d, "documents").select("doc_id", "source", "text", "cells")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncation(spark, d).found()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _truncation(spark, d).by_source()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
