@@ -1,19 +1,499 @@
-"""Queries over the reference operators, and the SQL they are checked against."""
+"""Queries over the reference operators, each with the SQL it is checked against.
+
+A query without SQL is one whose result SQL cannot state (parsing, lenient
+decoding, the whole pipeline).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as X
+from ..functions import summary as S
+from ..functions import text as T
+from ..functions import voting
+from ..operators import article, decoding, dom, scoring
+from ..sources.tables import spread, table
+from . import sql as Q
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
 
 
-def article_extract(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(fn):
+        _queries[fn.__name__] = fn
+        if sql:
+            _sql[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, columns)
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", "html").distinct()
+
+
+def _articles(spark, d, *columns):
+    return table(spark, d, "articles").select("page_id", *columns).distinct()
+
+
+def _nodes(spark, d):
+    return dom.nodes_of(table(spark, d, "nodes"))
+
+
+# ------------------------------------------------------------ sources, charsets
+@query("SELECT DISTINCT page_id, url, length(html) AS html_length FROM pages")
+def page_scan(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", F.length("html").cast("long").alias("html_length")).distinct()
+
+
+@query(f"SELECT DISTINCT page_id, status, CASE WHEN status NOT IN ({', '.join(map(str, X.GOOD_STATUS))}) THEN 'HTTP error. Status: ' || status END AS error_msg FROM raw_pages")
+def http_status_error(spark, d):
+    return table(spark, d, "raw_pages").select("page_id", "status", T.status_error(F.col("status")).alias("error_msg")).distinct()
+
+
+@query(f"SELECT name, {Q.charset_alias('name')} AS charset, count(*) AS n FROM (SELECT page_charset AS name FROM articles UNION ALL SELECT header_charset FROM raw_pages) WHERE name IS NOT NULL GROUP BY 1, 2")
+def charset_alias(spark, d):
+    names = table(spark, d, "articles").select(F.col("page_charset").alias("name")).unionAll(table(spark, d, "raw_pages").select("header_charset"))
+    return names.where("name IS NOT NULL").groupBy("name", T.charset_alias(F.col("name")).alias("charset")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT page_id, coalesce({Q.charset_alias("nullif(m1, '')")}, {Q.charset_alias("nullif(m2, '')")}) AS charset, (m1 <> '')::INT + (m2 <> '')::INT AS declared FROM (
+    SELECT DISTINCT page_id, regexp_extract(html, '<meta[^>]*?[ \\t\\r\\n]charset=["'']?([^"''>;/ ]+)', 1) AS m1,
+    regexp_extract(html, '<meta[^>]*?http-equiv=["'']?[cC][oO][nN][tT][eE][nN][tT]-[tT][yY][pP][eE]["'']?[^>]*?content=["''][^"''>]*?charset=([^"''>; ]+)', 1) AS m2 FROM pages WHERE html IS NOT NULL)"""
+)
+def page_charset(spark, d):
+    p = _pages(spark, d).where("html IS NOT NULL").select("page_id", T.declared_charsets(F.col("html")).alias("c")).distinct()
+    return p.select("page_id", F.try_element_at("c", F.lit(1)).alias("charset"), F.size("c").alias("declared"))
+
+
+@query(
+    """SELECT p.page_id, coalesce(l.href, p.url) AS canonical_url FROM (SELECT DISTINCT page_id, url FROM pages) p LEFT JOIN (
+    SELECT page_id, arg_min(attrs['href'], node_id) AS href FROM nodes WHERE tag = 'link' AND trim(attrs['rel']) = 'canonical' AND attrs['href'] IS NOT NULL GROUP BY page_id) l ON p.page_id = l.page_id"""
+)
+def page_canonical(spark, d):
+    links = table(spark, d, "nodes").where((F.col("tag") == "link") & (T.collapse(F.col("attrs")["rel"]) == "canonical") & F.col("attrs")["href"].isNotNull())
+    href = links.groupBy("page_id").agg(F.min_by(F.col("attrs")["href"], "node_id").alias("href"))
+    return table(spark, d, "pages").select("page_id", "url").distinct().join(href, "page_id", "left").select("page_id", F.coalesce("href", "url").alias("canonical_url"))
+
+
+@query()
+def decoded_pages(spark, d):
+    return decoding.decode_pages(spread(table(spark, d, "raw_pages")))
+
+
+@query()
+def detected_charset(spark, d):
+    raw = spread(table(spark, d, "raw_pages").select("page_id", "body").where("length(body) > 0"))
+    return raw.select("page_id", F.pandas_udf(lambda s: s.map(lambda b: decoding.detect(bytes(b))), "string")("body").alias("charset")).distinct()
+
+
+# ------------------------------------------------------------ scalar text
+@query(f"SELECT doc_id, length({Q.clean('text')}) AS clean_length FROM documents WHERE text IS NOT NULL")
+def text_clean_length(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.clean_length(F.col("text")).cast("long").alias("clean_length"))
+
+
+@query(f"SELECT DISTINCT page_id, {Q.norm_title('title')} AS normalized FROM articles WHERE title IS NOT NULL")
+def title_normalized(spark, d):
+    return _articles(spark, d, "title").where("title IS NOT NULL").select("page_id", T.norm_title(F.col("title")).alias("normalized")).distinct()
+
+
+@query(
+    f"""SELECT page_id, kind, {Q.cleaned_title('raw')} AS cleaned FROM (SELECT DISTINCT page_id, title, kind, prefix || title || suffix AS raw FROM articles,
+    (VALUES (1, '', ''), (2, '12.05.2015  ', ' |'), (3, '12-05 ', ' —'), (4, '... ', ' « »')) v(kind, prefix, suffix) WHERE title IS NOT NULL)"""
+)
+def title_cleaned(spark, d):
+    v = F.broadcast(values(spark, "kind int, prefix string, suffix string", [(1, "", ""), (2, "12.05.2015  ", " |"), (3, "12-05 ", " —"), (4, "... ", " « »")]))
+    a = _articles(spark, d, "title").where("title IS NOT NULL").crossJoin(v)  # four fixed rows
+    return a.select("page_id", "kind", T.cleaned_title(F.concat("prefix", "title", "suffix")).alias("cleaned"))
+
+
+@query(f"SELECT DISTINCT page_id, md5({Q.clean_entities('clean_html')}) AS unescaped FROM articles WHERE clean_html IS NOT NULL")
+def entity_clean(spark, d):
+    return _articles(spark, d, "clean_html").where("clean_html IS NOT NULL").select("page_id", F.md5(T.clean_entities(F.col("clean_html"))).alias("unescaped"))
+
+
+@query(f"SELECT DISTINCT page_id, {Q.collapse(Q.clean_entities(Q.replace(Q.replace('description', 'Â' + chr(160), ' '), chr(160), ' ')))} AS cleaned FROM articles WHERE description IS NOT NULL")
+def description_clean(spark, d):
+    return _articles(spark, d, "description").where("description IS NOT NULL").select("page_id", T.clean_description(F.col("description")).alias("cleaned")).distinct()
+
+
+@query(f"SELECT DISTINCT page_id, array_to_string({Q.grams(Q.norm_title('title'))}, '|') AS grams FROM articles WHERE title IS NOT NULL")
+def title_grams(spark, d):
+    return _articles(spark, d, "title").where("title IS NOT NULL").select("page_id", F.array_join(T.grams(T.norm_title(F.col("title"))), "|").alias("grams")).distinct()
+
+
+@query()
+def title_shingles(spark, d):
+    return _articles(spark, d, "title").where("title IS NOT NULL").select("page_id", T.shingles(T.norm_title(F.col("title"))).alias("shingles"))
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, title, lead(title) OVER (ORDER BY page_id) AS other FROM (SELECT DISTINCT page_id, title FROM articles WHERE title IS NOT NULL)),
+    g AS (SELECT page_id, {Q.grams(Q.norm_title('title'))} AS a, {Q.grams(Q.norm_title('other'))} AS b FROM t WHERE other IS NOT NULL)
+    SELECT page_id, round(200.0 * len(list_filter(a, lambda x: list_contains(b, x))) / nullif(len(a) + len(b), 0), 6) AS similarity FROM g"""
+)
+def title_similarity(spark, d):
+    t = _articles(spark, d, "title").where("title IS NOT NULL").withColumn("bucket", F.floor(F.col("page_id") / 100000))
+    # the next title by id: within blocks of ids, so no task holds all titles; a block's last meets the next block's first
+    w = Window.partitionBy("bucket").orderBy("page_id")
+    firsts = t.groupBy((F.col("bucket")).alias("b")).agg(F.min_by("title", "page_id").alias("first"))
+    nexts = firsts.select("b", F.lead("first").over(Window.orderBy("b")).alias("follow"))  # one row a block
+    x = t.withColumn("in_block", F.lead("title").over(w)).join(F.broadcast(nexts), t["bucket"] == nexts["b"], "left")
+    x = x.withColumn("other", F.coalesce("in_block", "follow")).where("other IS NOT NULL")
+    sim = T.similarity(T.shingles(T.norm_title(F.col("title"))), T.shingles(T.norm_title(F.col("other"))))
+    return x.select("page_id", F.round(sim, 6).alias("similarity"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT page_id, node_id, tag, text FROM nodes),
+    t AS (SELECT page_id, {Q.strip('text')} AS title FROM n WHERE tag = 'title' AND text IS NOT NULL AND length(text) > 0),
+    b AS (SELECT page_id, min(node_id) AS body FROM n WHERE tag = 'body' GROUP BY 1),
+    c AS (SELECT n.page_id, n.node_id, {Q.strip('n.text')} AS cand, t.title FROM n JOIN t ON n.page_id = t.page_id JOIN b ON n.page_id = b.page_id WHERE n.node_id >= b.body AND n.text IS NOT NULL),
+    g AS (SELECT page_id, node_id, cand, {Q.grams(Q.norm_title('title'))} AS a, {Q.grams(Q.norm_title('cand'))} AS b FROM c WHERE length(cand) > 0 AND length(cand) <= length(title)),
+    s AS (SELECT page_id, node_id, cand, round(200.0 * len(list_filter(a, lambda x: list_contains(b, x))) / nullif(len(a) + len(b), 0), 6) AS sim FROM g),
+    k AS (SELECT page_id, arg_max(cand, struct_pack(s := sim, n := node_id)) AS best, max(sim) AS sim FROM s WHERE sim >= 50 GROUP BY page_id)
+    SELECT t.page_id, {Q.cleaned_title('coalesce(k.best, t.title)')} AS title, coalesce(k.sim, 100.0)::DOUBLE AS similarity FROM t LEFT JOIN k ON t.page_id = k.page_id"""
+)
+def title_best(spark, d):
+    n = _nodes(spark, d).select("page_id", "node_id", "tag", "text")
+    t = n.where("tag = 'title' AND length(text) > 0").select("page_id", T.strip(F.col("text")).alias("title"))
+    b = n.where("tag = 'body'").groupBy("page_id").agg(F.min("node_id").alias("body"))
+    c = n.where("text IS NOT NULL").join(t, "page_id").join(b, "page_id").where("node_id >= body").withColumn("cand", T.strip(F.col("text"))).where("length(cand) > 0 AND length(cand) <= length(title)")
+    sim = F.round(T.similarity(T.shingles(T.norm_title(F.col("title"))), T.shingles(T.norm_title(F.col("cand")))), 6)
+    k = c.withColumn("sim", sim).where("sim >= 50").groupBy("page_id").agg(F.max_by("cand", F.struct("sim", "node_id")).alias("best"), F.max("sim").alias("sim"))
+    return t.join(k, "page_id", "left").select("page_id", T.cleaned_title(F.coalesce("best", "title")).alias("title"), F.coalesce("sim", F.lit(100.0)).alias("similarity"))
+
+
+# ------------------------------------------------------------ weights and rules
+WORDS = [("content-main",), ("my-content",), ("Comment",), ("contact",), ("post footer",), ("sidebar",), ("sidebar main",), ("brand-menu",), ("MAIN",), ("main-x",), ("tag-div",), ("",), ("media article",)]
+
+
+@query(
+    f"""SELECT DISTINCT page_id, node_id, {Q.vocabulary_weight("coalesce(attrs['class'], '')")} + {Q.vocabulary_weight("coalesce(attrs['id'], '')")} AS weight, {Q.tag_score('tag')} AS tag_score FROM nodes"""
+)
+def class_weight(spark, d):
+    n = _nodes(spark, d)
+    return n.select("page_id", "node_id", T.class_weight(F.col("tag"), F.col("attrs")["class"], F.col("attrs")["id"]).alias("weight"), T.tag_score(F.col("tag")).alias("tag_score"))
+
+
+@query(f"SELECT word, {Q.vocabulary_weight('word')} AS weight, CASE WHEN regexp_matches(word, '^(?:main|co\\.)') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(word, '^(?:brand)') THEN 25 ELSE 0 END AS keywords FROM (VALUES {', '.join(repr(w) if w[0] else '(' + repr('') + ')' for w in WORDS).replace(',)', ')')}) v(word)")
+def keyword_weight(spark, d):
+    v = values(spark, "word string", WORDS)
+    return v.select("word", T.vocabulary_weight(F.col("word")).alias("weight"), T.keyword_weight(F.col("word"), T.compile_keywords("Main,co."), T.compile_keywords(["Brand"])).alias("keywords"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT page_id, node_id, end_id, tag, attrs FROM nodes), u AS (SELECT * FROM n WHERE {Q.unlikely("attrs['class']", "attrs['id']", 'tag')})
+    SELECT n.page_id, count(*) AS kept FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.page_id = n.page_id AND n.node_id BETWEEN u.node_id AND u.end_id) GROUP BY 1"""
+)
+def unlikely_dropped(spark, d):
+    n = _nodes(spark, d)
+    roots = n.where(T.unlikely(F.col("attrs")["class"], F.col("attrs")["id"], F.col("tag")))
+    return dom.drop_subtrees(n, roots).groupBy("page_id").agg(F.count("*").alias("kept"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT page_id, node_id, end_id, tag, attrs FROM nodes), u AS (SELECT * FROM n WHERE tag IN ('script', 'style', 'link', {', '.join(repr(x) for x in X.STRIPPED)}) OR regexp_matches(coalesce(attrs['class'], ''), '{X.USELESS_CLASS}'))
+    SELECT n.page_id, n.tag, count(*) AS kept FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.page_id = n.page_id AND n.node_id BETWEEN u.node_id AND u.end_id) GROUP BY 1, 2"""
+)
+def stripped_dropped(spark, d):
+    n = _nodes(spark, d)
+    roots = n.where(F.col("tag").isin("script", "style", "link", *X.STRIPPED) | F.coalesce(F.col("attrs")["class"].rlike(X.USELESS_CLASS), F.lit(False)))
+    return dom.drop_subtrees(n, roots).groupBy("page_id", "tag").agg(F.count("*").alias("kept"))
+
+
+@query(
+    """SELECT page_id, arg_min(node_id, struct_pack(r := r, n := node_id)) AS node_id FROM (SELECT DISTINCT page_id, node_id,
+    CASE WHEN tag = 'body' THEN 0 WHEN tag = 'article' THEN 1 WHEN attrs['itemprop'] = 'articleBody' THEN 2 END AS r FROM nodes) WHERE r IS NOT NULL GROUP BY page_id"""
+)
+def page_scope(spark, d):
+    return dom.scope(_nodes(spark, d))
+
+
+@query("SELECT page_id, tag, count(*) AS n, min(node_id) AS first_id, max(node_id) AS last_id FROM (SELECT DISTINCT page_id, node_id, tag FROM nodes) WHERE tag IN ('p', 'pre', 'td') GROUP BY 1, 2")
+def tag_streams(spark, d):
+    n = _nodes(spark, d).where(F.col("tag").isin("p", "pre", "td"))
+    return n.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
+
+
+PARAGRAPHS = Q.content("p", "tag IN ('p', 'pre', 'td') AND parent_id IS NOT NULL")
+
+
+@query(f"WITH {Q.NODES}, {PARAGRAPHS} SELECT page_id, node_id, length(c) AS cleaned_length, round({Q.paragraph_score('c')}, 6) AS score FROM (SELECT page_id, node_id, {Q.clean('content')} AS c FROM p) WHERE length(c) >= 25")
+def paragraph_score(spark, d):
+    return scoring.paragraphs(_nodes(spark, d)).select("page_id", "node_id", F.length("cleaned").cast("long").alias("cleaned_length"), F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {Q.NODES}, {Q.content('c', "tag IN ('p', 'div', 'ul', 'nav', 'aside', 'footer')")}, {Q.content('a', "tag = 'a'")},
+    l AS (SELECT e.page_id, e.node_id, sum(length({Q.clean('a.content')})) AS n FROM n e JOIN a ON a.page_id = e.page_id AND a.node_id > e.node_id AND a.node_id <= e.end_id GROUP BY 1, 2)
+    SELECT c.page_id, c.node_id, length({Q.clean('c.content')}) AS length, coalesce(l.n, 0)::BIGINT AS link_length, round(coalesce(l.n, 0) / greatest(length({Q.clean('c.content')}), 1), 6) AS density
+    FROM c LEFT JOIN l ON c.page_id = l.page_id AND c.node_id = l.node_id"""
+)
+def link_density(spark, d):
+    n = _nodes(spark, d)
+    x = dom.link_density(n, n.where(F.col("tag").isin("p", "div", "ul", "nav", "aside", "footer")))
+    return x.select("page_id", "node_id", F.col("length").cast("long").alias("length"), F.col("link_length").cast("long").alias("link_length"), F.round("density", 6).alias("density"))
+
+
+@query(Q.CANDIDATES + " SELECT page_id, node_id, round(score, 4) AS content_score FROM s")
+def candidate_score(spark, d):
+    return scoring.candidates(_nodes(spark, d)).select("page_id", "node_id", F.round("content_score", 4).alias("content_score"))
+
+
+@query(Q.CANDIDATES + " SELECT page_id, node_id, round(score, 4) AS content_score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 6) DESC, tag_rank, first_p, grand) AS r FROM s) WHERE r = 1")
+def best_candidate(spark, d):
+    return scoring.best(scoring.candidates(_nodes(spark, d))).select("page_id", "node_id", F.round("content_score", 4).alias("content_score"))
+
+
+@query(
+    f"""WITH {Q.NODES}, {Q.content('c', "tag IN ('p', 'div', 'ul', 'table', 'h2', 'blockquote')")}, x AS (SELECT n.page_id, n.node_id, n.parent_id, n.child_idx, length({Q.clean('c.content')}) AS len FROM n JOIN c USING (page_id, node_id))
+    SELECT page_id, node_id, coalesce(last_value(nullif(len, 0) IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(first_value(nullif(len, 0) IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS around
+    FROM x WINDOW w AS (PARTITION BY page_id, parent_id ORDER BY child_idx)"""
+)
+def sibling_lengths(spark, d):
+    n = _nodes(spark, d)
+    roots = n.where(F.col("tag").isin("p", "div", "ul", "table", "h2", "blockquote"))
+    x = dom.text_content(n, roots).select("page_id", "node_id", T.clean_length(F.col("content")).alias("length")).join(n.select("page_id", "node_id", "parent_id", "child_idx"), ["page_id", "node_id"])
+    return dom.sibling_lengths(x).select("page_id", "node_id", F.col("around").cast("long").alias("around"))
+
+
+COUNTED = ["p", "img", "li", "a", "embed", "input"]
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT page_id, node_id, end_id, tag FROM nodes) SELECT e.page_id, e.node_id, {', '.join(f"count(*) FILTER (x.tag = '{t}') AS {t}" for t in COUNTED)}
+    FROM n e LEFT JOIN n x ON x.page_id = e.page_id AND x.node_id > e.node_id AND x.node_id <= e.end_id WHERE e.tag IN ('table', 'ul', 'div') GROUP BY 1, 2"""
+)
+def container_counts(spark, d):
+    n = _nodes(spark, d)
+    return dom.child_counts(n, n.where(F.col("tag").isin("table", "ul", "div")), COUNTED)
+
+
+RULES = [(1, "div", 3, 4, 0, 0, 0, 100, 0, 0.0), (2, "div", 0, 4, 0, 0, 0, 100, 0, 0.0), (3, "div", 3, 0, 0, 0, 1, 100, 0, 0.0), (4, "ul", 1, 0, 102, 0, 0, 100, 0, 0.21), (5, "div", 1, 1, 102, 0, 0, 100, 25, 0.5), (6, "div", 1, 2, 0, 1, 0, 70, 25, 0.51), (7, "table", 2, 0, 0, 2, 2, 24, -25, 0.2), (8, "div", 5, 1, 0, 0, 0, 24, 0, 0.0)]
+
+
+@query(
+    f"""SELECT id, ((p > 0 AND img > p) OR input > p / 3.0) AS by_counts, ((weight < 25 AND density > 0.2) OR (weight >= 25 AND density > 0.5)) AS by_density,
+    ((p > 0 AND img > p) OR input > p / 3.0 OR (weight < 25 AND density > 0.2) OR (weight >= 25 AND density > 0.5) OR (li - 100 > p AND tag NOT IN ('ul', 'ol')) OR (len < 25 AND (img = 0 OR img > 2)) OR (embed = 1 AND len < 75) OR embed > 1) AS removed
+    FROM (VALUES {', '.join(map(repr, RULES))}) v(id, tag, p, img, li, embed, input, len, weight, density)"""
+)
+def removal_rules(spark, d):
+    v = values(spark, "id int, tag string, p int, img int, li int, embed int, input int, len int, weight int, density double", RULES)
+    c = F.col
+    return v.select("id", T.counts_rule(c("p"), c("img"), c("input")).alias("by_counts"), T.density_rule(c("weight"), c("density")).alias("by_density"), T.removal_rule(c("tag"), c("p"), c("img"), c("li"), c("embed"), c("input"), c("len"), c("weight"), c("density")).alias("removed"))
+
+
+SIBLINGS = [(1, "p", None, 50.0, "Short. ", 0.0), (2, "p", None, 50.0, "Short", 0.0), (3, "p", None, 50.0, "x" * 81, 0.25), (4, "p", None, 50.0, "x" * 81, 0.24), (5, "div", 10.0, 40.0, "", 0.9), (6, "div", 9.9, 40.0, "", 0.0), (7, "div", 15.0, 100.0, "", 0.0), (8, "p", None, 50.0, None, 0.0)]
+
+
+@query(
+    f"""SELECT id, (coalesce(score >= greatest(10, best * 0.2), false) OR (tag = 'p' AND ((length(coalesce(direct, '')) > 80 AND density < 0.25) OR (length(coalesce(direct, '')) <= 80 AND density = 0 AND regexp_matches(coalesce(direct, ''), '\\.( |$)'))))) AS appended
+    FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in SIBLINGS)}) v(id, tag, score, best, direct, density)"""
+)
+def sibling_filter(spark, d):
+    v = values(spark, "id int, tag string, score double, best double, direct string, density double", SIBLINGS)
+    c = F.col
+    return v.select("id", T.appendable(c("tag"), c("score"), c("best"), c("direct"), c("density")).alias("appended"))
+
+
+# ------------------------------------------------------------ images
+@query(
+    f"""SELECT DISTINCT n.page_id, n.node_id, CASE WHEN attrs['src'] LIKE 'http%' THEN attrs['src'] ELSE regexp_extract(p.url, '^(https?://[^/?#]*)', 1) || attrs['src'] END AS image_url, coalesce(try_cast(attrs['width'] AS INT), 0) AS width, coalesce(try_cast(attrs['height'] AS INT), 0) AS height
+    FROM nodes n JOIN pages p ON n.page_id = p.page_id WHERE tag = 'img' AND attrs['src'] LIKE '/%'"""
+)
+def image_src(spark, d):
+    n = _nodes(spark, d).where("tag = 'img'").where(F.col("attrs")["src"].startswith("/")).join(table(spark, d, "pages").select("page_id", "url").distinct(), "page_id")
+    w, h = T.image_size(F.col("attrs")["width"], F.col("attrs")["height"])
+    url = T.image_url(F.col("attrs")["src"], F.col("attrs")["srcset"], F.array().cast("array<string>"), F.col("url"))
+    return n.select("page_id", "node_id", url.alias("image_url"), w.alias("width"), h.alias("height"))
+
+
+@query(
+    """SELECT page_id, arg_max(src, struct_pack(a := w::BIGINT * h, n := -node_id)) AS image_path, max(w::BIGINT * h) AS area FROM (SELECT DISTINCT page_id, node_id, attrs['src'] AS src, try_cast(attrs['width'] AS INT) AS w, try_cast(attrs['height'] AS INT) AS h FROM nodes WHERE tag = 'img')
+    WHERE w >= 580 AND h >= 250 AND greatest(w, h)::DOUBLE / least(w, h) <= 3 AND NOT regexp_matches(src, '.gif|.ico|twitter.jpg|share|social|logo|/ads.|/ads/|button|notification|empty') AND regexp_matches(src, '.jpg|.jpeg|.png') GROUP BY page_id"""
+)
+def image_best(spark, d):
+    n = _nodes(spark, d).where("tag = 'img'")
+    w, h = T.image_size(F.col("attrs")["width"], F.col("attrs")["height"])
+    x = n.select("page_id", "node_id", F.col("attrs")["src"].alias("src"), w.alias("w"), h.alias("h"))
+    good = x.where(T.good_image(F.col("src"), F.col("w"), F.col("h")))
+    area = F.col("w").cast("long") * F.col("h")
+    return good.groupBy("page_id").agg(F.max_by("src", F.struct(area.alias("a"), (-F.col("node_id")).alias("n"))).alias("image_path"), F.max(area).alias("area"))
+
+
+URLS = [(1, "http://a.example/mexico.jpg", 900, 300), (2, "http://a.example/catalogo/x.jpg", 900, 301), (3, "http://a.example/img/x.jpg", 901, 300), (4, "http://a.example/a.jpg?x=1", 580, 250), (5, "http://a.example/a.webp", 1000, 500), (6, "http://a.example/apng", 0, 300), (7, "http://a.example/ads/y.png", 700, 700)]
+
+
+@query(
+    f"""SELECT id, NOT regexp_matches(path, '{X.IMAGE_DENY}') AND regexp_matches(path, '{X.IMAGE_ALLOW}') AS path_ok, (path LIKE '%.jpg' OR path LIKE '%jpeg' OR path LIKE '%png') AS valid, (w = 0 OR h = 0 OR coalesce(greatest(w, h)::DOUBLE / nullif(least(w, h), 0) > 3, true)) AS banner
+    FROM (SELECT id, w, h, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '') AS path FROM (VALUES {', '.join(map(repr, URLS))}) v(id, url, w, h))"""
+)
+def image_filter(spark, d):
+    v = values(spark, "id int, url string, w int, h int", URLS)
+    c = F.col
+    return v.select("id", T.image_path_ok(c("url")).alias("path_ok"), T.valid_image_url(c("url")).alias("valid"), T.banner(c("w"), c("h")).alias("banner"))
+
+
+SRCSETS = [(1, "a.jpg 300w, b.jpg 800w", None, "http://h.example/b.jpg"), (2, "a.jpg 300w, b.jpg 400w", None, "http://h.example/a.jpg"), (3, "a.jpg", "c.png", "http://h.example/c.png"), (4, "a.jpg foo", "d.png", "http://h.example/d.png"), (5, None, "/x/e.jpeg?q=1", "http://h.example/x/e.jpeg?q=1"), (6, "a.webp 900w", "f.gif", None)]
+
+
+@query(f"SELECT id, expected AS image_url FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in SRCSETS)}) v(id, srcset, src, expected)")
+def image_srcset(spark, d):
+    v = values(spark, "id int, srcset string, src string, expected string", SRCSETS)
+    return v.select("id", T.image_url(F.col("src"), F.col("srcset"), F.array().cast("array<string>"), F.lit("http://h.example/")).alias("image_url"))
+
+
+LINKS = [(1, "http://b.example/x", "http://a.example/p/q"), (2, "/x", "http://a.example/p/q?r=1"), (3, "x", "http://a.example/p/q"), (4, "//c.example/x", "https://a.example/p"), (5, None, "http://a.example/"), (6, "x", None), (7, "x", "http://a.example")]
+
+
+@query(f"SELECT id, [{', '.join(repr(x) if x else 'NULL' for x in ['http://b.example/x', 'http://a.example/x', 'http://a.example/p/x', 'https://c.example/x', None, None, 'http://a.example/x'])}][id] AS absolute FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in LINKS)}) v(id, url, base)")
+def absolute_links(spark, d):
+    return values(spark, "id int, url string, base string", LINKS).select("id", T.absolute_url(F.col("url"), F.col("base")).alias("absolute"))
+
+
+EMBEDDED = [(1, "http://a.example/i.php?u=http://b.example/c.jpg"), (2, "http://a.example/d.png?x=http://b.example/c.jpg"), (3, "http://a.example/i.php?u=none")]
+
+
+@query(f"SELECT id, ['http://b.example/c.jpg', 'http://a.example/d.png?x=http://b.example/c.jpg', 'http://a.example/i.php?u=none'][id] AS url FROM (VALUES {', '.join(map(repr, EMBEDDED))}) v(id, u)")
+def embedded_image(spark, d):
+    return values(spark, "id int, u string", EMBEDDED).select("id", T.embedded_image_url(F.col("u")).alias("url"))
+
+
+HEADERS = [(1, "89504E470D0A1A0A0000000D4948445200000280000001E0"), (2, "474946383961400101F0"), (3, "474946383761800280020000"), (4, "FFD8FFE000104A464946"), (5, "")]
+
+
+@query("SELECT * FROM (VALUES (1, 640, 480), (2, 320, 61441), (3, 640, 640), (4, NULL, NULL), (5, NULL, NULL)) v(id, width, height)")
+def image_headers(spark, d):
+    v = values(spark, "id int, h string", HEADERS).withColumn("b", F.unhex("h"))
+    s = F.coalesce(T.png_size(F.col("b")), T.gif_size(F.col("b")))
+    return v.select("id", s["width"].alias("width"), s["height"].alias("height"))
+
+
+@query("SELECT * FROM (VALUES (1, 640, 480), (2, NULL, NULL)) v(id, width, height)")
+def jpeg_dims(spark, d):
+    jpeg = "FFD8FFE000104A46494600010100000100010000FFC0001108" + "01E0" + "0280" + "03012200021101031101"
+    v = values(spark, "id int, h string", [(1, jpeg), (2, "FFD8FFDB")]).withColumn("b", F.unhex("h"))
+    return v.withColumn("s", decoding.jpeg_column(F.col("b"))).select("id", "s.width", "s.height")
+
+
+# ------------------------------------------------------------ sentences and summaries
+@query(f"SELECT page_id, i, s AS sentence FROM (SELECT page_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM (SELECT DISTINCT page_id, {Q.sentences('description')} AS ss FROM articles WHERE description IS NOT NULL)) WHERE {Q.complete('s')}")
+def complete_sentences(spark, d):
+    a = _articles(spark, d, "description").where("description IS NOT NULL")
+    x = a.select("page_id", F.posexplode(S.sentences(F.col("description"))).alias("i", "sentence"))
+    return x.where(S.complete(F.col("sentence"))).select("page_id", F.col("i").cast("long").alias("i"), "sentence")
+
+
+@query(f"SELECT doc_id, len({Q.sentences('text')}) AS sentences, len({Q.words('text')}) AS words FROM documents WHERE text IS NOT NULL")
+def sentence_tokens(spark, d):
+    t = spread(table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL"))
+    return t.select("doc_id", F.size(S.sentences(F.col("text"))).cast("long").alias("sentences"), F.size(S.words(F.col("text"))).cast("long").alias("words"))
+
+
+@query(Q.EDGES + " SELECT page_id, i, j, round(w, 6) AS w FROM edges WHERE i < j")
+def sentence_similarity(spark, d):
+    a = _articles(spark, d, "description").where("description IS NOT NULL")
+    x = a.select("page_id", F.transform(S.sentences(F.col("description")), S.words).alias("sets"))
+    at = F.sequence(F.lit(0), F.greatest(F.size("sets") - 1, F.lit(0)))
+    pairs = F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.round(S.overlap(F.get("sets", i), F.get("sets", j)), 6).alias("w")))))
+    return x.where("size(sets) > 0").select("page_id", F.explode(F.filter(pairs, lambda e: (e["i"] < e["j"]) & (e["w"] > 0))).alias("e")).select("page_id", "e.*")
+
+
+@query(Q.ranks_sql(12) + " SELECT page_id, i, round(r, 6) AS pr FROM r12")
+def sentence_rank(spark, d):
+    a = _articles(spark, d, "description").where("description IS NOT NULL")
+    x = a.select("page_id", S.ranks(F.transform(S.sentences(F.col("description")), S.words), 12).alias("pr"))
+    return x.select("page_id", F.posexplode("pr").alias("i", "pr")).where("pr IS NOT NULL").select("page_id", F.col("i").cast("long").alias("i"), F.round("pr", 6).alias("pr"))
+
+
+@query(Q.ranks_sql(12) + ", k AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY round(r, 6) DESC, i) AS rn FROM r12) SELECT k.page_id, string_agg(s.s, ' ' ORDER BY k.i) AS summary FROM k JOIN sents s ON s.page_id = k.page_id AND s.i = k.i WHERE rn <= 2 GROUP BY 1")
+def summary_topn(spark, d):
+    a = _articles(spark, d, "description").where("description IS NOT NULL")
+    x = a.select("page_id", S.sentences(F.col("description")).alias("s")).withColumn("pr", S.ranks(F.transform("s", S.words), 12))
+    e = x.select("page_id", "s", F.posexplode("pr").alias("i", "pr")).where("pr IS NOT NULL")
+    k = e.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy(F.round("pr", 6).desc(), "i"))).where("rn <= 2")  # the top-k of a summary
+    g = k.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", F.get("s", F.col("i")).alias("t")))).alias("top"))
+    return g.select("page_id", F.array_join(F.transform("top", lambda t: t["t"]), " ").alias("summary"))
+
+
+@query()
+def document_summary(spark, d):
+    t = spread(table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL"))
+    x = t.select("doc_id", F.filter(S.sentences(F.col("text")), S.complete).alias("s"), voting.language(F.col("text")).alias("lang"))
+    return x.select("doc_id", "lang", S.summary_column(F.col("s"), F.col("lang"), 5).alias("summary"))
+
+
+@query(Q.language_vote("description", "articles", "page_id"))
+def language_vote(spark, d):
+    a = _articles(spark, d, "description").where("description IS NOT NULL")
+    return a.select("page_id", voting.language(F.col("description")).alias("lang"))
+
+
+@query()
+def stems(spark, d):
+    t = table(spark, d, "lang_samples")
+    return t.select("sample_id", S.stems_column(S.words(F.col("text")), F.col("lang")).alias("stems"))
+
+
+# ------------------------------------------------------------ parsing and the pipeline
+@query("SELECT page_id, node_id, end_id, parent_id, depth, child_idx, tag FROM (SELECT DISTINCT page_id, node_id, end_id, parent_id, depth, child_idx, tag FROM nodes) WHERE page_id IN (SELECT page_id FROM pages WHERE html IS NOT NULL)")
+def dom_nodes(spark, d):
+    return dom.parse_pages(spread(table(spark, d, "pages").select("page_id", "html"))).select("page_id", "node_id", "end_id", "parent_id", "depth", "child_idx", "tag").distinct()
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT page_id, node_id, end_id, depth, tag FROM nodes), h AS (SELECT page_id, min(node_id) AS a FROM n WHERE tag = 'h1' GROUP BY 1), g AS (SELECT page_id, max(node_id) AS b FROM n WHERE tag = 'p' GROUP BY 1)
+    SELECT h.page_id, h.a, g.b, coalesce(arg_max(n.node_id, n.depth), 0) AS node_id FROM h JOIN g ON h.page_id = g.page_id LEFT JOIN n ON n.page_id = h.page_id AND n.node_id < least(h.a, g.b) AND n.end_id >= greatest(h.a, g.b) GROUP BY 1, 2, 3"""
+)
+def image_container(spark, d):
+    n = _nodes(spark, d)
+    a = n.where("tag = 'h1'").groupBy("page_id").agg(F.min("node_id").alias("a"))
+    b = n.where("tag = 'p'").groupBy("page_id").agg(F.max("node_id").alias("b"))
+    return dom.common_ancestor(n, a.join(b, "page_id"))
+
+
+@query(
+    f"""SELECT DISTINCT page_id, md5('<html lang="' || {Q.escaped("coalesce(language, '')")} || '"><h1>' || {Q.escaped("coalesce(title, '')")} || '</h1>' || CASE WHEN image_url IS NOT NULL THEN '<img src="' || {Q.escaped('image_url')} || '">' ELSE '' END || clean_html || '</html>') AS document FROM articles WHERE clean_html IS NOT NULL"""
+)
+def article_template(spark, d):
+    a = _articles(spark, d, "language", "title", "image_url", "clean_html").where("clean_html IS NOT NULL")
+    e = article.escaped
+    img = F.when(F.col("image_url").isNotNull(), F.concat(F.lit('<img src="'), e(F.col("image_url")), F.lit('">'))).otherwise("")
+    doc = F.format_string('<html lang="%s"><h1>%s</h1>%s%s</html>', e(F.coalesce("language", F.lit(""))), e(F.coalesce("title", F.lit(""))), img, F.col("clean_html"))
+    return a.select("page_id", F.md5(doc).alias("document")).distinct()
+
+
+@query()
+def article_extract(spark, d):
+    return article.extract_articles(spread(table(spark, d, "pages").select("page_id", "url", "html"))).distinct()
+
+
+@query()
+def article_html(spark, d):
+    return article_extract(spark, d).select("page_id", "clean_html")
+
+
+@query()
+def article_from_bytes(spark, d):
+    raw = decoding.decode_pages(spread(table(spark, d, "raw_pages"))).where("error_msg IS NULL")
+    return article.extract_articles(raw)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shipping import ship
+
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
