@@ -34,7 +34,7 @@ def complete(s: Column) -> Column:
 
 def words(s: Column) -> Column:
     """Distinct lower-case alphabetic words in order of first use."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.replace(s, F.lit("İ"), F.lit("i"))), F.lit(r"\p{L}+"), F.lit(0)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -55,7 +55,7 @@ def ranks(sets: Column, iterations: int) -> Column:
 
     def of(m: Column) -> Column:
         sums = F.transform(m, lambda r: F.aggregate(r, F.lit(0.0), lambda x, y: x + y))
-        return let(F.struct(m.alias("m"), sums.alias("sums"), F.size(F.filter(sums, lambda s: s > 0)).alias("n")), stable)
+        return let(F.struct(m.alias("m"), sums.alias("sums"), F.nullif(F.size(F.filter(sums, lambda s: s > 0)), F.lit(0)).alias("n")), stable)
 
     def stable(z: Column) -> Column:
         p = F.transform(z["m"], lambda r: F.zip_with(r, z["sums"], lambda x, s: F.when(s > 0, x / s).otherwise(0.0)))

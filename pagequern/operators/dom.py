@@ -35,8 +35,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def nodes_of(table: DataFrame) -> DataFrame:
-    """A node table with each node once."""
-    return table.dropDuplicates(["page_id", "node_id"])
+    """A node table with each node once, exchanged by page: the joins and groupings that follow keep that partitioning."""
+    return table.repartition("page_id").dropDuplicates(["page_id", "node_id"])
 
 
 def within(n: str, e: str, proper: bool = False) -> Column:

@@ -255,14 +255,14 @@ def link_density(spark, d):
     return x.select("page_id", "node_id", F.col("length").cast("long").alias("length"), F.col("link_length").cast("long").alias("link_length"), F.round("density", 6).alias("density"))
 
 
-@query(Q.CANDIDATES + " SELECT page_id, node_id, round(score, 4) AS content_score FROM s")
+@query(Q.CANDIDATES + " SELECT page_id, node_id, round(score, 7) AS content_score FROM s")
 def candidate_score(spark, d):
-    return scoring.candidates(_nodes(spark, d)).select("page_id", "node_id", F.round("content_score", 4).alias("content_score"))
+    return scoring.candidates(_nodes(spark, d)).select("page_id", "node_id", F.round("content_score", 7).alias("content_score"))
 
 
-@query(Q.CANDIDATES + " SELECT page_id, node_id, round(score, 4) AS content_score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 6) DESC, tag_rank, first_p, grand) AS r FROM s) WHERE r = 1")
+@query(Q.CANDIDATES + " SELECT page_id, node_id, round(score, 7) AS content_score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 6) DESC, tag_rank, first_p, grand) AS r FROM s) WHERE r = 1")
 def best_candidate(spark, d):
-    return scoring.best(scoring.candidates(_nodes(spark, d))).select("page_id", "node_id", F.round("content_score", 4).alias("content_score"))
+    return scoring.best(scoring.candidates(_nodes(spark, d))).select("page_id", "node_id", F.round("content_score", 7).alias("content_score"))
 
 
 @query(

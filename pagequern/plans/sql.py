@@ -124,7 +124,7 @@ def complete(c: str) -> str:
 
 
 def words(c: str) -> str:
-    return rf"list_distinct(regexp_extract_all(lower({c}), '\p{{L}}+'))"
+    return rf"list_distinct(regexp_extract_all(lower(replace({c}, 'İ', 'i')), '\p{{L}}+'))"
 
 
 SENTS = f"""d AS (SELECT DISTINCT page_id, {sentences('description')} AS ss FROM articles WHERE description IS NOT NULL),
