@@ -385,7 +385,7 @@ def affected(articles, samples, fields=("title", "clean_html")):
     from pyspark.sql import functions as F
 
     texts = [r.text for r in samples.where("text IS NOT NULL").select("text").limit(5000).collect()]  # a reference table of fixed size
-    model = Model(texts)
+    model = Model(texts) if texts else None  # without reference texts nothing can be told
     long = articles.select(
         F.col("page_id").cast("long"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")
     ).select("page_id", "x.field_name", "x.value")
@@ -395,7 +395,7 @@ def affected(articles, samples, fields=("title", "clean_html")):
         for pdf in pdfs:
             for lo in range(0, len(pdf), BATCH_TEXTS):
                 part = pdf.iloc[lo : lo + BATCH_TEXTS]
-                got = repair(model, part["value"].tolist())
+                got = repair(model, part["value"].tolist()) if model else []
                 i = [g[0] for g in got]
                 yield pd.DataFrame({
                     "page_id": part["page_id"].to_numpy()[i], "field_name": part["field_name"].to_numpy()[i], "written": [g[1] for g in got],
