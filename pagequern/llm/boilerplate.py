@@ -311,6 +311,7 @@ def unwanted_blocks(pages, articles):
                 ids += [p] * len(got)
                 names += [f] * len(got)
                 nos += got
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "field_name": pd.Series(names, dtype="object"), "block_no": pd.Series(nos, dtype="int32")})
+            if ids:
+                yield pd.DataFrame({"page_id": ids, "field_name": names, "block_no": nos})
 
     return both.mapInPandas(run, "page_id long, field_name string, block_no int").distinct()

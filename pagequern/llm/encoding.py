@@ -396,6 +396,8 @@ def affected(articles, samples, fields=("title", "clean_html")):
             for lo in range(0, len(pdf), BATCH_TEXTS):
                 part = pdf.iloc[lo : lo + BATCH_TEXTS]
                 got = repair(model, part["value"].tolist()) if model else []
+                if not got:
+                    continue
                 i = [g[0] for g in got]
                 yield pd.DataFrame({
                     "page_id": part["page_id"].to_numpy()[i], "field_name": part["field_name"].to_numpy()[i], "written": [g[1] for g in got],

@@ -131,6 +131,8 @@ def fit(samples, size: int = PROFILE) -> Profiles:
     def count(pdfs):
         for pdf in pdfs:
             who, g = grams(pdf["text"].tolist())
+            if not len(who):
+                continue
             out = pd.DataFrame({"lang": pdf["lang"].to_numpy()[who], "g": g.view(np.int64)})
             yield out.groupby(["lang", "g"]).size().rename("n").reset_index()
 
@@ -188,10 +190,12 @@ def language_segments(articles, samples):
     def run(pdfs):
         for pdf in pdfs:
             got = segments(profiles, pdf["description"].tolist())
+            if not got:
+                continue
             out = pd.DataFrame(got, columns=["row", "segment", "lang", "confidence", "main_lang", "main_confidence"])
             out["segment_no"] = out.groupby("row").cumcount().astype("int32")
-            out["page_id"] = pdf["page_id"].to_numpy()[out["row"]] if len(out) else pd.Series(dtype="int64")
-            out["label"] = pdf["label"].to_numpy()[out["row"]] if len(out) else pd.Series(dtype="object")
+            out["page_id"] = pdf["page_id"].to_numpy()[out["row"]]
+            out["label"] = pdf["label"].to_numpy()[out["row"]]
             yield out[["page_id", "label", "segment_no", "segment", "lang", "confidence", "main_lang", "main_confidence"]]
 
     return a.mapInPandas(run, "page_id long, label string, segment_no int, segment string, lang string, confidence double, main_lang string, main_confidence double").distinct()

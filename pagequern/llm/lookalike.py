@@ -133,10 +133,10 @@ def _compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new_row[1:] = row[1:] != row[:-1]
     starter = ~mark | new_row
     cluster = np.cumsum(starter) - 1
-    wrong = np.flatnonzero(~starter[1:] & ~starter[:-1] & (ccc[1:] < ccc[:-1])) + 1
+    wrong = np.flatnonzero(mark[1:] & mark[:-1] & ~new_row[1:] & (ccc[1:] < ccc[:-1])) + 1
     if len(wrong):
         at = np.flatnonzero(np.isin(cluster, cluster[wrong]))
-        order = at[np.lexsort((np.where(starter[at], 0, ccc[at]), cluster[at]))]
+        order = at[np.lexsort((ccc[at], cluster[at]))]
         cp, ccc = cp.copy(), ccc.copy()
         cp[at], ccc[at] = cp[order], ccc[order]
     head = np.flatnonzero(np.diff(cluster, prepend=-1))

@@ -199,7 +199,8 @@ def shown_markup(articles):
     def run(pdfs):
         for pdf in pdfs:
             rows = [(p, k) for p, h in zip(pdf["page_id"], pdf["clean_html"]) for k in shown(h)]
-            yield pd.DataFrame(rows, columns=["page_id", "markup"]).astype({"page_id": "int64"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "markup"])
 
     return a.mapInPandas(run, "page_id long, markup string").distinct()
 
@@ -213,6 +214,8 @@ def clean_bodies(articles):
     def run(pdfs):
         for pdf in pdfs:
             out = pd.DataFrame({"page_id": pdf["page_id"], "clean_text": [clean_text(h) for h in pdf["clean_html"]]})
-            yield out[out["clean_text"].notna()]
+            out = out[out["clean_text"].notna()]
+            if len(out):
+                yield out
 
     return a.mapInPandas(run, "page_id long, clean_text string")

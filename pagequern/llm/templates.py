@@ -210,7 +210,8 @@ def residue(articles, share: float = RECURRENT_SHARE, least: int = RECURRENT_PAG
                     rows.append((p, site, "title", normal_line(title)))
                 for s in set(body_lines(html)):
                     rows.append((p, site, "clean_html", normal_line(s)))
-            yield pd.DataFrame(rows, columns=["page_id", "site", "field_name", "line"]).astype({"page_id": "int64"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "site", "field_name", "line"])
 
     lines = a.mapInPandas(run, "page_id long, site string, field_name string, line string").withColumn("line", F.md5("line"))
     pages = a.groupBy("site").agg(F.countDistinct("page_id").alias("pages"))
