@@ -121,9 +121,10 @@ def title_normalized(spark, d):
     (VALUES (1, '', ''), (2, '12.05.2015  ', ' |'), (3, '12-05 ', ' —'), (4, '... ', ' « »')) v(kind, prefix, suffix) WHERE title IS NOT NULL)"""
 )
 def title_cleaned(spark, d):
-    v = F.broadcast(values(spark, "kind int, prefix string, suffix string", [(1, "", ""), (2, "12.05.2015  ", " |"), (3, "12-05 ", " —"), (4, "... ", " « »")]))
-    a = _articles(spark, d, "title").where("title IS NOT NULL").crossJoin(v)  # four fixed rows
-    return a.select("page_id", "kind", T.cleaned_title(F.concat("prefix", "title", "suffix")).alias("cleaned"))
+    forms = [(1, "", ""), (2, "12.05.2015  ", " |"), (3, "12-05 ", " —"), (4, "... ", " « »")]
+    raw = F.array(*[F.struct(F.lit(k).alias("kind"), F.concat(F.lit(a), "title", F.lit(b)).alias("raw")) for k, a, b in forms])
+    x = _articles(spark, d, "title").where("title IS NOT NULL").select("page_id", F.explode(raw).alias("x"))
+    return x.select("page_id", "x.kind", T.cleaned_title(F.col("x.raw")).alias("cleaned"))
 
 
 @query(f"SELECT DISTINCT page_id, md5({Q.clean_entities('clean_html')}) AS unescaped FROM articles WHERE clean_html IS NOT NULL")
