@@ -219,6 +219,7 @@ def unwanted(html: str, fragment: bool) -> list[int]:
             for c in chain[i]:
                 mass[c] = mass.get(c, 0.0) + n
     region = body
+    h1 = None
     if not fragment:
         h1 = next((i for i in nos if s.tag[i] == "h1" and not any(boxed[c] for c in chain[i])), None)
         while True:
@@ -240,7 +241,7 @@ def unwanted(html: str, fragment: bool) -> list[int]:
         path = chain[i][: chain[i].index(region)] if region in chain[i] else chain[i]
         nested = [c for c in path if s.tag[c] in WRAPPERS or s.tag[c] in SITE_TAGS or _site_box(s, c)]
         gone = not inside or any(boxed[c] for c in path) or _site_box(s, i) or (s.tag[i] in WRAPPERS and i != region and i != body)
-        gone = gone or any(_foreign(s, c, region, mass) for c in nested if c != region)
+        gone = gone or any(_foreign(s, c, region, mass) for c in nested if c != region and not (h1 is not None and c in chain[h1]))
         gone = gone or _odd_line(s, i, text[i], n, a)
         if gone:
             out.append(i)
