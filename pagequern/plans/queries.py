@@ -15,7 +15,7 @@ from ..functions import lexicons as X
 from ..functions import summary as S
 from ..functions import text as T
 from ..functions import voting
-from ..operators import article, decoding, dom, scoring
+from ..operators import article, decoding, dom, images, scoring
 from ..sources.tables import spread, table
 from . import sql as Q
 
@@ -230,6 +230,29 @@ def page_scope(spark, d):
     return dom.scope(_nodes(spark, d))
 
 
+LOOSE = f"regexp_matches(coalesce(t, ''), {Q.lit('[^' + Q.WS[1:-1] + ']')})"
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT page_id, node_id, parent_id, tag, text, tail FROM nodes), x AS (SELECT page_id, node_id AS div_id, text AS t FROM n WHERE tag = 'div' UNION ALL
+    SELECT c.page_id, c.parent_id, c.tail FROM n c JOIN n p ON p.page_id = c.page_id AND p.node_id = c.parent_id WHERE p.tag = 'div') SELECT page_id, div_id, count(*) AS pieces FROM x WHERE {LOOSE} GROUP BY 1, 2"""
+)
+def loose_text(spark, d):
+    """Pieces of text directly inside a div, which count as paragraphs."""
+    n = _nodes(spark, d)
+    divs = n.where("tag = 'div'").select("page_id", F.col("node_id").alias("div_id"), "text")
+    tails = n.select("page_id", F.col("parent_id").alias("div_id"), F.col("tail").alias("t")).join(divs.select("page_id", "div_id"), ["page_id", "div_id"])
+    pieces = divs.select("page_id", "div_id", F.col("text").alias("t")).unionByName(tails)
+    return pieces.where(F.length(T.strip(F.col("t"))) > 0).groupBy("page_id", "div_id").agg(F.count("*").alias("pieces"))
+
+
+@query("SELECT page_id, k AS name, count(*) AS n FROM (SELECT page_id, e.key AS k, e.value AS v FROM (SELECT page_id, unnest(map_entries(attrs)) AS e FROM (SELECT DISTINCT page_id, node_id, attrs FROM nodes))) WHERE k LIKE '%-%' OR k LIKE '%:%' OR v = '' GROUP BY 1, 2")
+def attribute_survivors(spark, d):
+    """Attributes that stay in compat mode: with a hyphen or colon in the name, or empty."""
+    e = _nodes(spark, d).select("page_id", F.explode("attrs").alias("name", "v"))
+    return e.where(F.col("name").contains("-") | F.col("name").contains(":") | (F.col("v") == "")).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, tag, count(*) AS n, min(node_id) AS first_id, max(node_id) AS last_id FROM (SELECT DISTINCT page_id, node_id, tag FROM nodes) WHERE tag IN ('p', 'pre', 'td') GROUP BY 1, 2")
 def tag_streams(spark, d):
     n = _nodes(spark, d).where(F.col("tag").isin("p", "pre", "td"))
@@ -397,6 +420,27 @@ def jpeg_dims(spark, d):
     return v.withColumn("s", decoding.jpeg_column(F.col("b"))).select("id", "s.width", "s.height")
 
 
+SIZED = [(1, 1, "http://a.example/a.jpg", 0, 0), (1, 2, "http://a.example/b.jpg", 900, 300), (1, 3, "http://a.example/c.jpg", None, 700), (2, 1, "http://a.example/d.jpg", 0, 5), (2, 2, "http://a.example/logo.jpg", 900, 600), (3, 1, "http://a.example/e.png", 600, 300), (3, 2, "http://a.example/f.png", 300, 600), (3, 3, "http://a.example/g.png", 600, 300)]
+FETCHED = [("http://a.example/a.jpg", 1000, 600), ("http://a.example/c.jpg", 580, 249)]
+SIZED_SQL = f"""WITH i AS (SELECT page_id, pos, v.url, CASE WHEN coalesce(v.width, 0) = 0 OR coalesce(v.height, 0) = 0 THEN coalesce(f.width, -1) ELSE v.width END AS width, CASE WHEN coalesce(v.width, 0) = 0 OR coalesce(v.height, 0) = 0 THEN coalesce(f.height, -1) ELSE v.height END AS height
+    FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in SIZED)}) v(page_id, pos, url, width, height) LEFT JOIN (VALUES {', '.join(map(repr, FETCHED))}) f(url, width, height) ON v.url = f.url)"""
+
+
+def _sized(spark):
+    return images.fill_sizes(values(spark, "page_id int, pos int, url string, width int, height int", SIZED), values(spark, "url string, width int, height int", FETCHED))
+
+
+@query(SIZED_SQL + " SELECT page_id, pos, url || ' (' || width || ' x ' || height || ', ' || CASE WHEN width >= 580 AND height >= 250 THEN 'good' ELSE 'not good' END || ')' AS label FROM i")
+def image_sizes(spark, d):
+    good = (F.col("width") >= 580) & (F.col("height") >= 250)
+    return _sized(spark).select("page_id", "pos", images.label(F.col("url"), F.col("width"), F.col("height"), good).alias("label"))
+
+
+@query(SIZED_SQL + " SELECT page_id, arg_min(url, struct_pack(a := -width * height, p := pos)) AS url FROM i WHERE width >= 580 AND height >= 250 AND greatest(width, height)::DOUBLE / least(width, height) <= 3 AND url NOT LIKE '%logo%' GROUP BY page_id")
+def image_best_sized(spark, d):
+    return images.best_images(_sized(spark))
+
+
 # ------------------------------------------------------------ sentences and summaries
 @query(f"SELECT page_id, i, s AS sentence FROM (SELECT page_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM (SELECT DISTINCT page_id, {Q.sentences('description')} AS ss FROM articles WHERE description IS NOT NULL)) WHERE {Q.complete('s')}")
 def complete_sentences(spark, d):
