@@ -37,6 +37,7 @@ SINGLE_BYTE = {"cp1251", "koi8_r", "cp866", "cp1252", "cp1254", "iso8859_9", "ma
 ENTER, LEAVE = 1e-6, 1e-3
 ALPHA = 2.0
 BATCH_TEXTS = 1500
+FIT_ROWS = 5000
 GAIN = 15.0  # how much likelier (log) a repaired field must be as clean text
 LOST = 0.25  # share of characters that may stay unreadable in a lossy repair
 # Signs that clean pages hold besides their language's letters.
@@ -380,11 +381,12 @@ def piecewise(span: str, pair: tuple[str, str]) -> str | None:
     return out if hits else None
 
 
-def affected(articles, samples, fields=("title", "clean_html")):
+def affected(articles, samples, fields=("title", "clean_html"), fit_rows: int = FIT_ROWS):
     """page_id, field_name, written, read, restored, original of fields that were read with the wrong charset."""
     from pyspark.sql import functions as F
 
-    texts = [r.text for r in samples.where("text IS NOT NULL").select("text").limit(5000).collect()]  # a reference table of fixed size
+    # the model is fitted on at most fit_rows reference texts
+    texts = [r.text for r in samples.where("text IS NOT NULL").select("text").orderBy(F.xxhash64("text")).limit(fit_rows).collect()]
     model = Model(texts) if texts else None  # without reference texts nothing can be told
     long = articles.select(
         F.col("page_id").cast("long"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")
