@@ -34,11 +34,15 @@ PAIRS = [
     ("cp437", "latin-1"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp1250"), ("cp1254", "cp1252"), ("iso8859_9", "latin-1"), ("cp1252", "utf-8"), ("cp1251", "utf-8"), ("cp932", "utf-8"), ("gb18030", "utf-8"),
 ]
 SINGLE_BYTE = {"cp1251", "koi8_r", "cp866", "cp1252", "cp1254", "iso8859_9", "mac_roman", "cp437", "cp874"}
-ENTER, LEAVE = 1e-6, 1e-3
+ENTER, LEAVE = 1e-4, 1e-2
 ALPHA = 2.0
 BATCH_TEXTS = 1500
+NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 FIT_ROWS = 5000
-GAIN = 15.0  # how much likelier (log) a repaired field must be as clean text
+GAIN = 15.0  # how much likelier (log) a repaired span must be as clean text
+GAIN_VALID = 12.0  # the same where only valid UTF-8 can come out
+GAIN_SAME = 45.0  # the same where letters turn into others of their own script
+CYRILLIC = {"cp1251", "koi8_r", "cp866"}
 LOST = 0.25  # share of characters that may stay unreadable in a lossy repair
 # Signs that clean pages hold besides their language's letters.
 SIGNS = "–—·•›‹»«©®™×✓✉°§€£¥½¼→←…’‘“”„¿¡№ªº±µ²³"
@@ -298,7 +302,7 @@ def repair(model: Model, texts: list[str]) -> list[tuple[int, str, str, bool, st
             if fixed is None:  # a sibling of the state's pair
                 for other in model.pairs:
                     if other != pair and other[0].split()[0] == pair[0].split()[0]:
-                        fixed, whole = undo(span, other)
+                        fixed, whole = undo(span, other, lossy=False)
                         if fixed is not None:
                             break
             if fixed is None and "\ufffd" not in span:
@@ -310,7 +314,9 @@ def repair(model: Model, texts: list[str]) -> list[tuple[int, str, str, bool, st
     gain = model.clean_score(news) - model.clean_score(olds) if rows else np.zeros(0)
     good: dict[int, list] = {}
     for row, f, g, old in zip(rows, fields, gain.tolist(), olds):
-        if g >= GAIN or "\ufffd" in old:
+        pair = model.pairs[f[2] - 1]
+        need = GAIN_VALID if pair[0].startswith("utf-8") and f[4] else GAIN_SAME if set(pair) <= CYRILLIC else GAIN
+        if g >= need or "\ufffd" in old:
             good.setdefault(row, []).append(f)
     out = []
     for row, spans in good.items():
@@ -343,7 +349,7 @@ def disguised(span: str) -> bool:
     return all(latin[c] < 0x80 for c in other)
 
 
-def undo(span: str, pair: tuple[str, str]) -> tuple[str | None, bool]:
+def undo(span: str, pair: tuple[str, str], lossy: bool = True) -> tuple[str | None, bool]:
     """(span with the pair undone, whether all of it was), as a whole, run by run, or with losses."""
     fixed = restore(span, pair)
     if fixed is None and span and span[-1].isascii():
@@ -356,15 +362,22 @@ def undo(span: str, pair: tuple[str, str]) -> tuple[str | None, bool]:
         return fixed, not NOT_ASCII.search(span) or all(restore(m, pair) is not None for m in NOT_ASCII.findall(span))
     if pair[1] == "utf-8" or not pair[0].startswith(("utf-8", "gb18030", "cp932", "euc_jp", "big5")):
         return None, False
-    out = span
+    if not lossy:
+        return None, False
+    out, lost = span, 0
     for _ in range(2 if pair[0].endswith(" x2") else 1):
-        out = encode(out, pair[1], "ignore").decode(pair[0].split()[0], "replace")
-    if out.count("\ufffd") > LOST * max(1, sum(ord(c) > 0x7F for c in out)):
+        kept = "".join(c for c in out if encodable(c, pair[1]))
+        lost += len(out) - len(kept)
+        out = encode(kept, pair[1], "ignore").decode(pair[0].split()[0], "replace")
+    lost += out.count("\ufffd")
+    if lost > LOST * sum(ord(c) > 0x7F for c in out):
         return None, False
     return out.replace("\ufffd", ""), False
 
 
-NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+@functools.lru_cache(100_000)
+def encodable(char: str, charset: str) -> bool:
+    return bool(encode(char, charset, "ignore"))
 
 
 def piecewise(span: str, pair: tuple[str, str]) -> str | None:
