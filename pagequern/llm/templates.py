@@ -19,6 +19,7 @@ import re
 
 import pandas as pd
 
+from ..plans.lineage import cut
 from . import blocks
 
 RECURRENT_SHARE = 0.3
@@ -213,7 +214,8 @@ def residue(articles, share: float = RECURRENT_SHARE, least: int = RECURRENT_PAG
             if rows:
                 yield pd.DataFrame(rows, columns=["page_id", "site", "field_name", "line"])
 
-    lines = a.mapInPandas(run, "page_id long, site string, field_name string, line string").withColumn("line", F.md5("line"))
+    # the few lines with evidence are kept, so bodies are parsed once
+    lines = cut(a.mapInPandas(run, "page_id long, site string, field_name string, line string").withColumn("line", F.md5("line")))
     pages = a.groupBy("site").agg(F.countDistinct("page_id").alias("pages"))
     often = lines.groupBy("site", "field_name", "line").agg(F.countDistinct("page_id").alias("n")).where(F.col("n") >= least)
     often = often.join(pages, "site").where(F.col("n") >= share * F.col("pages")).select("site", "field_name", "line")
