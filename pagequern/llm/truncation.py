@@ -43,6 +43,7 @@ END = 32  # characters of a document's end that are looked for in its copy
 KNOWN_SHARE = 0.002  # a word is kept as it is in a closing if so large a share of documents close a cell with it
 KNOWN_LEAST = 5
 STRUCTURE_SHARE = 0.002  # a closing line of signs, a list item or heading is usual from so large a share of documents on
+PAUSE_RATE = 0.25  # an ellipsis is the author's only after a word that ends a sentence at so large a share of its occurrences
 CLOSING_SHARE = 0.005  # a text without a full stop may end in the same words in so large a share of documents
 ABBREVIATION = 5  # a longer word before a full stop is no abbreviation
 
@@ -51,7 +52,9 @@ MARK = re.compile(r"\s*(?:\.\.\.|…|\[(?:\.\.\.|…|truncated|cut|more)\]|<(?:t
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d]\w*|[^\w\s]")
 STOP = ".!?。！？।"
 AFTER_STOP = "\"'”’»)]*_"
-ENDER = re.compile(r"([^\W\d_]{2,})[\"'”’»)*_]*[.!?…](?=\s|$)|([぀-ヿ㐀-鿿]{2})[。！？…]")
+ENDER = re.compile(r"([^\W\d_]{2,})[\"'”’»)*_]*[.!?](?=\s|$)|([぀-ヿ㐀-鿿]{2})[。！？]")
+LETTERS = re.compile(r"[^\W\d_]{2,}")
+WIDE = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -185,13 +188,39 @@ def band_hashes(h: np.ndarray, row: np.ndarray, n: int) -> list[list[int]]:
     return [[] if e else x for x, e in zip(lists, none.tolist())]
 
 
-SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean>, enders array<string>"
+SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
+
+
+def sentence_ends(text: str, last: bool) -> list[str]:
+    """Words before the full stops of a cell; in a document's last cell without its end, which is what is judged.
+
+    A stop before a digit or a small letter ("Sec. 2", "e.g. so") ends no sentence.
+    """
+    text = text.rstrip()
+    if last:
+        m = MARK.search(text)
+        text = text[: m.start()].rstrip() if m else text
+    out = []
+    for m in ENDER.finditer(text):
+        rest = re.match(r"\s*", text[m.end() : m.end() + 9]).group()
+        after = text[m.end() + len(rest) : m.end() + len(rest) + 1]
+        if (last and not after) or ("\n" not in rest and (after.islower() or after.isdigit())):
+            continue
+        out.append((m[1] or "").lower() or m[2])
+    return out
+
+
+def occurrences(text: str) -> list[str]:
+    """All words of a text in the forms in which they can end a sentence."""
+    return [*LETTERS.findall(text.lower()), *(r[i : i + 2] for r in WIDE.findall(text) if len(r) > 2 for i in range(len(r) - 1))]
 
 
 def _digest(batches):
     import hashlib
+    from collections import Counter
 
     typ = pa.list_(pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string()))]))
+    ends_typ = pa.list_(pa.struct([("word", pa.string()), ("docs", pa.int64()), ("ends", pa.int64()), ("occurs", pa.int64())]))
     last_typ = pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string())), ("bare", pa.list_(pa.string())), ("opened", pa.bool_()), ("marked", pa.bool_())])
     for whole in batches:
         for b in leak.slices(whole, "text"):
@@ -199,7 +228,8 @@ def _digest(batches):
             first, _, h = W.find(cp, off)
             row = np.searchsorted(off, first, "right") - 1
             bands = band_hashes(h, row, b.num_rows)
-            closes, lasts, enders, same, size = [], [], [], [], []
+            closes, lasts, same, size = [], [], [], []
+            docs, ended, occurs = Counter(), Counter(), Counter()  # of the slice; they stand in its first row
             cols = [b.column(c).to_pylist() for c in ("text", "kinds", "starts", "lengths")]
             for text, kinds, starts, lengths in zip(*cols):
                 cells = _cells(text, kinds, starts, lengths)
@@ -211,20 +241,23 @@ def _digest(batches):
                 k2, bare_toks, opened2 = closing(kind, bare)
                 closes.append([{"kind": a, "toks": t} for a, t in got])
                 lasts.append({"kind": k, "toks": toks, "bare": bare_toks, "opened": opened or opened2, "marked": bool(m)})
-                ends: set[str] = set()
+                ends: list[str] = []
                 heads: set[tuple[str, str]] = set()
-                for kk, xx in cells:
+                for no, (kk, xx) in enumerate(cells, 1):
                     if kk == "markdown":
-                        ends.update(a.lower() or c for a, c in ENDER.findall(xx))
+                        ends += sentence_ends(xx, no == len(cells))
+                        occurs.update(occurrences(xx))
                         for ln in xx.rstrip().split("\n")[:-1]:
                             if ln.startswith("#"):
                                 heads.add(tuple(shape(z) for z in TOKEN.findall(ln)[-4:]))
                 closes[-1] += [{"kind": "heading", "toks": list(z)} for z in heads]
-                enders.append(sorted(ends))
+                ended.update(ends)
+                docs.update(set(ends))
                 same.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest())
                 size.append(len(text))
+            enders = [[{"word": w, "docs": docs[w], "ends": ended[w], "occurs": k} for w, k in occurs.items()], *[[]] * (b.num_rows - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders, pa.list_(pa.string()))],
+                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
                 names=["doc_id", "src", "size", "same", "bands", "closings", "last", "enders"],
             )
 
@@ -294,17 +327,17 @@ class Terminality:
     def verdicts(self) -> DataFrame:
         """doc_id, score (how often the closing ends complete cells) and whether the closing is no end."""
         cells, last = self.keyed()
-        enders = self.d.select(F.explode("enders").alias("word")).groupBy("word").agg(F.count("*").alias("ends"))
+        enders = self.d.select(F.explode("enders").alias("e")).groupBy("e.word").agg(F.sum("e.docs").alias("ends"), (F.sum("e.ends") / F.sum("e.occurs")).alias("rate"))
         finals = last.groupBy("kind", "k3").agg(F.count("*").alias("finals"))
         x = last.join(cells.select("kind", F.col("k").alias("k3"), F.col("n").alias("n3")), ["kind", "k3"], "left")
         x = x.join(cells.select("kind", F.col("k").alias("k2"), F.col("n").alias("n2")), ["kind", "k2"], "left")
         x = x.join(cells.select("kind", F.col("k").alias("k1"), F.col("n").alias("n1")), ["kind", "k1"], "left")
         x = x.join(finals, ["kind", "k3"], "left").join(enders, "word", "left")
-        for c in ("n3", "n2", "n1", "finals", "ends"):
+        for c in ("n3", "n2", "n1", "finals", "ends", "rate"):
             x = x.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
         frequent = F.col("finals") >= max(3, int(STRUCTURE_SHARE * self.documents))
         sentence = (F.col("state") == "stop") & ((F.col("n2") > 1) | (F.col("ends") > 1) | (F.length("word") > ABBREVIATION))
-        pause = (F.col("state") == "pause") & ((F.col("bare_state") == "stop") | (F.col("ends") > 1))
+        pause = (F.col("state") == "pause") & ((F.col("bare_state") == "stop") | (F.col("rate") >= PAUSE_RATE))
         seen = (F.col("n3") > 2) | frequent
         # without a full stop only signs ("$$", "---", ")") or frequent whole words end a text
         structure = (F.col("state") == "open") & (F.col("form") != "x") & F.when(F.col("form") == "sign", seen).otherwise(F.greatest("finals", "n3") >= max(10, int(CLOSING_SHARE * self.documents)))

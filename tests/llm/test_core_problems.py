@@ -312,3 +312,28 @@ def test_truncation_of_a_corpus(spark):
     shares = {r.source: r for r in t.by_source().collect()}
     assert shares["lab"].documents == 400 and shares["lab"].truncated == len(got)
     assert truncation.Truncation(df.where("doc_id < 0")).found().count() == 0
+
+
+def corpus(spark, rows):
+    """rows: doc_id, list of (kind, text)."""
+    out = []
+    for d, cells in rows:
+        text, at = "", []
+        for kind, x in cells:
+            at.append({"kind": kind, "start_pos": len(text), "len_chars": len(x)})
+            text += x + "\n\n"
+        out.append((d, "lab", text.rstrip(), at))
+    return spark.createDataFrame(out, "doc_id long, source string, text string, cells array<struct<kind:string,start_pos:int,len_chars:int>>")
+
+
+def test_marked_cuts_do_not_acquit_each_other(spark):
+    def intro(d):
+        return ("markdown", f"We load table number {d} from the store. It is large (see Sec. {d}) and slow. Nobody came back from the river. Please read this section first.")
+
+    rows = [(d, [("code", "df.head()"), intro(d), ("code", "df.head()")]) for d in range(60)]
+    rows += [(100 + d, [intro(d), ("markdown", f"Copy {d} is expected because of…")]) for d in range(4)]  # the same word, several times
+    rows += [(200 + d, [intro(d), ("markdown", f"Copy {d} may be read in this sec…")]) for d in range(2)]  # an abbreviation elsewhere
+    rows += [(300 + d, [intro(7), ("markdown", "The loss stops falling after some epo...")]) for d in range(3)]  # identical texts
+    rows += [(400 + d, [intro(d), ("markdown", f"Copy {d} went down to the river…")]) for d in range(2)]  # a pause after a whole sentence
+    got = {r.doc_id for r in truncation.Truncation(corpus(spark, rows)).found().collect()}
+    assert got == {100, 101, 102, 103, 200, 201, 300, 301, 302}
