@@ -274,15 +274,19 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 class Terminality:
-    """Statistics of closings over all documents, and the verdict by closing words."""
+    """Statistics of closings over all distinct texts, and the verdict by closing words.
+
+    No text is evidence for itself: identical texts count once, and what counts final
+    closings leaves the judged text out.
+    """
 
     def __init__(self, digests: DataFrame):
         self.d = digests
-        n = digests.count()
+        n = digests.select("same").distinct().count()
         least = max(KNOWN_LEAST, int(KNOWN_SHARE * n))
-        words = digests.select("doc_id", F.explode(F.array_union(F.flatten(F.col("closings.toks")), F.array_union(F.col("last.toks"), F.col("last.bare")))).alias("t"))
-        words = words.where(F.col("t").rlike(r"(?U)^\p{L}|^_")).select("doc_id", F.lower("t").alias("t")).distinct()
-        common = words.groupBy("t").count().where(F.col("count") >= least)
+        words = digests.select("same", F.explode(F.array_union(F.flatten(F.col("closings.toks")), F.array_union(F.col("last.toks"), F.col("last.bare")))).alias("t"))
+        words = words.where(F.col("t").rlike(r"(?U)^\p{L}|^_")).select("same", F.lower("t").alias("t")).distinct()
+        common = words.groupBy("t").count().where(F.col("count") > least)  # the judged text and so many others
         self.known = [r.t for r in common.select("t").collect()]  # at most (closing words a document) / KNOWN_SHARE words
         self.documents = n
 
@@ -309,26 +313,26 @@ class Terminality:
         def run_last(pdfs):
             for pdf in pdfs:
                 rows = []
-                for doc, last in zip(pdf["doc_id"], pdf["last"]):
+                for doc, same, last in zip(pdf["doc_id"], pdf["same"], pdf["last"]):
                     toks, bare = list(last["toks"]), list(last["bare"])
                     m = mask(toks)
                     ks = keys(last["kind"], m)
                     lone = len(toks) > 1 and toks[-2] == "#"
                     form = "x" if m and m[-1] == "X" else "word" if m and (m[-1][0].isalnum()) else "sign"
                     w = next((t for t in reversed(bare) if t[0].isalpha()), "")
-                    rows.append((doc, last["kind"], ks[0][1], ks[1][1], sentence_state(toks), sentence_state(bare), ender_of(w), bool(last["opened"]), "1" + toks[-1].lower() if toks else "", form, lone))
+                    rows.append((doc, same, last["kind"], ks[0][1], ks[1][1], sentence_state(toks), sentence_state(bare), ender_of(w), bool(last["opened"]), "1" + toks[-1].lower() if toks else "", form, lone))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "kind", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "same", "kind", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
 
         cells = self.d.select("closings").mapInPandas(run_cells, "kind string, k string, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
-        last = self.d.select("doc_id", "last").mapInPandas(run_last, "doc_id long, kind string, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
+        last = self.d.select("doc_id", "same", "last").mapInPandas(run_last, "doc_id long, same string, kind string, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
         return cut(cells), cut(last)  # both are joined several times
 
     def verdicts(self) -> DataFrame:
         """doc_id, score (how often the closing ends complete cells) and whether the closing is no end."""
         cells, last = self.keyed()
         enders = self.d.select(F.explode("enders").alias("e")).groupBy("e.word").agg(F.sum("e.docs").alias("ends"), (F.sum("e.ends") / F.sum("e.occurs")).alias("rate"))
-        finals = last.groupBy("kind", "k3").agg(F.count("*").alias("finals"))
+        finals = last.groupBy("kind", "k3").agg((F.countDistinct("same") - 1).alias("finals"))  # others than the judged one
         x = last.join(cells.select("kind", F.col("k").alias("k3"), F.col("n").alias("n3")), ["kind", "k3"], "left")
         x = x.join(cells.select("kind", F.col("k").alias("k2"), F.col("n").alias("n2")), ["kind", "k2"], "left")
         x = x.join(cells.select("kind", F.col("k").alias("k1"), F.col("n").alias("n1")), ["kind", "k1"], "left")

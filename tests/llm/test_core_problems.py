@@ -337,3 +337,12 @@ def test_marked_cuts_do_not_acquit_each_other(spark):
     rows += [(400 + d, [intro(d), ("markdown", f"Copy {d} went down to the river…")]) for d in range(2)]  # a pause after a whole sentence
     got = {r.doc_id for r in truncation.Truncation(corpus(spark, rows)).found().collect()}
     assert got == {100, 101, 102, 103, 200, 201, 300, 301, 302}
+
+
+def test_copies_of_a_cut_text_do_not_acquit_it(spark):
+    rows = [(d, [("markdown", f"We load table number {d} from the store."), ("code", "df.head()"), ("markdown", f"Nobody came back from river {d}.\n---")]) for d in range(60)]
+    rows += [(100 + d, [("markdown", "We load one more table."), ("markdown", "The loss stops falling after some epo")]) for d in range(30)]
+    rows += [(200 + d, [("markdown", "We load one more table."), ("markdown", "- the loss stops falling and the med")]) for d in range(6)]
+    rows += [(300 + d, [("markdown", f"Table {d} is loaded."), ("markdown", "Thank you for reading")]) for d in range(12)]  # the same closing of different texts
+    got = {r.doc_id for r in truncation.Truncation(corpus(spark, rows)).found().collect()}
+    assert got == {*range(100, 130), *range(200, 206)}
