@@ -12,9 +12,9 @@ Two kinds of evidence, both over all documents:
 
 One pass over the texts makes a small row a document (closings of its cells,
 words that end its sentences, band hashes); all statistics come from those rows.
-Texts meet again only for candidate pairs.  Identical texts are one candidate.
-A bucket compares its members with its longest text only: that is the copy whose
-text can show what a shorter one lacks, so no pairs within a bucket are made.
+Identical texts are one candidate.  Every text whose end can tell a cut is compared
+with all longer texts of its buckets, large buckets in blocks; only its last
+characters go to the longer texts, both texts meet where those are found.
 
 Null and blank texts are not cut.  Without cells the whole text is one cell of
 kind markdown.
@@ -39,6 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BINS = 64
 BANDS = 16
+BLOCK = 512  # longer texts of a bucket that one task compares at a time
 END = 32  # characters of a document's end that are looked for in its copy
 KNOWN_SHARE = 0.002  # a word is kept as it is in a closing if so large a share of documents close a cell with it
 KNOWN_LEAST = 5
@@ -188,7 +189,7 @@ def band_hashes(h: np.ndarray, row: np.ndarray, n: int) -> list[list[int]]:
     return [[] if e else x for x, e in zip(lists, none.tolist())]
 
 
-SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
+SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, tail struct<end:string,size:long,marked:boolean>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
 
 
 def sentence_ends(text: str, last: bool) -> list[str]:
@@ -221,6 +222,7 @@ def _digest(batches):
 
     typ = pa.list_(pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string()))]))
     ends_typ = pa.list_(pa.struct([("word", pa.string()), ("docs", pa.int64()), ("ends", pa.int64()), ("occurs", pa.int64())]))
+    tail_typ = pa.struct([("end", pa.string()), ("size", pa.int64()), ("marked", pa.bool_())])
     last_typ = pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string())), ("bare", pa.list_(pa.string())), ("opened", pa.bool_()), ("marked", pa.bool_())])
     for whole in batches:
         for b in leak.slices(whole, "text"):
@@ -228,7 +230,7 @@ def _digest(batches):
             first, _, h = W.find(cp, off)
             row = np.searchsorted(off, first, "right") - 1
             bands = band_hashes(h, row, b.num_rows)
-            closes, lasts, same, size = [], [], [], []
+            closes, lasts, same, size, tails = [], [], [], [], []
             docs, ended, occurs = Counter(), Counter(), Counter()  # of the slice; they stand in its first row
             cols = [b.column(c).to_pylist() for c in ("text", "kinds", "starts", "lengths")]
             for text, kinds, starts, lengths in zip(*cols):
@@ -255,10 +257,11 @@ def _digest(batches):
                 docs.update(set(ends))
                 same.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest())
                 size.append(len(text))
+                tails.append(tail(text))
             enders = [[{"word": w, "docs": docs[w], "ends": ended[w], "occurs": k} for w, k in occurs.items()], *[[]] * (b.num_rows - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
-                names=["doc_id", "src", "size", "same", "bands", "closings", "last", "enders"],
+                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, tail_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
+                names=["doc_id", "src", "size", "same", "bands", "tail", "closings", "last", "enders"],
             )
 
 
@@ -379,42 +382,55 @@ def ender_of(word: str) -> str:
 
 
 def candidates(digests: DataFrame) -> DataFrame:
-    """(short, long): each distinct text with the longest text of each of its buckets."""
-    one = digests.groupBy("same").agg(F.min(F.struct("doc_id", "size", "bands")).alias("r")).select("r.*")
-    banded = one.select("doc_id", "size", F.explode("bands").alias("band"))
-    top = banded.groupBy("band").agg(F.max(F.struct("size", "doc_id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "top")
-    pairs = banded.join(top, "band").where(F.col("top.size") > F.col("size"))
-    return pairs.select(F.col("doc_id").alias("short"), F.col("top.doc_id").alias("long")).distinct()
-
-
-def ends_early(short: str, long: str) -> bool:
-    """True if the short text's end lies inside the long one, which goes on in the same word or line."""
+    """(short, long, tail): each distinct text that may be cut with every longer text of each of its buckets."""
+    one = digests.groupBy("same").agg(F.min(F.struct("doc_id", "size", "bands", "tail")).alias("r")).select("r.*")
+    tails = one.where("tail IS NOT NULL").select(F.col("doc_id").alias("short"), "tail")
+    banded = one.select("doc_id", "size", F.col("tail.size").alias("cut"), F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.count("cut").alias("cuts")).where("n > 1 AND cuts > 0").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = cut(banded.join(shared, "band"))  # joined with itself
+    longs = members.select("band", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.col("doc_id").alias("long"), "size")
+    shorts = members.where("cut IS NOT NULL").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("short"), "cut")
+    pairs = shorts.join(longs, ["band", "block"]).where("size > cut AND short <> long").select("short", "long").distinct()
+    return pairs.join(tails, "short")
+
+
+def tail(short: str) -> dict | None:
+    """Last characters before a cut's mark and their place; none if the text's end can't tell a cut."""
     s = short.rstrip()
     m = MARK.search(s)
     if m:
         s = s[: m.start()]
-    tail = s[-END:]
-    if len(tail) < END or len(s) >= len(long):
+    return {"end": s[-END:], "size": len(s), "marked": bool(m)} if len(s) >= END and s[-1] not in STOP else None
+
+
+def goes_on(t: dict, long: str) -> bool:
+    """True if a text's tail lies inside the long text, which goes on in the same word or line, not only with another mark."""
+    guess = t["size"]
+    if guess >= len(long):
         return False
-    guess = len(s)
-    at = long.find(tail, max(0, guess - END - guess // 5), guess + guess // 5 + END)
+    at = long.find(t["end"], max(0, guess - END - guess // 5), guess + guess // 5 + END)
     if at < 0:
         return False
-    rest = long[at + END : at + END + 2]
-    if not rest or rest[0] == "\n":
-        return False
-    if rest[0].isspace() or s[-1] in STOP:
-        return s[-1] not in STOP
-    return True
+    rest = long[at + END :]
+    return bool(rest.strip()) and rest[0] != "\n" and not (t["marked"] and len(rest) < END and MARK.fullmatch(rest))
+
+
+def ends_early(short: str, long: str) -> bool:
+    t = tail(short)
+    return t is not None and goes_on(t, long)
+
+
+def _early(pdfs):
+    for pdf in pdfs:
+        hit = [goes_on(t, x) for t, x in zip(pdf["tail"], pdf["long_text"])]
+        if any(hit):
+            yield pdf.loc[hit, ["short", "long"]]
 
 
 def _verify(pdfs):
     for pdf in pdfs:
         hit = []
         for a, b in zip(pdf["short_text"], pdf["long_text"]):
-            if not ends_early(a, b):
-                hit.append(False)
-                continue
             sets = []
             for t in (a, b):
                 cp, off = C.from_list([t])
@@ -437,9 +453,12 @@ class Truncation:
         """doc_id of texts whose alignment with a verified near-copy ends early, with all ids of the same text."""
         texts = self.documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         pairs = cut(candidates(self.digests))
-        need = pairs.select(F.col("short").alias("doc_id")).union(pairs.select(F.col("long").alias("doc_id"))).distinct()
+        longs = texts.join(pairs.select(F.col("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("long"), F.col("text").alias("long_text"))
+        inside = pairs.join(longs, "long").where(F.contains("long_text", F.col("tail.end")))
+        early = cut(inside.select("short", "long", "tail", "long_text").mapInPandas(_early, "short long, long long"))
+        need = early.select(F.col("short").alias("doc_id")).union(early.select(F.col("long").alias("doc_id"))).distinct()
         some = texts.join(need, "doc_id", "left_semi")
-        both = pairs.join(some.select(F.col("doc_id").alias("short"), F.col("text").alias("short_text")), "short").join(
+        both = early.join(some.select(F.col("doc_id").alias("short"), F.col("text").alias("short_text")), "short").join(
             some.select(F.col("doc_id").alias("long"), F.col("text").alias("long_text")), "long"
         )
         hit = both.select("short", "short_text", "long_text").mapInPandas(_verify, "doc_id long").distinct()

@@ -346,3 +346,19 @@ def test_copies_of_a_cut_text_do_not_acquit_it(spark):
     rows += [(300 + d, [("markdown", f"Table {d} is loaded."), ("markdown", "Thank you for reading")]) for d in range(12)]  # the same closing of different texts
     got = {r.doc_id for r in truncation.Truncation(corpus(spark, rows)).found().collect()}
     assert got == {*range(100, 130), *range(200, 206)}
+
+
+def test_every_longer_copy_is_compared(spark):
+    rnd = random.Random(13)
+    words_ = [f"w{rnd.randint(0, 9999)}" for _ in range(400)]
+    body = " ".join(words_)
+    texts = {1: body + " and goes on in", 2: body + " and goes on in the same line. Done.", 3: body + " but another end. " + " ".join(words_[:40]) + " Done."}
+    texts |= {10 + i: body + f" but another end {i}. " + " ".join(words_[: 20 + i]) + " Done." for i in range(8)}
+    df = corpus(spark, [(d, [("markdown", x)]) for d, x in texts.items()])
+    assert {r.doc_id for r in truncation.Truncation(df).by_copies().collect()} == {1}
+    truncation.BLOCK, kept = 2, truncation.BLOCK  # several blocks a bucket
+    try:
+        pairs = {(r.short, r.long) for r in truncation.candidates(truncation.digest(df)).collect()}
+    finally:
+        truncation.BLOCK = kept
+    assert pairs == {(1, d) for d in texts if d != 1}
