@@ -1,8 +1,9 @@
 """Problem 7: template residue, filler and server messages in place of content.
 
 Lines (blocks of clean_html, whole titles) are normalised: lower case, digits as
-0, one space.  Lines of a host that occur on a large share of its pages are its
-boilerplate and are subtracted; a field is reported if a line of the residual
+0, one space.  Body lines that stand beside content of the page's own on a large
+share of a host's other pages are its boilerplate and are subtracted there; titles
+and bodies that are messages for the most part stay, however often they occur.  A field is reported if a line of the residual
 shows an unfilled placeholder, filler, a template's default text, a server's
 error or access message, or a notice on scripts or browser checks.  Counting only
 the lines that show such evidence gives the same residual evidence as counting
@@ -23,7 +24,6 @@ from ..plans.lineage import cut
 from . import blocks
 
 RECURRENT_SHARE = 0.3
-RECURRENT_PAGES = 20
 
 # Placeholders of template languages.
 PLACEHOLDER = re.compile(
@@ -180,21 +180,25 @@ def title_evidence(title: str | None) -> bool:
     return any(p and TITLE.match(p) for p in parts)
 
 
-def body_lines(html: str | None) -> list[str]:
-    """Lines of a body that show evidence."""
-    out = []
+def body_parts(html: str | None) -> tuple[list[str], list[str]]:
+    """Lines of a body that show evidence, and the others."""
+    out: tuple[list[str], list[str]] = [], []
     for b in blocks.blocks(html, literal=False):
         s = SPACE.sub(" ", b.text.strip())
-        if placeholder(s) or filler(s) or MESSAGE.search(s):
-            out.append(s)
+        out[not (placeholder(s) or filler(s) or MESSAGE.search(s))].append(s)
     return out
 
 
+def body_lines(html: str | None) -> list[str]:
+    """Lines of a body that show evidence."""
+    return body_parts(html)[0]
+
+
 def normal_line(s: str) -> str:
     return DIGIT.sub("0", SPACE.sub(" ", s.strip().lower()))
 
 
-def residue(articles, share: float = RECURRENT_SHARE, least: int = RECURRENT_PAGES):
+def residue(articles, share: float = RECURRENT_SHARE):
     """(page_id, field_name) of titles and bodies with evidence in what is left without the host's boilerplate.
 
     articles: page_id, site, title, clean_html; other columns are ignored.
@@ -208,15 +212,23 @@ def residue(articles, share: float = RECURRENT_SHARE, least: int = RECURRENT_PAG
             rows = []
             for p, site, title, html in zip(pdf["page_id"], pdf["site"], pdf["title"], pdf["clean_html"]):
                 if title_evidence(title):
-                    rows.append((p, site, "title", normal_line(title)))
-                for s in set(body_lines(html)):
-                    rows.append((p, site, "clean_html", normal_line(s)))
+                    rows.append((p, site, "title", normal_line(title), None))
+                shown, others = body_parts(html)
+                rest = "\n".join(others) if len(others) >= len(shown) else None  # None: messages for the most part
+                for s in {normal_line(s) for s in shown}:
+                    rows.append((p, site, "clean_html", s, rest))
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "site", "field_name", "line"])
+                yield pd.DataFrame(rows, columns=["page_id", "site", "field_name", "line", "rest"])
 
     # the few lines with evidence are kept, so bodies are parsed once
-    lines = cut(a.mapInPandas(run, "page_id long, site string, field_name string, line string").withColumn("line", F.md5("line")))
+    lines = a.mapInPandas(run, "page_id long, site string, field_name string, line string, rest string")
+    lines = cut(lines.withColumn("line", F.md5("line")).withColumn("rest", F.md5("rest")))
+    # what other pages of the host have as well (a server's name, a footer) is no content of the page's own
+    own = lines.where("rest IS NOT NULL").groupBy("site", "rest").agg(F.countDistinct("page_id").alias("n")).where("n = 1").select("site", "rest")
+    beside = lines.join(own, ["site", "rest"], "left_semi").select("page_id", "site", "field_name", "line").distinct()
     pages = a.groupBy("site").agg(F.countDistinct("page_id").alias("pages"))
-    often = lines.groupBy("site", "field_name", "line").agg(F.countDistinct("page_id").alias("n")).where(F.col("n") >= least)
-    often = often.join(pages, "site").where(F.col("n") >= share * F.col("pages")).select("site", "field_name", "line")
-    return lines.join(often, ["site", "field_name", "line"], "left_anti").select("page_id", "field_name").distinct()
+    often = beside.groupBy("site", "field_name", "line").agg(F.count("*").alias("n")).join(pages, "site")
+    # the judged page is no evidence for itself
+    often = often.where((F.col("n") > 1) & (F.col("n") - 1 >= share * (F.col("pages") - 1))).select("site", "field_name", "line")
+    usual = beside.join(often, ["site", "field_name", "line"], "left_semi")
+    return lines.join(usual, ["page_id", "site", "field_name", "line"], "left_anti").select("page_id", "field_name").distinct()

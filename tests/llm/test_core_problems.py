@@ -190,6 +190,16 @@ def test_recurrent_lines_are_subtracted(spark):
     assert [tuple(r) for r in templates.residue(df).collect()] == [(200, "clean_html")]
 
 
+def test_recurrent_messages_in_place_of_content_stay(spark):
+    notice = "<p>Please enable JavaScript to view this page.</p>"
+    rows = [(i, "a.example", "Untitled", f"<div><p>Story {i}</p><p>It goes on.</p></div>") for i in range(30)]
+    rows += [(100 + i, "b.example", f"Title {i}", "<p>503 Service Unavailable</p>" + ("<p>nginx</p>" if i % 2 else "")) for i in range(30)]
+    rows += [(200 + i, "c.example", f"Title {i}", f"<div>{notice}<p>Story {i}</p></div>") for i in range(6)]  # few pages, the same share
+    df = spark.createDataFrame(rows, "page_id long, site string, title string, clean_html string")
+    got = {tuple(r) for r in templates.residue(df).collect()}
+    assert got == {(i, "title") for i in range(30)} | {(100 + i, "clean_html") for i in range(30)}
+
+
 # ------------------------------------------------------------ 8 leaks
 def brute_leaks(docs, items, span):
     out = set()
