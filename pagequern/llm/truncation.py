@@ -2,19 +2,26 @@
 
 Two kinds of evidence, both over all documents:
 
-* near-copies: five-word shingles, min-hash banding (one permutation hashing),
-  pairs verified at a similarity of 0.8; where the shorter text's end is found
-  inside the longer one and the longer goes on in the same word or line, the
-  shorter was cut;
+* near-copies: a cut copy is like the beginning of its whole text, so five-word
+  shingles are min-hashed (one permutation hashing, banded) for the beginnings of
+  16, 32, 64, ... words; a text meets longer ones in the bands of its own length.
+  Pairs are verified by aligning their shared shingles: at least 0.8 of the
+  shorter text's shingles must be in the longer one, the alignment must end at
+  the shorter text's end, and the longer one must go on in the same word or line;
 * closing-word terminality: how often the closing tokens of a document end a
   cell elsewhere.  Cells before the last one are complete, so their ends are the
-  statistics; a closing that ends no complete cell of its kind is no end.
+  statistics; a closing that ends too small a share of them is no end.  Lengths at
+  which significantly many texts of a source end are its field's limits; there a
+  closing that could be either (base64, a table's head, a word of which more
+  stands elsewhere) is a cut.
 
 One pass over the texts makes a small row a document (closings of its cells,
 words that end its sentences, band hashes); all statistics come from those rows.
-Identical texts are one candidate.  Every text whose end can tell a cut is compared
-with all longer texts of its buckets, large buckets in blocks; only its last
-characters go to the longer texts, both texts meet where those are found.
+Identical texts are one candidate.  No bucket is compared pair by pair: a text
+looks for the run of five words before its last word, in a bucket it shares,
+where the longer texts have that run inside a line.  All longer texts with one
+run and bucket are a class; its first and last member are verified, and the rest
+only for texts that neither of them confirms.
 
 Null and blank texts are not cut.  Without cells the whole text is one cell of
 kind markdown.
@@ -37,12 +44,18 @@ from . import words as W
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BINS = 64
-BANDS = 16
-BLOCK = 512  # longer texts of a bucket that one task compares at a time
-END = 32  # characters of a document's end that are looked for in its copy
+BANDS = 6
+ROWS = 3  # min-hashes a band
+BINS = BANDS * ROWS
+LEVELS = [16 << i for i in range(24)]  # words of the beginnings that are min-hashed
+END = 32  # least length of a text that can be a cut copy
+SPIKE = 16.0  # log-likelihood ratio from which on a length is a limit of its source
+AROUND = 64  # lengths before and after one that tell how many texts end there by chance
 KNOWN_SHARE = 0.002  # a word is kept as it is in a closing if so large a share of documents close a cell with it
 KNOWN_LEAST = 5
+END_SHARE = 2e-5  # a closing is an end if it ends so large a share of the complete cells of its kind
+END_LEAST = 2  # ... and so many of them, for one says nothing
+END_RATE = 0.002  # a word ends sentences if it does so at so large a share of its occurrences
 STRUCTURE_SHARE = 0.002  # a closing line of signs, a list item or heading is usual from so large a share of documents on
 PAUSE_RATE = 0.25  # an ellipsis is the author's only after a word that ends a sentence at so large a share of its occurrences
 CLOSING_SHARE = 0.005  # a text without a full stop may end in the same words in so large a share of documents
@@ -55,6 +68,9 @@ STOP = ".!?。！？।"
 AFTER_STOP = "\"'”’»)]*_"
 ENDER = re.compile(r"([^\W\d_]{2,})[\"'”’»)*_]*[.!?](?=\s|$)|([぀-ヿ㐀-鿿]{2})[。！？]")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
+ANY = "*"  # stands for all sources together, whose limits hold for texts without a source
+LAST_WORD = re.compile(r"[^\W\d_]{2,}\Z")
+FEW = 2_000_000  # keys (of 8 bytes) that are sent to all executors at most
 WIDE = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 
@@ -114,7 +130,7 @@ def closing(kind: str, text: str) -> tuple[str, list[str], bool]:
             kind = "item"
     elif kind == "output" and len(line) > 40 and re.fullmatch(r"[A-Za-z0-9+/=]+", line):
         run = re.search(r"[A-Za-z0-9+/=\n]+\Z", t).group().replace("\n", "")
-        return "base64", ["=" if len(run) % 4 == 0 else "open"], len(run) % 4 != 0
+        return "base64", ["open" if len(run) % 4 else "=" if run[-1] == "=" else "full"], len(run) % 4 != 0
     elif kind == "output":
         before = t[:-len(line)].rstrip("\n") if line else ""
         prev = before[before.rfind("\n") + 1 :]
@@ -146,50 +162,70 @@ def _cells(text: str, kinds, starts, lengths) -> list[tuple[str, str]]:
 
 
 def shingle_hashes(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every run of SHINGLE words within a row; a shorter row is one shingle."""
+    """(place of the first word, hash) of every run of SHINGLE words within a row."""
     m = len(h) - SHINGLE + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     s = np.zeros(m, np.uint64)
     for j in range(SHINGLE):
         s = s * W.MULT + h[j : j + m]
-    ok = row[:m] == row[SHINGLE - 1 :]
-    return row[:m][ok], W.mix(s[ok])
+    at = np.flatnonzero(row[:m] == row[SHINGLE - 1 :])
+    return at, W.mix(s[at])
 
 
-def band_hashes(h: np.ndarray, row: np.ndarray, n: int) -> list[list[int]]:
-    """Band hashes of each row by one permutation hashing with rotation of empty bins."""
-    r, s = shingle_hashes(h, row)
+def band_hashes(h: np.ndarray, row: np.ndarray, n: int) -> tuple[list[list[int]], list[list[int]]]:
+    """(bands of all beginnings, bands of the longest beginning) of each row.
+
+    One permutation hashing with rotation of empty bins.  The signature of a
+    beginning is the minimum of the one before and what was added, so the shingles
+    are gone through once.  A row of fewer words than the first level has no bands.
+    """
+    size = np.bincount(row, minlength=n)
+    begin = np.zeros(n + 1, np.int64)
+    np.cumsum(size, out=begin[1:])
+    at, s = shingle_hashes(h, row)
+    r = row[at]
+    last = at - begin[r] + SHINGLE  # words up to the shingle's end
+    level = np.searchsorted(LEVELS, last)
+    bins = (s % np.uint64(BINS)).astype(np.int64)
     sig = np.full((n, BINS), np.iinfo(np.uint64).max, np.uint64)
-    bins = (s >> np.uint64(58)).astype(np.int64)
-    if len(r):
-        key = r * BINS + bins
-        order = np.argsort(key, kind="stable")
-        key, v = key[order], s[order]
-        head = np.flatnonzero(np.diff(key, prepend=-1))
-        sig.reshape(-1)[key[head]] = np.minimum.reduceat(v, head)
+    every: list[list[int]] = [[] for _ in range(n)]
+    own: list[list[int]] = [[] for _ in range(n)]
+    order = np.argsort(level, kind="stable")
+    cuts = np.searchsorted(level[order], np.arange(len(LEVELS) + 1))
+    for k, words in enumerate(LEVELS):
+        rows = np.flatnonzero(size >= words)
+        if not len(rows):
+            break
+        part = order[cuts[k] : cuts[k + 1]]
+        np.minimum.at(sig, (r[part], bins[part]), s[part])
+        got = _banded(sig[rows], k).view(np.int64).tolist()
+        for i, x in zip(rows.tolist(), got):
+            every[i] += x
+            own[i] = x
+    return every, own
+
+
+def _banded(sig: np.ndarray, level: int) -> np.ndarray:
     empty = sig == np.iinfo(np.uint64).max
-    none = empty.all(1)
-    missing, given = empty.copy(), sig
+    out = sig.copy()
     for step in range(1, BINS):
-        if not (empty & ~none[:, None]).any():
+        if not empty.any():
             break
-        donor = np.roll(given, -step, axis=1)
-        filled = missing & ~np.roll(missing, -step, axis=1) & empty
-        sig = np.where(filled, donor + np.uint64(step * int(W.MULT) & W.MASK), sig)
-        empty = empty & ~filled
-    per = BINS // BANDS
-    out = np.zeros((n, BANDS), np.uint64)
+        donor, has = np.roll(sig, -step, axis=1), ~np.roll(sig == np.iinfo(np.uint64).max, -step, axis=1)
+        fill = empty & has
+        out = np.where(fill, donor + np.uint64(step * int(W.MULT) & W.MASK), out)
+        empty &= ~fill
+    bands = np.zeros((len(sig), BANDS), np.uint64)
     for b in range(BANDS):
-        x = np.full(n, b + 1, np.uint64)
-        for j in range(per):
-            x = W.mix(x * W.MULT + sig[:, b * per + j])
-        out[:, b] = x
-    lists = out.view(np.int64).tolist()
-    return [[] if e else x for x, e in zip(lists, none.tolist())]
+        x = np.full(len(sig), b + 1 + BANDS * level, np.uint64)
+        for j in range(ROWS):
+            x = W.mix(x * W.MULT + out[:, b * ROWS + j])
+        bands[:, b] = x
+    return bands
 
 
-SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, tail struct<end:string,size:long,marked:boolean>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
+SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, own array<long>, anchor long, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean,fragment:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
 
 
 def sentence_ends(text: str, last: bool) -> list[str]:
@@ -222,15 +258,15 @@ def _digest(batches):
 
     typ = pa.list_(pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string()))]))
     ends_typ = pa.list_(pa.struct([("word", pa.string()), ("docs", pa.int64()), ("ends", pa.int64()), ("occurs", pa.int64())]))
-    tail_typ = pa.struct([("end", pa.string()), ("size", pa.int64()), ("marked", pa.bool_())])
-    last_typ = pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string())), ("bare", pa.list_(pa.string())), ("opened", pa.bool_()), ("marked", pa.bool_())])
+    last_typ = pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string())), ("bare", pa.list_(pa.string())), ("opened", pa.bool_()), ("marked", pa.bool_()), ("fragment", pa.bool_())])
     for whole in batches:
         for b in leak.slices(whole, "text"):
             cp, off = C.from_arrow(b.column("text"))
             first, _, h = W.find(cp, off)
             row = np.searchsorted(off, first, "right") - 1
-            bands = band_hashes(h, row, b.num_rows)
-            closes, lasts, same, size, tails = [], [], [], [], []
+            bands, own = band_hashes(h, row, b.num_rows)
+            ends_at = np.searchsorted(row, np.arange(b.num_rows), "right")
+            closes, lasts, same, size, anchors = [], [], [], [], []
             docs, ended, occurs = Counter(), Counter(), Counter()  # of the slice; they stand in its first row
             cols = [b.column(c).to_pylist() for c in ("text", "kinds", "starts", "lengths")]
             for text, kinds, starts, lengths in zip(*cols):
@@ -242,7 +278,7 @@ def _digest(batches):
                 bare = x.rstrip()[: m.start()] if m else x
                 k2, bare_toks, opened2 = closing(kind, bare)
                 closes.append([{"kind": a, "toks": t} for a, t in got])
-                lasts.append({"kind": k, "toks": toks, "bare": bare_toks, "opened": opened or opened2, "marked": bool(m)})
+                lasts.append({"kind": k, "toks": toks, "bare": bare_toks, "opened": opened or opened2, "marked": bool(m), "fragment": fragment(text)})
                 ends: list[str] = []
                 heads: set[tuple[str, str]] = set()
                 for no, (kk, xx) in enumerate(cells, 1):
@@ -257,11 +293,12 @@ def _digest(batches):
                 docs.update(set(ends))
                 same.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest())
                 size.append(len(text))
-                tails.append(tail(text))
+                n = int(ends_at[len(size) - 1])
+                anchors.append(anchor(text, h[int(ends_at[len(size) - 2]) if len(size) > 1 else 0 : n]) if own[len(size) - 1] else None)
             enders = [[{"word": w, "docs": docs[w], "ends": ended[w], "occurs": k} for w, k in occurs.items()], *[[]] * (b.num_rows - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, tail_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
-                names=["doc_id", "src", "size", "same", "bands", "tail", "closings", "last", "enders"],
+                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, anchors)], pa.list_(pa.int64())), pa.array(anchors, pa.int64()), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
+                names=["doc_id", "src", "size", "same", "bands", "own", "anchor", "closings", "last", "enders"],
             )
 
 
@@ -316,21 +353,33 @@ class Terminality:
         def run_last(pdfs):
             for pdf in pdfs:
                 rows = []
-                for doc, same, last in zip(pdf["doc_id"], pdf["same"], pdf["last"]):
+                for doc, same, src, size, last in zip(pdf["doc_id"], pdf["same"], pdf["src"], pdf["size"], pdf["last"]):
                     toks, bare = list(last["toks"]), list(last["bare"])
                     m = mask(toks)
                     ks = keys(last["kind"], m)
                     lone = len(toks) > 1 and toks[-2] == "#"
                     form = "x" if m and m[-1] == "X" else "word" if m and (m[-1][0].isalnum()) else "sign"
                     w = next((t for t in reversed(bare) if t[0].isalpha()), "")
-                    rows.append((doc, same, last["kind"], ks[0][1], ks[1][1], sentence_state(toks), sentence_state(bare), ender_of(w), bool(last["opened"]), "1" + toks[-1].lower() if toks else "", form, lone))
+                    rows.append((doc, same, src, size, bool(last["fragment"]), last["kind"], ks[0][1], ks[1][1], sentence_state(toks), sentence_state(bare), ender_of(w), bool(last["opened"]), "1" + toks[-1].lower() if toks else "", form, lone))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "same", "kind", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "same", "src", "size", "fragment", "kind", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
 
         cells = self.d.select("closings").mapInPandas(run_cells, "kind string, k string, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
-        last = self.d.select("doc_id", "same", "last").mapInPandas(run_last, "doc_id long, same string, kind string, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
+        last = self.d.select("doc_id", "same", F.coalesce("src", F.lit(ANY)).alias("src"), "size", "last").mapInPandas(run_last, "doc_id long, same string, src string, size long, fragment boolean, kind string, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
         return cut(cells), cut(last)  # both are joined several times
 
+    def limits(self) -> DataFrame:
+        """(src, size): lengths of a source (of all texts: ANY) at which significantly more texts end than around them."""
+        one = self.d.groupBy("same").agg(F.min(F.struct(F.coalesce("src", F.lit(ANY)).alias("src"), "size")).alias("r")).select("r.*")
+        sizes = one.where(F.col("src") != ANY).unionByName(one.withColumn("src", F.lit(ANY))).groupBy("src", "size").agg(F.count("*").alias("n"))
+        sizes = cut(sizes.withColumn("part", F.floor(F.col("size") / AROUND)))  # one row a length
+        near = sizes.select("src", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"), F.col("size").alias("other"), F.col("n").alias("k"))
+        x = sizes.join(near, ["src", "part"]).where((F.abs(F.col("size") - F.col("other")) <= AROUND) & (F.col("size") != F.col("other")))
+        x = sizes.join(x.groupBy("src", "size").agg(F.sum("k").alias("k")), ["src", "size"], "left")
+        by_chance = F.greatest(F.coalesce("k", F.lit(0)), F.lit(1)) / (2.0 * AROUND)
+        ratio = F.col("n") * F.log(F.col("n") / by_chance) - (F.col("n") - by_chance)
+        return x.where((F.col("n") >= 2 * by_chance) & (ratio >= SPIKE)).select("src", "size", F.lit(True).alias("limit"))
+
     def verdicts(self) -> DataFrame:
         """doc_id, score (how often the closing ends complete cells) and whether the closing is no end."""
         cells, last = self.keyed()
@@ -340,18 +389,28 @@ class Terminality:
         x = x.join(cells.select("kind", F.col("k").alias("k2"), F.col("n").alias("n2")), ["kind", "k2"], "left")
         x = x.join(cells.select("kind", F.col("k").alias("k1"), F.col("n").alias("n1")), ["kind", "k1"], "left")
         x = x.join(finals, ["kind", "k3"], "left").join(enders, "word", "left")
+        x = x.join(self.limits(), ["src", "size"], "left").withColumn("limit", F.coalesce("limit", F.lit(False)))
         for c in ("n3", "n2", "n1", "finals", "ends", "rate"):
             x = x.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
+        totals = {r.kind: r.n for r in cells.where(F.col("k").startswith("3")).groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
+        least = F.create_map(*[F.lit(y) for k, n in totals.items() for y in (k, float(max(END_LEAST, END_SHARE * n)))]) if totals else F.create_map().cast("map<string,double>")
+
+        def enough(c: str):
+            return F.col(c) >= F.coalesce(F.try_element_at(least, F.col("kind")), F.lit(float(END_LEAST)))
+
+        ender = (F.col("ends") >= END_LEAST) & (F.col("rate") >= END_RATE)
+        unsure = F.col("limit") & ((F.col("form") == "x") | F.col("fragment"))
         frequent = F.col("finals") >= max(3, int(STRUCTURE_SHARE * self.documents))
-        sentence = (F.col("state") == "stop") & ((F.col("n2") > 1) | (F.col("ends") > 1) | (F.length("word") > ABBREVIATION))
+        sentence = (F.col("state") == "stop") & (enough("n2") | ender | (F.length("word") > ABBREVIATION))
         pause = (F.col("state") == "pause") & ((F.col("bare_state") == "stop") | (F.col("rate") >= PAUSE_RATE))
-        seen = (F.col("n3") > 2) | frequent
+        seen = enough("n3") | frequent
         # without a full stop only signs ("$$", "---", ")") or frequent whole words end a text
         structure = (F.col("state") == "open") & (F.col("form") != "x") & F.when(F.col("form") == "sign", seen).otherwise(F.greatest("finals", "n3") >= max(10, int(CLOSING_SHARE * self.documents)))
         text_end = (F.col("kind") == "markdown") & (sentence | pause | structure)
-        item_end = (F.col("kind") == "item") & (sentence | ((F.col("form") != "x") & (seen | frequent)))
-        heading_end = (F.col("kind") == "heading") & ((F.col("n1") > 1) | frequent & (F.col("form") != "x") | sentence | (F.col("ends") > 1) | (~F.col("lone") & (F.col("n3") > 1)))
-        other_end = ~F.col("kind").isin("markdown", "item", "heading") & ~F.col("opened") & ((F.col("n3") > 1) | (F.col("kind") == "base64"))
+        item_end = (F.col("kind") == "item") & (sentence | ((F.col("form") != "x") & seen & ~unsure))
+        heading_end = (F.col("kind") == "heading") & (enough("n1") | (frequent & (F.col("form") != "x")) | sentence | (~F.col("limit") & ~F.col("fragment") & (ender | (~F.col("lone") & enough("n3")))))
+        sure64 = (F.col("kind") == "base64") & ~(F.col("limit") & F.col("k3").endswith("full"))
+        other_end = ~F.col("kind").isin("markdown", "item", "heading") & ~F.col("opened") & ((enough("n3") & ~((F.col("kind") == "output") & unsure) & (F.col("kind") != "base64")) | sure64)
         return x.select("doc_id", F.col("n3").alias("score"), (~(text_end | item_end | heading_end | other_end)).alias("no_end"))
 
 
@@ -381,65 +440,134 @@ def ender_of(word: str) -> str:
     return word.lower()
 
 
-def candidates(digests: DataFrame) -> DataFrame:
-    """(short, long, tail): each distinct text that may be cut with every longer text of each of its buckets."""
-    one = digests.groupBy("same").agg(F.min(F.struct("doc_id", "size", "bands", "tail")).alias("r")).select("r.*")
-    tails = one.where("tail IS NOT NULL").select(F.col("doc_id").alias("short"), "tail")
-    banded = one.select("doc_id", "size", F.col("tail.size").alias("cut"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.count("cut").alias("cuts")).where("n > 1 AND cuts > 0").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = cut(banded.join(shared, "band"))  # joined with itself
-    longs = members.select("band", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.col("doc_id").alias("long"), "size")
-    shorts = members.where("cut IS NOT NULL").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("short"), "cut")
-    pairs = shorts.join(longs, ["band", "block"]).where("size > cut AND short <> long").select("short", "long").distinct()
-    return pairs.join(tails, "short")
-
-
-def tail(short: str) -> dict | None:
-    """Last characters before a cut's mark and their place; none if the text's end can't tell a cut."""
-    s = short.rstrip()
+def anchor(text: str, h: np.ndarray) -> int | None:
+    """Hash of the five words before the last one, which may be a part only; none if the text's end can't tell a cut."""
+    s = text.rstrip()
     m = MARK.search(s)
     if m:
-        s = s[: m.start()]
-    return {"end": s[-END:], "size": len(s), "marked": bool(m)} if len(s) >= END and s[-1] not in STOP else None
+        text = s = s[: m.start()].rstrip()
+        cp, off = C.from_list([s])
+        h = W.find(cp, off)[2]
+    if len(s) < END or s[-1] in STOP or len(h) <= SHINGLE:
+        return None
+    x = np.zeros(1, np.uint64)
+    for j in range(SHINGLE):
+        x = x * W.MULT + h[len(h) - 1 - SHINGLE + j]
+    return int(W.mix(x).view(np.int64)[0])
 
 
-def goes_on(t: dict, long: str) -> bool:
-    """True if a text's tail lies inside the long text, which goes on in the same word or line, not only with another mark."""
-    guess = t["size"]
-    if guess >= len(long):
+def fragment(text: str) -> bool:
+    """The last word stands nowhere else in the text, but begins a longer word of it."""
+    s = text.rstrip()
+    m = LAST_WORD.search(s)
+    if not m:
         return False
-    at = long.find(t["end"], max(0, guess - END - guess // 5), guess + guess // 5 + END)
-    if at < 0:
-        return False
-    rest = long[at + END :]
-    return bool(rest.strip()) and rest[0] != "\n" and not (t["marked"] and len(rest) < END and MARK.fullmatch(rest))
-
+    w = m.group()
+    return bool(re.search(rf"(?<![^\W_]){re.escape(w)}[^\W\d_]", s)) and len(re.findall(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", s)) == 1
 
-def ends_early(short: str, long: str) -> bool:
-    t = tail(short)
-    return t is not None and goes_on(t, long)
 
-
-def _early(pdfs):
-    for pdf in pdfs:
-        hit = [goes_on(t, x) for t, x in zip(pdf["tail"], pdf["long_text"])]
-        if any(hit):
-            yield pdf.loc[hit, ["short", "long"]]
+def _inside(batches):
+    """(h, doc_id) of the runs of SHINGLE words after which a line goes on with another word."""
+    for whole in batches:
+        for b in leak.slices(whole, "text"):
+            cp, off = C.from_arrow(b.column("text"))
+            first, end, h = W.find(cp, off)
+            row = np.searchsorted(off, first, "right") - 1
+            lines = np.zeros(len(cp) + 1, np.int64)
+            np.cumsum(cp == 0x0A, out=lines[1:])
+            at, s = shingle_hashes(h, row)
+            nxt = at + SHINGLE
+            ok = nxt < len(h)
+            at, s, nxt = at[ok], s[ok], nxt[ok]
+            ok = (row[nxt] == row[at]) & (lines[first[nxt]] == lines[end[nxt - 1]])
+            pair = np.unique(np.stack([row[at[ok]].astype(np.uint64), s[ok]]), axis=1)
+            if pair.shape[1]:
+                ids = b.column("doc_id").take(pa.array(pair[0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64)), ids], names=["h", "doc_id"])
+
+
+def only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column is among keys; keys are sent to all executors only if they are few, by count."""
+    keys = cut(keys.select(column).distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, column, "left_semi")
+
+
+def aligned(short: str, long: str) -> bool:
+    """True if short is a near-copy of a beginning of long, their alignment ends with short, and long goes on in the same word or line."""
+    s = short.rstrip()
+    m = MARK.search(s)
+    s = s[: m.start()].rstrip() if m else s
+    (first, _, h), (first2, end2, h2) = (W.find(*C.from_list([t])) for t in (s, long))
+    a, b = (shingle_hashes(x, np.zeros(len(x), np.int64))[1] for x in (h, h2))
+    if len(h) <= SHINGLE or not len(b):
+        return False
+    whole = a[:-1]  # the last word may be a part
+    if np.isin(np.unique(whole), b).mean() < SIMILARITY:
+        return False
+    word = s[int(first[-1]) :]
+    for i in np.flatnonzero(b == whole[-1]).tolist():  # where the alignment ends with the short text
+        at = i + SHINGLE
+        if at >= len(h2):
+            continue
+        # most shared shingles lie on few shifts up to here: those before the end must be before the place found
+        if np.isin(np.unique(whole), b[: i + 1]).mean() < SIMILARITY:
+            continue
+        start = int(first2[at])
+        if "\n" in long[int(end2[at - 1]) : start] or not long[start:].startswith(word):
+            continue
+        rest = long[start + len(word) :]
+        if not rest.strip() or rest[0] == "\n" or (m and MARK.fullmatch(rest)):
+            continue
+        return True
+    return False
 
 
 def _verify(pdfs):
     for pdf in pdfs:
-        hit = []
-        for a, b in zip(pdf["short_text"], pdf["long_text"]):
-            sets = []
-            for t in (a, b):
-                cp, off = C.from_list([t])
-                _, _, h = W.find(cp, off)
-                sets.append(np.unique(shingle_hashes(h, np.zeros(len(h), np.int64))[1]))
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            hit.append(both >= SIMILARITY * max(1, len(sets[0]) + len(sets[1]) - both))
+        hit = [aligned(a, b) for a, b in zip(pdf["short_text"], pdf["long_text"])]
         if any(hit):
-            yield pdf.loc[hit, ["short"]].rename(columns={"short": "doc_id"})
+            yield pdf.loc[hit, ["short"]]
+
+
+class Copies:
+    """Texts that a verified near-copy shows to be cut."""
+
+    def __init__(self, digests: DataFrame, texts: DataFrame):
+        """digests: SCHEMA; texts: doc_id, text."""
+        self.texts = texts
+        one = digests.groupBy("same").agg(F.min(F.struct("doc_id", "bands", "own", "anchor")).alias("r")).select("r.*")
+        banded = one.select("doc_id", F.explode("bands").alias("band"), F.array_contains("own", F.col("band")).alias("own"))
+        shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.max("own").alias("cuts")).where("n > 1 AND cuts").select("band")
+        self.members = cut(banded.join(shared, "band"))  # texts of buckets in which one can be a cut copy of another
+        self.shorts = cut(self.members.where("own").join(one.select("doc_id", F.col("anchor").alias("h")), "doc_id").select("h", "band", F.col("doc_id").alias("short")))
+
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(h, band, doc_id) of texts that go on after the run h, and (h, band, low, high, n): their classes."""
+        runs = only(self.texts, self.members, "doc_id").mapInArrow(_inside, "h long, doc_id long")
+        runs = only(runs, self.shorts, "h")
+        longs = cut(runs.join(self.members.select("doc_id", "band"), "doc_id").select("h", "band", "doc_id"))
+        return longs, longs.groupBy("h", "band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """short of the verified ones of the pairs (short, long)."""
+        pairs = cut(pairs)
+        need = pairs.select(F.col("short").alias("doc_id")).union(pairs.select(F.col("long").alias("doc_id")))
+        some = only(self.texts, need, "doc_id")
+        both = pairs.join(some.select(F.col("doc_id").alias("short"), F.col("text").alias("short_text")), "short").join(
+            some.select(F.col("doc_id").alias("long"), F.col("text").alias("long_text")), "long"
+        )
+        return both.select("short", "short_text", "long_text").mapInPandas(_verify, "short long").distinct()
+
+    def found(self) -> DataFrame:
+        """doc_id of one text of each group of identical ones."""
+        longs, classes = self.classes()
+        met = self.shorts.join(classes, ["h", "band"])
+        ends = met.select("short", F.explode(F.array("low", "high")).alias("long")).where("short <> long").distinct()
+        sure = cut(self.verified(ends))
+        # what neither end of a class confirms is compared with all the others of it
+        left = met.where("n > 2").join(sure, "short", "left_anti").select("h", "band", "short", "low", "high")
+        rest = left.join(longs.withColumnRenamed("doc_id", "long"), ["h", "band"]).where("long NOT IN (short, low, high)").select("short", "long").distinct()
+        return sure.union(self.verified(rest)).select(F.col("short").alias("doc_id")).distinct()
 
 
 class Truncation:
@@ -452,16 +580,7 @@ class Truncation:
     def by_copies(self) -> DataFrame:
         """doc_id of texts whose alignment with a verified near-copy ends early, with all ids of the same text."""
         texts = self.documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        pairs = cut(candidates(self.digests))
-        longs = texts.join(pairs.select(F.col("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("long"), F.col("text").alias("long_text"))
-        inside = pairs.join(longs, "long").where(F.contains("long_text", F.col("tail.end")))
-        early = cut(inside.select("short", "long", "tail", "long_text").mapInPandas(_early, "short long, long long"))
-        need = early.select(F.col("short").alias("doc_id")).union(early.select(F.col("long").alias("doc_id"))).distinct()
-        some = texts.join(need, "doc_id", "left_semi")
-        both = early.join(some.select(F.col("doc_id").alias("short"), F.col("text").alias("short_text")), "short").join(
-            some.select(F.col("doc_id").alias("long"), F.col("text").alias("long_text")), "long"
-        )
-        hit = both.select("short", "short_text", "long_text").mapInPandas(_verify, "doc_id long").distinct()
+        hit = Copies(self.digests, texts).found()
         same = self.digests.select("doc_id", "same")
         return same.join(hit.join(same, "doc_id").select("same").distinct(), "same", "left_semi").select("doc_id")
 

@@ -271,22 +271,23 @@ def test_open_statement(code, open_):
     assert truncation.open_statement(code) == open_
 
 
-def test_ends_early():
+def test_alignment_ends_early():
     full = "We load the table first and look at its columns. Then we plot the values for every week of the sample."
-    assert truncation.ends_early(full[:-20], full) and truncation.ends_early(full[:-20] + "...", full)
-    assert not truncation.ends_early(full, full) and not truncation.ends_early("short", full)
+    assert truncation.aligned(full[:-20], full) and truncation.aligned(full[:-20] + "...", full)
+    assert not truncation.aligned(full, full) and not truncation.aligned("short", full) and not truncation.aligned("", full) and not truncation.aligned(full[:-20], "")
+    assert not truncation.aligned(full[:-20], full.replace("for every week", "for\nevery week")[: len(full) - 20] + "\nmore")
+    assert not truncation.aligned("Another start of the text is here, with words. Then we plot the values for eve", full)
 
 
-def test_banding_finds_similar_texts():
+def test_bands_of_beginnings():
     rnd = random.Random(5)
     a = [f"w{rnd.randint(0, 5000)}" for _ in range(400)]
-    b = a[:380]
-    c = [f"v{rnd.randint(0, 5000)}" for _ in range(400)]
-    texts = [" ".join(a), " ".join(b), " ".join(c), "", "one two"]
+    texts = [" ".join(a), " ".join(a[:380]), " ".join(a[:70]), " ".join(f"v{rnd.randint(0, 5000)}" for _ in range(400)), "", "one two"]
     cp, off = codepoints.from_list(texts)
     first, _, h = words.find(cp, off)
-    bands = truncation.band_hashes(h, np.searchsorted(off, first, "right") - 1, len(texts))
-    assert set(bands[0]) & set(bands[1]) and not set(bands[0]) & set(bands[2]) and bands[3] == []
+    every, own = truncation.band_hashes(h, np.searchsorted(off, first, "right") - 1, len(texts))
+    assert set(own[1]) <= set(every[0]) and set(own[2]) <= set(every[0]) and set(own[2]) <= set(every[1])
+    assert not set(every[0]) & set(every[3]) and every[4] == own[4] == every[5] == [] and len(own[2]) == truncation.BANDS
 
 
 def test_truncation_of_a_corpus(spark):
@@ -358,17 +359,49 @@ def test_copies_of_a_cut_text_do_not_acquit_it(spark):
     assert got == {*range(100, 130), *range(200, 206)}
 
 
-def test_every_longer_copy_is_compared(spark):
+def brute_copies(texts):
+    """All texts that are a cut copy of some other one, by aligning every pair."""
+    return {a for a, x in texts.items() for b, y in texts.items() if a != b and x != y and not x.rstrip().endswith(".") and len(x) < len(y) and truncation.aligned(x, y)}
+
+
+def test_near_copies_against_brute_force(spark):
+    rnd = random.Random(17)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklmnpr" for b in "aeiou" for c in ("bra", "dren", "fis", "gol", "kam")]
+    texts, d = {}, 0
+    for _ in range(40):  # tutorials, copied, edited and cut
+        body = []
+        for _ in range(rnd.randint(8, 20)):
+            body.append(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(8, 20))) + ".")
+        for _ in range(rnd.randint(2, 6)):
+            x = list(body)
+            if rnd.random() < 0.6:
+                x[rnd.randrange(len(x))] = " ".join(rnd.choice(vocab) for _ in range(6)) + "."
+            t = "\n".join(x)
+            if rnd.random() < 0.4:
+                t = t[: rnd.randint(len(t) // 4, len(t) - 10)].rstrip()
+            texts[d], d = t, d + 1
+    want = brute_copies(texts)
+    got = {r.doc_id for r in truncation.Truncation(corpus(spark, [(i, [("markdown", x)]) for i, x in texts.items()])).by_copies().collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_every_member_of_a_class_is_tried(spark):
     rnd = random.Random(13)
     words_ = [f"w{rnd.randint(0, 9999)}" for _ in range(400)]
+    other = [f"v{rnd.randint(0, 9999)}" for _ in range(400)]
     body = " ".join(words_)
-    texts = {1: body + " and goes on in", 2: body + " and goes on in the same line. Done.", 3: body + " but another end. " + " ".join(words_[:40]) + " Done."}
-    texts |= {10 + i: body + f" but another end {i}. " + " ".join(words_[: 20 + i]) + " Done." for i in range(8)}
+    # the first and the last of the class go on after the same run of words, but in a line of another word
+    texts = {5: body + " and goes on in the same li", 6: body + " and goes on in the same line. Done."}
+    texts |= {i: body + f" and goes on in the same way {i} {' '.join(other[:i])}. Done." for i in (1, 2, 9, 10)}
     df = corpus(spark, [(d, [("markdown", x)]) for d, x in texts.items()])
-    assert {r.doc_id for r in truncation.Truncation(df).by_copies().collect()} == {1}
-    truncation.BLOCK, kept = 2, truncation.BLOCK  # several blocks a bucket
-    try:
-        pairs = {(r.short, r.long) for r in truncation.candidates(truncation.digest(df)).collect()}
-    finally:
-        truncation.BLOCK = kept
-    assert pairs == {(1, d) for d in texts if d != 1}
+    assert {r.doc_id for r in truncation.Truncation(df).by_copies().collect()} == {5}
+    again = corpus(spark, [(d, [("markdown", x)]) for d, x in ({**texts, 20: texts[5]}).items()])  # identical texts share the verdict
+    assert {r.doc_id for r in truncation.Truncation(again).by_copies().collect()} == {5, 20}
+
+
+def test_lengths_at_which_a_source_is_cut(spark):
+    rows = [(d, [("markdown", "word " * (20 + d % 97) + "ends here.")]) for d in range(300)]
+    rows += [(1000 + d, [("markdown", f"{d:04d}" + "x y " * 24)]) for d in range(12)]
+    t = truncation.Terminality(truncation.digest(corpus(spark, rows)))
+    assert {tuple(r) for r in t.limits().select("src", "size").collect()} == {("lab", 99), ("*", 99)}
+    assert truncation.fragment("the columns and the col") and not truncation.fragment("the columns and the row") and not truncation.fragment("") and not truncation.fragment("a col of col")
