@@ -1,24 +1,27 @@
 """Problem 9: mixing sources to target weights by soft membership.
 
-1. One pass over the text counts tokens of a public tokenizer and a few layout
-   marks of every document.
-2. A softmax classifier, fitted on at most FIT_ROWS labelled documents, gives
-   every document a posterior over the sources.  A document whose source is
-   listed keeps that source as a certain membership (the label is known, so its
-   posterior is 1 there); documents without a listed source keep the predicted
-   posterior, which is reported, but have no target and are not drawn.
-3. Projected-gradient least squares fits rates 0 <= r <= max_repeat whose
-   expected token totals match the targets.  The step of a document is divided
-   by its tokens, so documents of equal membership and cap have equal rates; the
-   gradient needs one small aggregation an iteration.
-4. Rates become whole copies: the integer part for all, one more for the
-   documents that come first in hash order until the fraction of the source's
-   tokens is reached.  The running totals are cut into hash buckets, so no task
-   holds a whole source.
-
-The total is the largest for which every source that has documents can meet its
-target within its cap, unless ``total_tokens`` is given.  A listed source without
-documents reaches 0; the others share its part in proportion.
+1. A softmax classifier over hashed tokens of a public tokenizer and layout marks
+   is fitted on at most FIT_ROWS labelled documents, chosen by a hash of the id.
+2. One pass over the text counts the tokens of every document and gives it a
+   posterior over the domains (the listed sources), rounded to GRAIN-ths so that
+   equal posteriors meet.  The posterior is that of the text; the label does not
+   overwrite it.
+3. Projected-gradient least squares fits document rates 0 <= r <= max_repeat.  Each
+   document belongs to the domains by its posterior and to its source by its label;
+   the expected token totals of all domains and the token totals of all sources are
+   to meet the targets, the latter with weight LABEL_WEIGHT, for the shares asked
+   for are those of sources.  A step is the gradient in the metric of the Gram
+   matrix of documents that can still move; rates are projected to [0, cap] after
+   it.  The matrix has two rows a source and takes one aggregation an iteration.
+4. Rates become whole copies: the integer part for all, one more by sequential
+   Poisson sampling: documents in the order of hash / fraction until the source's
+   tokens are reached.  The running totals are cut into buckets, so no task holds a
+   whole source.
+
+A document without a listed source has a posterior too (``posteriors``) but no
+target, and is not drawn.  The total is the largest for which every source that
+has documents can meet its target within its cap, unless ``total_tokens`` is given.
+A listed source without documents reaches 0; the others share its part in proportion.
 """
 
 from __future__ import annotations
@@ -33,10 +36,15 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
+DIMENSIONS = 512  # hashed tokens
+GRAIN = 32
 BUCKETS = 512
-ITERATIONS = 60
-TOLERANCE = 1e-6
+ITERATIONS = 30
+TOLERANCE = 1e-3
+LABEL_WEIGHT = 10.0
+DAMPING = 1e-3
+MOST_SOURCES = 1_000  # rows of the recipe, which are collected and sent to all executors
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Layout marks whose frequency tells export styles apart.
 MARKS = ["In [", "Out[", "# %%", "\n# ", "# Out:", "```", "In [ ]", "\n\n", "    ", "<ipython", "%%", "# %% [markdown]"]
@@ -62,174 +70,272 @@ def source_name(c):
     return F.when(F.length(s) > 0, s)
 
 
-def _measure(batches, path: str):
-    enc = encoder(path)
-    for b in batches:
-        tokens, feats = [], []
-        for t in b.column("text").to_pylist():
-            t = t or ""
-            tokens.append(len(enc.encode_ordinary(t)))
-            k = 1000.0 / (len(t) + 200)
-            feats.append([float(np.log1p(len(t)))] + [min(20.0, t.count(m) * k) for m in MARKS])
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("src"), pa.array(tokens, pa.int64()), pa.array(feats, pa.list_(pa.float64()))],
-            names=["doc_id", "src", "tokens", "feats"],
-        )
-
-
-def measure(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, src (normalised source), tokens, feats of every document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("src"), "text")
-    return docs.mapInArrow(lambda b: _measure(b, tokenizer), "doc_id long, src string, tokens long, feats array<double>")
+def features(text: str, ids: list[int]) -> np.ndarray:
+    """Hashed token counts (logarithms, of length 1 together) and rates of layout marks."""
+    x = np.zeros(DIMENSIONS + len(MARKS) + 1, np.float32)
+    if ids:
+        v = np.log1p(np.bincount(np.array(ids, np.int64) * 40503 % DIMENSIONS, minlength=DIMENSIONS))
+        x[:DIMENSIONS] = v / max(1e-9, float(np.sqrt((v * v).sum())))
+    k = 100.0 / (len(text) + 200)
+    x[DIMENSIONS:-1] = [min(2.0, text.count(m) * k) for m in MARKS]
+    x[-1] = np.log1p(len(text)) / 10
+    return x
 
 
 class Softmax:
-    """Multinomial logistic regression by full-batch gradient steps on standardised features."""
+    """Multinomial logistic regression by accelerated full-batch gradient steps on standardised features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, k: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-4):
-        self.mean, self.sd = x.mean(0), x.std(0) + 1e-9
+    def __init__(self, x: np.ndarray, y: np.ndarray, k: int, steps: int = 150, decay: float = 3e-3):
+        self.mean, self.sd = x.mean(0), x.std(0) + np.float32(1e-3)
         z = self._z(x)
-        self.w = np.zeros((z.shape[1], k))
-        goal = np.eye(k)[y]
-        for _ in range(steps):
-            self.w -= rate * (z.T @ (self._p(z) - goal) / len(z) + decay * self.w)
+        # the largest curvature bounds the step: power iterations on z'z
+        v = np.ones(z.shape[1], np.float32)
+        for _ in range(8):
+            v = z.T @ (z @ v)
+            v /= np.linalg.norm(v)
+        rate = 1.0 / (0.5 * float(v @ (z.T @ (z @ v))) / len(z) + decay)
+        goal = np.eye(k, dtype=np.float32)[y]
+        self.w = w = np.zeros((z.shape[1], k), np.float32)
+        for i in range(steps):
+            ahead = self.w + i / (i + 3) * (self.w - w)
+            w = self.w
+            self.w = (ahead - rate * (z.T @ (self._softmax(z @ ahead) - goal) / len(z) + decay * ahead)).astype(np.float32)
 
     def _z(self, x):
-        return np.hstack([(x - self.mean) / self.sd, np.ones((len(x), 1))])
+        return np.hstack([np.clip((x - self.mean) / self.sd, -5, 5), np.ones((len(x), 1), np.float32)]).astype(np.float32)
 
-    def _p(self, z):
-        s = z @ self.w
+    @staticmethod
+    def _softmax(s):
         e = np.exp(s - s.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self._p(self._z(x))
+        return self._softmax(self._z(x) @ self.w)
+
+
+class Uniform:
+    """Stands for a classifier where there is no labelled document."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.full((len(x), self.k), 1.0 / max(1, self.k))
+
 
+def rounded(p: np.ndarray) -> np.ndarray:
+    """Posteriors as GRAIN-ths that still sum to GRAIN (largest remainders)."""
+    if not p.size:
+        return np.zeros(p.shape, np.int64)
+    x = p.astype(float) * GRAIN
+    low = np.floor(x)
+    short = np.rint(GRAIN - low.sum(1)).astype(int)
+    rank = np.argsort(np.argsort(-(x - low), axis=1, kind="stable"), axis=1, kind="stable")
+    return (low + (rank < short[:, None])).astype(np.int64)
 
-def posteriors(measured: DataFrame, sources: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Adds ``posterior`` (array<double> in the order of sources) to measured documents."""
-    known = measured.where(F.col("src").isin(sources))
-    share = fit_rows / max(1, known.count()) if sources else 0.0
+
+def classifier(documents: DataFrame, sources: list[str], tokenizer: str = TOKENIZER, fit_rows: int = FIT_ROWS):
+    """The classifier fitted on about fit_rows labelled documents (doc_id, src, text), chosen by a hash of the id."""
+    known = documents.where(F.col("src").isin(sources)) if sources else documents.limit(0)
+    share = fit_rows / max(1, known.count()) if sources else 0.0  # counts without reading a text
     chosen = known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = chosen.select("src", "feats").collect() if sources else []  # about fit_rows rows, chosen by a hash of the id
+
+    def run(batches):
+        enc = encoder(tokenizer)
+        for b in batches:
+            x = [features(t or "", enc.encode_ordinary(t or "")).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("src"), pa.array(x, pa.binary())], names=["src", "x"])
+
+    sample = chosen.select("src", "text").mapInArrow(run, "src string, x binary").collect() if sources else []  # about fit_rows rows of 1 KB
+    if not sample:
+        return Uniform(len(sources))
     index = {s: i for i, s in enumerate(sources)}
-    model = None
-    if sample:
-        model = Softmax(np.array([r.feats for r in sample]), np.array([index[r.src] for r in sample]), len(sources))
+    x = np.stack([np.frombuffer(r.x, np.float16) for r in sample]).astype(np.float32)
+    return Softmax(x, np.array([index[r.src] for r in sample]), len(sources))
+
+
+def posteriors(documents: DataFrame, sources: list[str], model, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id, src (normalised source), tokens and posterior (GRAIN-ths, in the order of sources) of every document."""
 
     def run(batches):
+        enc = encoder(tokenizer)
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = np.array(b.column("feats").to_pylist())
-            p = model.predict(x) if model else np.full((len(x), len(sources)), 1.0 / max(1, len(sources)))
-            for i, s in enumerate(b.column("src").to_pylist()):
-                if s in index:
-                    p[i] = 0.0
-                    p[i, index[s]] = 1.0
+            tokens, x = [], []
+            for t in b.column("text").to_pylist():
+                ids = enc.encode_ordinary(t or "")
+                tokens.append(len(ids))
+                x.append(features(t or "", ids))
+            p = rounded(model.predict(np.stack(x))) if x else np.zeros((0, len(sources)), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), b.column("tokens"), pa.array(p.tolist(), pa.list_(pa.float64()))],
-                names=["doc_id", "src", "tokens", "posterior"],
+                [b.column("doc_id"), b.column("src"), pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.int16()))], names=["doc_id", "src", "tokens", "posterior"]
             )
 
-    return measured.mapInArrow(run, "doc_id long, src string, tokens long, posterior array<double>")
+    return documents.mapInArrow(run, "doc_id long, src string, tokens long, posterior array<short>")
 
 
-def fit_rates(groups: DataFrame, goals: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Projected gradient for 0.5 * sum(((sum r t p - goal) / goal)**2); returns the step vectors.
+class Rates:
+    """Rates as a function of posterior, source and cap: steps taken so far, each followed by its projection.
 
-    groups: posterior, cap, tokens.  The state of a rate is the list of steps
-    taken so far, folded with its projection, so nothing is written between
-    iterations.  The step length comes from the curvature along each source.
+    Nothing is written between iterations; a rate is folded anew from the steps.
     """
-    k = len(goals)
-    per = groups.select(F.posexplode("posterior").alias("k", "p"), "tokens", "cap").groupBy("k").agg(F.sum(F.col("tokens") * F.col("p")).alias("m"))
-    mass = np.zeros(k)
-    for r in per.collect():
-        mass[r.k] = r.m
-    steps: list[list[float]] = []
-    for _ in range(iterations):
-        got = np.zeros(k)
-        rated = groups.select("posterior", (rate_column(steps) * F.col("tokens")).alias("used"))
-        for r in rated.select(F.posexplode("posterior").alias("k", "p"), "used").groupBy("k").agg(F.sum(F.col("used") * F.col("p")).alias("u")).collect():
-            got[r.k] = r.u
-        miss = np.where(goals > 0, (got - goals) / np.maximum(goals, 1), 0.0)
-        if np.abs(miss).max() < tolerance:
-            break
-        steps.append([float(x) for x in np.where(mass > 0, -miss * goals / np.maximum(mass, 1), 0.0)])
-    return steps
-
-
-def rate_column(steps: list[list[float]]):
-    """The rate after the given steps: each is added along the posterior, then projected to [0, cap]."""
-    if not steps:
-        return F.lit(0.0)
-    lit = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    return F.aggregate(
-        lit,
-        F.lit(0.0),
-        lambda r, s: F.greatest(
-            F.lit(0.0),
-            F.least(
-                F.col("cap").cast("double"),
-                r + F.aggregate(F.zip_with(s, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y),
-            ),
-        ),
-    )
+
+    def __init__(self, sources: list[str]):
+        self.k = len(sources)
+        self.index = {s: i for i, s in enumerate(sources)}
+        self.steps: list[np.ndarray] = []
+
+    def membership(self, posterior, src) -> np.ndarray:
+        """Rows over 2k columns: posterior, then the label."""
+        m = np.zeros((len(src), 2 * self.k))
+        if len(src):
+            m[:, : self.k] = np.asarray(posterior, float).reshape(len(src), self.k) / GRAIN
+            m[np.arange(len(src)), [self.k + self.index[s] for s in src]] = 1.0
+        return m
+
+    def __call__(self, m: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        r = np.zeros(len(m))
+        for s in self.steps:
+            r = np.clip(r + m @ s, 0.0, cap)
+        return r
+
+    def _sum(self, groups: DataFrame, size: int, part) -> np.ndarray:
+        """Sum over all groups of part(membership, rates, caps, tokens), a vector of ``size`` numbers."""
+        rates = self
+
+        def run(batches):
+            x = np.zeros(size)
+            for b in batches:
+                m = rates.membership(b.column("posterior").to_pylist(), b.column("src").to_pylist())
+                cap = b.column("cap").to_numpy(zero_copy_only=False).astype(float)
+                x += part(m, rates(m, cap), cap, b.column("tokens").to_numpy(zero_copy_only=False)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64()))], names=["x"])
+
+        out = np.zeros(size)
+        for row in groups.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[row.i] = row.v
+        return out
+
+    def fit(self, groups: DataFrame, goals: np.ndarray, mass: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> None:
+        """groups: posterior, src, cap, tokens.  goals, mass: token totals wanted and present of the sources.
+
+        The first step gives every source its own rate; the others are least-squares
+        steps, halved as long as they make the misses larger.
+        """
+        k2 = 2 * self.k
+        want = np.concatenate([goals, goals])
+        scale = np.where(want > 0, want, max(goals.sum(), 1.0))  # what has no target counts by the total
+        weight = np.concatenate([np.ones(self.k), np.full(self.k, LABEL_WEIGHT)]) / scale
+        self.steps.append(np.concatenate([np.zeros(self.k), goals / np.maximum(mass, 1.0)]))
+        best, halved = np.inf, 0
+        for _ in range(iterations):
+            got = self._sum(groups, k2, lambda m, r, cap, t: m.T @ (t * r))
+            miss = (want - got) * weight
+            if (now := float(miss @ miss)) > best * (1 - tolerance):
+                if halved == 3 or now == best:
+                    self.steps.pop()
+                    break
+                self.steps[-1] = self.steps[-1] / 2
+                halved += 1
+                continue
+            best, halved = now, 0
+            if now < tolerance**2:
+                break
+            up = miss * weight  # the way the gradient pushes a document: membership @ up
+
+            def gram(m, r, cap, t, up=up):
+                free = np.where(m @ up > 0, r < cap, r > 0)  # those that can still move that way
+                return (m[free] * t[free, None]).T @ m[free]
+
+            a = weight[:, None] * self._sum(groups, k2 * k2, gram).reshape(k2, k2)
+            ridge = DAMPING * np.linalg.norm(a, 2) * np.eye(k2)
+            self.steps.append(np.linalg.lstsq(np.vstack([a, ridge]), np.concatenate([miss, np.zeros(k2)]), rcond=None)[0])
 
 
 class Mixture:
     """documents: doc_id, source, text; targets: source, target_share, max_repeat.
 
-    ``documents`` has one row per document drawn (doc_id, source, tokens, rate,
-    copies >= 1); ``shares`` one row per listed source.  Null, blank or unlisted
-    sources are not drawn; null or empty texts have 0 tokens and are not drawn;
-    targets with null, blank or repeated names keep their first share by name.
+    ``documents`` has one row per document drawn (doc_id, source, tokens, the domain
+    of the largest posterior and its confidence, rate, copies >= 1); ``shares`` one
+    row per listed source with the share its documents reach and the share expected
+    by posteriors.  Null, blank or unlisted sources are not drawn; null or empty
+    texts have 0 tokens and are not drawn; targets with null, blank or repeated names
+    keep their first share by name; a recipe of more than MOST_SOURCES sources is an error.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, model=None):
         t = targets.select(source_name(F.col("source")).alias("src"), F.col("target_share").cast("double").alias("share"), F.greatest(F.lit(0), F.coalesce(F.col("max_repeat").cast("int"), F.lit(1))).alias("cap"))
         t = t.where("src IS NOT NULL AND share > 0").groupBy("src").agg(F.max("share").alias("share"), F.max("cap").alias("cap"))
-        rows = sorted(t.collect())  # one row a source of the mixture's recipe
+        rows = sorted(t.limit(MOST_SOURCES + 1).collect())
+        if len(rows) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources have a target")
         self.sources = [r.src for r in rows]
         self.table = targets.sparkSession.createDataFrame(rows, t.schema)
-        measured = cut(measure(documents, tokenizer))
-        self.scored = posteriors(measured, self.sources)
-        self.members = cut(
-            self.scored.where(F.col("tokens") > 0).join(F.broadcast(self.table.select("src", "cap")), "src").select("doc_id", "src", "tokens", "cap", "posterior")
-        )
-        groups = cut(self.members.groupBy("posterior", "cap").agg(F.sum("tokens").cast("double").alias("tokens")))
-        have = {r.src: r.n for r in self.members.groupBy("src").agg(F.sum("tokens").alias("n")).collect()}
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("src"), "text")
+        self.model = model or classifier(docs, self.sources, tokenizer)
+        self.scored = cut(posteriors(docs, self.sources, self.model, tokenizer))
+        self.members = self.scored.where(F.col("tokens") > 0).join(F.broadcast(self.table.select("src", "cap")), "src")  # at most MOST_SOURCES rows
+        groups = cut(self.members.groupBy("posterior", "src", "cap").agg(F.sum("tokens").cast("double").alias("tokens")))
+        have = {r.src: r.n for r in groups.groupBy("src").agg(F.sum("tokens").alias("n")).collect()}
         share = np.array([r.share if have.get(r.src) and r.cap > 0 else 0.0 for r in rows])
         room = [r.cap * have[r.src] / s for r, s in zip(rows, share / max(share.sum(), 1e-12)) if s > 0]
         self.total = float(total_tokens if total_tokens is not None else min(room, default=0.0))
         self.goals = share / max(share.sum(), 1e-12) * self.total
-        self.steps = fit_rates(groups, self.goals) if share.any() else []
+        self.rates = Rates(self.sources)
+        if share.any():
+            self.rates.fit(groups, self.goals, np.array([float(have.get(s, 0)) for s in self.sources]))
+
+    def _rated(self) -> DataFrame:
+        rates, sources = self.rates, self.sources
+
+        def run(batches):
+            for b in batches:
+                post = b.column("posterior").to_pylist()
+                p = np.asarray(post, float).reshape(b.num_rows, len(sources)) / GRAIN
+                r = rates(rates.membership(post, b.column("src").to_pylist()), b.column("cap").to_numpy(zero_copy_only=False).astype(float))
+                best = p.argmax(1) if p.size else np.zeros(b.num_rows, int)
+                extra = [pa.array([sources[i] for i in best], pa.string()), pa.array(p.max(1) if p.size else []), pa.array(np.round(r, 6))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "domain", "confidence", "rate"])
+
+        m = self.members.select("doc_id", "src", "tokens", "cap", "posterior")
+        return m.mapInArrow(run, "doc_id long, src string, tokens long, cap int, posterior array<short>, domain string, confidence double, rate double")
+
+    def _drawn(self) -> DataFrame:
+        """Documents with their copies, at least one."""
+        rated = self._rated().withColumn("h", F.xxhash64("doc_id")).withColumn("whole", F.floor("rate"))
+        rated = rated.withColumn("part", F.col("rate") - F.col("whole"))
+        u = (F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        # order of drawing: hash over fraction; the far ones, which are hardly reached, by hash alone
+        rated = rated.withColumn("u", u).withColumn("key", F.when((F.col("part") > 0) & (F.col("u") < 2 * F.col("part")), F.col("u") / F.col("part")).otherwise(2 + F.col("u")))
+        rated = rated.withColumn("bucket", F.floor(F.col("key") * (BUCKETS / 3)).cast("int"))
+        loose = F.when((F.col("part") > 0) & (F.col("whole") < F.col("cap")), F.col("tokens")).otherwise(0)
+        rated = rated.withColumn("loose", loose)
+        goals = self.table.sparkSession.createDataFrame([(s, float(g)) for s, g in zip(self.sources, self.goals)], "src string, goal double")
+        sums = rated.groupBy("src", "bucket").agg(F.sum("loose").alias("n"), F.sum(F.col("whole") * F.col("tokens")).alias("given"))  # at most MOST_SOURCES * BUCKETS rows
+        w = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("given", F.sum("given").over(Window.partitionBy("src"))).join(F.broadcast(goals), "src")
+        rated = rated.join(F.broadcast(sums.select("src", "bucket", "before", (F.col("goal") - F.col("given")).alias("need"))), ["src", "bucket"])
+        inner = Window.partitionBy("src", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = F.col("before") + F.sum("loose").over(inner) - F.col("loose") / 2
+        extra = F.when((F.col("loose") > 0) & (upto <= F.col("need")), 1).otherwise(0)
+        return rated.withColumn("copies", F.least(F.col("cap"), F.col("whole") + extra).cast("int")).where("copies > 0")
 
     def documents(self) -> DataFrame:
-        rated = self.members.withColumn("rate", rate_column(self.steps)).withColumn("h", F.xxhash64("doc_id"))
-        rated = rated.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BUCKETS)))
-        sums = rated.groupBy("src", "bucket").agg(F.sum("tokens").alias("n"))  # at most sources * BUCKETS rows
-        w = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("all_tokens", F.sum("n").over(Window.partitionBy("src")))
-        rated = rated.join(F.broadcast(sums.drop("n")), ["src", "bucket"])
-        inner = Window.partitionBy("src", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = F.col("before") + F.sum("tokens").over(inner) - F.col("tokens") / 2
-        whole = F.floor(F.col("rate") + 1e-9)
-        extra = F.when(upto <= (F.col("rate") - whole) * F.col("all_tokens"), 1).otherwise(0)
-        return (
-            rated.withColumn("copies", F.least(F.col("cap"), (whole + extra)).cast("int"))
-            .where("copies > 0")
-            .select("doc_id", F.col("src").alias("source"), "tokens", F.round("rate", 6).alias("rate"), "copies")
-        )
+        return self._drawn().select("doc_id", F.col("src").alias("source"), "tokens", "domain", F.round("confidence", 6).alias("confidence"), "rate", "copies")
+
+    def posteriors(self) -> DataFrame:
+        """doc_id, source, domain and posterior (array in the order of ``sources``) of every document, drawn or not."""
+        names = F.array(*[F.lit(s) for s in self.sources]) if self.sources else F.array().cast("array<string>")
+        p = F.transform("posterior", lambda x: x / float(GRAIN))
+        return self.scored.select("doc_id", F.col("src").alias("source"), F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain"), p.alias("posterior"))
 
     def shares(self) -> DataFrame:
-        drawn = self.documents().groupBy(F.col("source").alias("src")).agg(
-            F.count("*").alias("documents"), F.sum(F.col("copies").cast("long")).alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens")
-        )
-        out = self.table.join(drawn, "src", "left").select(
+        drawn = cut(self._drawn().select("src", "tokens", "copies", "posterior"))
+        by_label = drawn.groupBy("src").agg(F.count("*").alias("documents"), F.sum(F.col("copies").cast("long")).alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+        by_domain = drawn.select(F.posexplode("posterior").alias("i", "p"), (F.col("tokens") * F.col("copies")).alias("n")).groupBy("i").agg((F.sum(F.col("n") * F.col("p")) / GRAIN).alias("expected"))
+        at = self.table.sparkSession.createDataFrame(list(enumerate(self.sources)), "i int, src string")
+        out = self.table.join(by_label, "src", "left").join(at.join(by_domain, "i", "left").drop("i"), "src", "left").select(
             F.col("src").alias("source"), F.col("share").alias("target_share"), F.col("cap").alias("max_repeat"),
-            *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("documents", "copies", "most_copies", "tokens")],
+            *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("documents", "copies", "most_copies", "tokens")], F.coalesce("expected", F.lit(0.0)).alias("expected"),
         )
-        everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
-        return out.withColumn("reached_share", F.round(F.col("tokens") / F.greatest(everything, F.lit(1)), 6))
+        everything = F.greatest(F.sum("tokens").over(Window.partitionBy(F.lit(1))), F.lit(1))  # one row a source
+        return out.withColumn("reached_share", F.round(F.col("tokens") / everything, 6)).withColumn("expected_share", F.round(F.col("expected") / everything, 6)).drop("expected")

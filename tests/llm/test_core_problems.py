@@ -260,11 +260,49 @@ def test_mixture(spark):
     s = {r.source: r for r in m.shares().collect()}
     assert abs(s["big"].reached_share - 0.7) < 0.02 and abs(s["small"].reached_share - 0.3) < 0.02 and s["absent"].tokens == 0
     assert s["small"].copies == 60  # the small source binds: all its documents, three times
-    assert m.scored.where("src IS NULL").count() == 9
+    assert m.scored.where("src IS NULL").count() == 9 and m.posteriors().count() == df.count()
+    assert all(abs(sum(r.posterior) - 1) < 1e-9 and r.domain in m.sources for r in m.posteriors().collect())
     assert mixing.Mixture(df.where("doc_id < 0"), t).documents().count() == 0
     assert mixing.Mixture(df, t.where("target_share > 5")).documents().count() == 0
 
 
+def styled(n, rnd):
+    """Documents of three sources that differ in style, and some that could be of two of them."""
+    style = {"a": "In [1]: {} plot", "b": "# %% {} check", "c": "Out[2] {} mean"}
+    out = []
+    for d in range(n):
+        s = rnd.choice("aaaabbc")
+        t = style[s if rnd.random() < 0.8 else rnd.choice("abc")].format(" ".join(rnd.choice(["sum", "row", "cell", "load"]) for _ in range(rnd.randint(5, 40))))
+        out.append((d, s, t))
+    return out
+
+
+def test_classifier_on_held_out_documents_and_its_effect(spark):
+    rnd = random.Random(23)
+    rows = styled(900, rnd)
+    df = spark.createDataFrame(rows, "doc_id long, src string, text string")
+    model = mixing.classifier(df.where("doc_id < 600"), ["a", "b", "c"])
+    got = {r.doc_id: max(range(3), key=lambda i: r.posterior[i]) for r in mixing.posteriors(df.where("doc_id >= 600"), ["a", "b", "c"], model).collect()}
+    assert sum("abc"[got[d]] == s for d, s, _ in rows[600:]) / 300 > 0.8
+    t = spark.createDataFrame([("a", 0.2, 1), ("b", 0.3, 2), ("c", 0.5, 3)], "source string, target_share double, max_repeat int")
+    docs = df.withColumnRenamed("src", "source")
+    soft, flat = mixing.Mixture(docs, t), mixing.Mixture(docs, t, model=mixing.Uniform(3))
+    drawn, other = ({(r.doc_id, r.copies) for r in m.documents().collect()} for m in (soft, flat))
+    assert drawn != other  # the posteriors decide which documents are drawn
+    for m in (soft, flat):
+        for r in m.shares().collect():
+            assert abs(r.reached_share - r.target_share) < 0.02 and r.most_copies <= r.max_repeat
+    near = {r.source: abs(r.expected_share - r.target_share) for r in soft.shares().collect()}
+    far = {r.source: abs(r.expected_share - r.target_share) for r in flat.shares().collect()}
+    assert sum(near.values()) < sum(far.values())
+
+
+def test_rounded_posteriors():
+    p = np.random.default_rng(1).dirichlet([0.3] * 7, 200)
+    r = mixing.rounded(p)
+    assert (r.sum(1) == mixing.GRAIN).all() and np.abs(r / mixing.GRAIN - p).max() < 1 / mixing.GRAIN and mixing.rounded(np.zeros((0, 3))).shape == (0, 3)
+
+
 # ------------------------------------------------------------ 10 truncation
 @pytest.mark.parametrize("code, open_", [("f(a", True), ("f(a)", False), ('x = "a', True), ('"""doc', True), ("# it's\nx = 1", False), ("a[1", True), ("", False), ("!pip install x's", True)])
 def test_open_statement(code, open_):
