@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
 
+DEAL = "spark.pagequern.deal"
+
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -13,10 +15,11 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out for work heavy in CPU when the input has too few splits to fill the cores.
+    """Deals rows out to as many partitions as spark.pagequern.deal says, for work heavy in CPU.
 
-    A large input already has more splits than cores and is left as it is, so
-    no text is shuffled there.
+    Without that setting, as on a cluster, rows stay in the splits they were read in
+    and no text is exchanged.  It is for single files of a few row groups, which
+    cannot be split further; the plan depends on the setting only, never on a size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get(DEAL, None)
+    return df.repartition(int(parts)) if parts else df
