@@ -1,21 +1,25 @@
 """Problem 7: template residue, filler and server messages in place of content.
 
-Lines (blocks of clean_html, whole titles) are normalised: lower case, digits as
-0, one space.  Body lines that stand beside content of the page's own on a large
-share of a host's other pages are its boilerplate and are subtracted there; titles
-and bodies that are messages for the most part stay, however often they occur.  A field is reported if a line of the residual
-shows an unfilled placeholder, filler, a template's default text, a server's
-error or access message, or a notice on scripts or browser checks.  Counting only
-the lines that show such evidence gives the same residual evidence as counting
-all of them, with far fewer rows.
+1. Every line (block of clean_html) is normalised - lower case, one space, the
+   digits of messages (references, times) as 0 - and its hash counted by host,
+   each page once.
+2. Lines on a large share of a host's other pages are its boilerplate and are
+   subtracted: what is left is the page's residual.  A page without content of its
+   own in the residual keeps its messages: there they stand in the article's place.
+3. A field is reported if a line of its residual shows an unfilled placeholder,
+   filler, a template's default text, a server's error or access message, or a
+   notice on scripts or browser checks.  A title is one line and the whole field,
+   so nothing is subtracted from it.
 
 Body messages must begin a sentence, titles must be one as a whole (after the
 site's own name), so texts that only tell about such things are no evidence.
-Literal text (code, pre) is not looked at.  Null and blank fields give nothing.
+Literal text (code, pre) is not looked at.  Null and blank fields give nothing;
+a row delivered again counts once; pages without a site form one host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -23,7 +27,7 @@ import pandas as pd
 from ..plans.lineage import cut
 from . import blocks
 
-RECURRENT_SHARE = 0.3
+RECURRENT_SHARE = 0.3  # of a host's other pages
 
 # Placeholders of template languages.
 PLACEHOLDER = re.compile(
@@ -194,41 +198,58 @@ def body_lines(html: str | None) -> list[str]:
     return body_parts(html)[0]
 
 
-def normal_line(s: str) -> str:
-    return DIGIT.sub("0", SPACE.sub(" ", s.strip().lower()))
+def normal_line(s: str, evidence: bool = True) -> str:
+    s = SPACE.sub(" ", s.strip().lower())
+    return DIGIT.sub("0", s) if evidence else s
 
 
-def residue(articles, share: float = RECURRENT_SHARE):
-    """(page_id, field_name) of titles and bodies with evidence in what is left without the host's boilerplate.
+def line_hash(s: str, evidence: bool = True) -> int:
+    return int.from_bytes(hashlib.blake2b(normal_line(s, evidence).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    articles: page_id, site, title, clean_html; other columns are ignored.
-    """
-    from pyspark.sql import functions as F
 
-    a = articles.select(F.col("page_id").cast("long"), "site", "title", "clean_html")
+def lines_of(articles):
+    """page_id, site, title (shows evidence), shown and others (hashes of body lines with and without evidence), one row a page."""
+    from pyspark.sql import functions as F
 
     def run(pdfs):
         for pdf in pdfs:
             rows = []
             for p, site, title, html in zip(pdf["page_id"], pdf["site"], pdf["title"], pdf["clean_html"]):
-                if title_evidence(title):
-                    rows.append((p, site, "title", normal_line(title), None))
-                shown, others = body_parts(html)
-                rest = "\n".join(others) if len(others) >= len(shown) else None  # None: messages for the most part
-                for s in {normal_line(s) for s in shown}:
-                    rows.append((p, site, "clean_html", s, rest))
-            if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "site", "field_name", "line", "rest"])
-
-    # the few lines with evidence are kept, so bodies are parsed once
-    lines = a.mapInPandas(run, "page_id long, site string, field_name string, line string, rest string")
-    lines = cut(lines.withColumn("line", F.md5("line")).withColumn("rest", F.md5("rest")))
-    # what other pages of the host have as well (a server's name, a footer) is no content of the page's own
-    own = lines.where("rest IS NOT NULL").groupBy("site", "rest").agg(F.countDistinct("page_id").alias("n")).where("n = 1").select("site", "rest")
-    beside = lines.join(own, ["site", "rest"], "left_semi").select("page_id", "site", "field_name", "line").distinct()
-    pages = a.groupBy("site").agg(F.countDistinct("page_id").alias("pages"))
-    often = beside.groupBy("site", "field_name", "line").agg(F.count("*").alias("n")).join(pages, "site")
-    # the judged page is no evidence for itself
-    often = often.where((F.col("n") > 1) & (F.col("n") - 1 >= share * (F.col("pages") - 1))).select("site", "field_name", "line")
-    usual = beside.join(often, ["site", "field_name", "line"], "left_semi")
-    return lines.join(usual, ["page_id", "site", "field_name", "line"], "left_anti").select("page_id", "field_name").distinct()
+                shown, others = ({line_hash(s, e) for s in part} for part, e in zip(body_parts(html), (True, False)))
+                rows.append((p, site, title_evidence(title), sorted(shown), sorted(others - shown)))
+            yield pd.DataFrame(rows, columns=["page_id", "site", "title", "shown", "others"])
+
+    a = articles.select(F.col("page_id").cast("long"), F.coalesce("site", F.lit("")).alias("site"), "title", "clean_html")
+    found = a.mapInPandas(run, "page_id long, site string, title boolean, shown array<long>, others array<long>")
+    # deliveries of a page are one page; their lines are put together
+    one = found.groupBy("page_id").agg(F.min("site").alias("site"), F.max("title").alias("title"), F.array_distinct(F.flatten(F.collect_set("shown"))).alias("shown"), F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    return cut(one)
+
+
+def recurrent(lines, share: float = RECURRENT_SHARE):
+    """(site, h) of lines that stand on at least ``share`` of the other pages of a host, for every page that has them."""
+    from pyspark.sql import functions as F
+
+    pages = lines.groupBy("site").agg(F.count("*").alias("pages"))
+    often = lines.select("site", F.explode(F.array_union("shown", "others")).alias("h")).groupBy("site", "h").agg(F.count("*").alias("n")).where("n > 1")
+    return often.join(pages, "site").where(F.col("n") - 1 >= share * (F.col("pages") - 1)).select("site", "h")
+
+
+def residue(articles, share: float = RECURRENT_SHARE):
+    """(page_id, field_name) of titles and bodies with evidence in what is left without the host's boilerplate.
+
+    articles: page_id, site, title, clean_html; other columns are ignored.
+    """
+    from pyspark.sql import functions as F
+
+    lines = lines_of(articles)
+    often = cut(recurrent(lines, share))
+    bodies = lines.where(F.size("shown") > 0)
+    both = F.array(F.struct(F.lit(True).alias("shown"), F.col("shown").alias("hs")), F.struct(F.lit(False).alias("shown"), F.col("others").alias("hs")))
+    each = bodies.select("page_id", "site", F.explode(both).alias("x")).select("page_id", "site", "x.shown", F.explode("x.hs").alias("h"))
+    left = each.join(often, ["site", "h"], "left_anti")  # the residual
+    own = left.groupBy("page_id").agg(F.count_if("shown").alias("evidence"), F.count_if(~F.col("shown")).alias("own"))
+    judged = bodies.select("page_id", F.size("shown").alias("all")).join(own, "page_id", "left")
+    in_place = F.coalesce("own", F.lit(0)) < F.col("all")  # messages for the most part
+    found = judged.where((F.coalesce("evidence", F.lit(0)) > 0) | in_place).select("page_id", F.lit("clean_html").alias("field_name"))
+    return lines.where("title").select("page_id", F.lit("title").alias("field_name")).unionByName(found)
