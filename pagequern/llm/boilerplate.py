@@ -6,15 +6,16 @@
    containers it stands in.
 2. Text-to-tag ratios of the lines are smoothed with a Gaussian and divided into
    content and other lines by a two-means threshold.
-3. The content region is the container that holds most of the content lines'
-   text, descended to as long as one child still holds the bulk of it; a heading
-   of the first order pulls it up to where both are inside.
+3. The content region is the lowest container that holds the bulk of the content
+   lines' text, lines beside a heading of the first order weighing more; it is pulled
+   up to where that heading is inside.  The outer element of a fragment, which is an
+   article already, weighs as much.
 4. Lines outside the region go.  Inside it, lines of nested containers go when
-   their container is a site's box: by its tag or class words, or, without such
-   evidence, because it is a wrapper that is not part of the article's flow (its
-   own lines are no longer than the article's text and hold teasers, links, fixed
-   phrases or a heading of a lower order than the article uses).  Single lines go
-   when they are trails, labelled links or mostly links.
+   their container is a site's box: by its tag or class words, or because it is a
+   wrapper that is not part of the article's flow (it does not carry the bulk of the
+   region's content; if the article itself is divided into wrappers, less than half
+   of its text is content by density).  Single lines go when they are trails,
+   labelled links or mostly links.
 
 A page whose region holds no content line at all keeps what stands in the
 article's place: the first container that is no site's box.
@@ -32,7 +33,9 @@ from ..functions.htmltree import CLOSES_LIKE, CLOSES_P, HEAD_TAGS, P_SCOPE, VOID
 from .blocks import INLINE, SILENT
 
 SIGMA = 1.0
-BULK = 0.6
+BULK = 0.6  # share of the content lines' text that a region must hold
+DIVIDED = 0.1  # an article with so small a share of its text outside nested containers is made of them
+HEADLINE = 8  # how much more content beside the headline weighs
 # Containers by tag, and words of classes and ids, that belong to a site.
 SITE_TAGS = frozenset("nav aside footer form menu dialog".split())
 SITE_WORDS = re.compile(
@@ -214,34 +217,44 @@ def unwanted(html: str, fragment: bool) -> list[int]:
     boxed = {c: _site_box(s, c) for i in nos for c in chain[i]}
     # text of content lines by container, site boxes counting nothing
     mass: dict[int, float] = {}
+    own: dict[int, float] = {}  # of lines that stand in the container itself, not in a nested one
+    every: dict[int, float] = {}  # of all lines
     for i, n, ok in zip(nos, length, content):
+        for c in chain[i]:
+            every[c] = every.get(c, 0.0) + n
         if ok and not any(boxed[c] for c in chain[i]):
-            for c in chain[i]:
+            for k, c in enumerate(chain[i]):
                 mass[c] = mass.get(c, 0.0) + n
+            c = next((c for c in chain[i] if s.tag[c] in WRAPPERS and c != i), body)
+            own[c] = own.get(c, 0.0) + n
+    # the lowest container with the bulk of the content lines, those beside the headline weighing more ...
+    h1 = None if fragment else next((i for i in nos if s.tag[i] == "h1" and not any(boxed[c] for c in chain[i])), None)
+    beside = set(chain[h1]) if h1 is not None else set()
     region = body
-    h1 = None
-    if not fragment:
-        h1 = next((i for i in nos if s.tag[i] == "h1" and not any(boxed[c] for c in chain[i])), None)
-        while True:
-            kids = [c for c in mass if s.up[c] == region and s.tag[c] in WRAPPERS and c != region]
-            best = max(kids, key=lambda c: (h1 is not None and c in chain[h1], mass[c]), default=None)
-            if best is None or not ((h1 is not None and best in chain[h1]) or mass[best] >= BULK * mass.get(region, 1.0)):
-                break
-            if h1 is not None and best not in chain[h1]:
-                break
-            region = best
-        if h1 is None and region == body and not mass:
-            first = next((i for i in nos if not any(boxed[c] for c in chain[i])), None)
-            if first is not None:
-                tops = [c for c in chain[first] if s.up[c] == body and s.tag[c] in WRAPPERS]
-                region = tops[0] if tops else body
+    while True:
+        kids = [c for c in mass if s.up[c] == region and s.tag[c] in WRAPPERS and c != region]
+        weight = {c: mass[c] * (HEADLINE if c in beside else 1) for c in kids}
+        best = max(kids, key=lambda c: weight[c], default=None)
+        here = own.get(region, 0.0) * (HEADLINE if fragment and region == body else 1)  # a fragment's outer element is the article's
+        if best is None or weight[best] < BULK * (here + sum(weight.values())):
+            break
+        region = best
+    # ... that holds the headline as well
+    while h1 is not None and region != body and region not in beside:
+        region = s.up[region]
+    if h1 is None and region == body and not mass and not fragment:
+        first = next((i for i in nos if not any(boxed[c] for c in chain[i])), None)
+        if first is not None:
+            tops = [c for c in chain[first] if s.up[c] == body and s.tag[c] in WRAPPERS]
+            region = tops[0] if tops else body
+    divided = own.get(region, 0.0) < DIVIDED * mass.get(region, 0.0)  # the article itself stands in nested containers
     out = []
     for i, n, a in zip(nos, length, link):
         inside = region == body or region in chain[i] or i == region
         path = chain[i][: chain[i].index(region)] if region in chain[i] else chain[i]
         nested = [c for c in path if s.tag[c] in WRAPPERS or s.tag[c] in SITE_TAGS or _site_box(s, c)]
         gone = not inside or any(boxed[c] for c in path) or _site_box(s, i) or (s.tag[i] in WRAPPERS and i != region and i != body)
-        gone = gone or any(_foreign(s, c, region, mass) for c in nested if c != region and not (h1 is not None and c in chain[h1]))
+        gone = gone or any(_foreign(s, c, region, mass, every if divided else None) for c in nested if c != region and not (h1 is not None and c in chain[h1]))
         gone = gone or _odd_line(s, i, text[i], n, a)
         if gone:
             out.append(i)
@@ -274,9 +287,18 @@ def _site_box(s: Lines, c: int) -> bool:
     return s.tag[c] in SITE_TAGS or bool(s.attr[c] and s.attr[c] != "content" and SITE_WORDS.search(s.attr[c]))
 
 
-def _foreign(s: Lines, c: int, region: int, mass: dict[int, float]) -> bool:
-    """A wrapper inside the region that does not carry the bulk of it is a box of the site."""
-    return s.tag[c] in WRAPPERS and mass.get(c, 0.0) < BULK * max(mass.get(region, 0.0), 1.0)
+def _foreign(s: Lines, c: int, region: int, mass: dict[int, float], every: dict[int, float] | None) -> bool:
+    """A nested wrapper that is no part of the article.
+
+    Where the article's lines stand in the region itself, that is a wrapper that does
+    not carry the bulk of the region; where they stand in nested wrappers
+    (``every`` is given), one of whose text less than half is content by density.
+    """
+    if s.tag[c] not in WRAPPERS:
+        return False
+    if every is None:
+        return mass.get(c, 0.0) < BULK * max(mass.get(region, 0.0), 1.0)
+    return mass.get(c, 0.0) < 0.5 * every.get(c, 0.0)
 
 
 def _odd_line(s: Lines, i: int, text: str, n: float, link: float) -> bool:

@@ -71,6 +71,31 @@ def test_boilerplate_blocks():
     assert boilerplate.unwanted(f"<div>{p}<p><strong>More: </strong><a href='/x'>{'a teaser ' * 5}</a></p></div>", True) == [2]
 
 
+def kept(html, fragment=False):
+    t, gone = parse(html, fragment), set(boilerplate.unwanted(html, fragment))
+    return {"".join(x).strip()[:6] for i, x in enumerate(t.text) if "".join(x).strip() and i not in gone and t.tag[i] != "title" and t.tag[i] not in boilerplate.INLINE}
+
+
+def test_article_divided_into_sections_stays():
+    def sec(k):
+        return f"<section><h2>Part {k}</h2>" + f"<p>P{k} a long paragraph of the article that has many words in it and goes on and on.</p>" * 3 + "</section>"
+
+    html = f"<html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div><h1>Head</h1>{sec(1)}{sec(2)}{sec(3)}</div><footer><p>Site foot</p></footer></body></html>"
+    assert kept(html) == {"Head", "Part 1", "Part 2", "Part 3", "P1 a l", "P2 a l", "P3 a l"}
+
+
+def test_density_selects_the_region(monkeypatch):
+    text = "<p>Text of the article that has many words in it and goes on for a while here.</p>" * 4
+    box = "".join(f"<div>Box <b>{k}</b> <i>tag</i> <em>soup</em> <span>of short</span> <b>words</b></div>" for k in range(30))
+    html = f"<html><head><title>t</title></head><body><div id='x1'>{box}</div><div id='x2'>{text}</div></body></html>"
+    assert kept(html) == {"Text o"}
+    fragment = f"<div><div>{box}</div><div>{text}</div></div>"
+    assert "Text o" in kept(fragment, True)
+    monkeypatch.setattr(boilerplate, "smooth", lambda x, sigma=1.0: np.ones(len(x)))
+    monkeypatch.setattr(boilerplate, "threshold", lambda x: 0.0)
+    assert kept(html) != {"Text o"}  # without densities all lines are content
+
+
 def test_event_stream_counts_as_the_parser():
     html = "<p>a<b>b</b><br><img src=x><table><tr><td>1<td>2</table><ul><li>x<li>y</ul></p><script>var a='<p>';</script>tail"
     for fragment in (False, True):
