@@ -3,7 +3,9 @@
 Each body is cut into flat text blocks.  A block is described by its word count
 and link density, those of its two neighbours, and how often each form of the
 four markup languages occurs in it.  One decision tree a language, fitted on the
-small labelled table of markup_table, says whether the block shows its markup.
+small labelled tables of markup_table, says whether the block shows its markup: the
+forms tell most, the links and lengths around a block tell a trail, a menu or a list
+of links from a quotation, a heading or a list.
 Text inside code and pre does not count; nor do placeholders of templates.
 
 ``clean_text`` turns a body into text in which headings ("# "), list items
@@ -22,7 +24,7 @@ import pandas as pd
 
 from ..functions.htmltree import parse
 from . import blocks
-from .markup_table import LABELLED
+from .markup_table import LABELLED, P1, P2, P3, PAGES
 from .templates import PLACEHOLDER
 
 KINDS = {"html": "h", "markdown": "m", "wiki": "w", "latex": "l"}
@@ -100,24 +102,43 @@ class Tree:
         return node.value
 
 
+def described(page: list[tuple[str, float]]) -> list[list[float]]:
+    """Features of each block of a page, given as (text, link density) in order."""
+    size = [(float(len(t.split())), d) for t, d in page]
+    none = (0.0, 0.0)
+    return [features(t.strip(), (*(size[i - 1] if i else none), *size[i], *(size[i + 1] if i + 1 < len(size) else none))) for i, (t, _) in enumerate(page)]
+
+
+def table() -> tuple[np.ndarray, list[str]]:
+    """Features and kinds of all labelled blocks: those of whole pages, and single ones with and without neighbours."""
+    x, y = [], []
+    for page in PAGES:
+        x += described([(t, d) for t, d, _ in page])
+        y += [k for _, _, k in page]
+    for t, k in LABELLED:
+        for around in (("", ""), (P1, P2), (P3, P1)):
+            page = [(around[0], 0.0), (t, 0.0), (around[1], 0.0)]
+            x.append(described(page if around[0] else page[1:2])[1 if around[0] else 0])
+            y.append(k)
+    return np.array(x), y
+
+
 @functools.lru_cache(1)
 def trees() -> dict[str, Tree]:
-    """The four trees.  The labelled blocks have no neighbours, so those features carry no split here."""
-    x = np.array([features(t) for t, _ in LABELLED])
-    return {name: Tree(x, np.array([k in ks for _, ks in LABELLED])) for name, k in KINDS.items()}
+    x, y = table()
+    return {name: Tree(x, np.array([k in ks for ks in y])) for name, k in KINDS.items()}
 
 
 def shown(html: str | None) -> dict[str, list[int]]:
     """Kinds of markup a body shows, with the numbers of the blocks that show them."""
     bs = blocks.blocks(html, literal=False)
     out: dict[str, list[int]] = {}
-    size = [(b.words, b.density) for b in bs]
+    size = [(float(b.words), b.density) for b in bs]
+    none = (0.0, 0.0)
     for i, b in enumerate(bs):
-        s = b.text
-        if not MAYBE.search(s):
+        if not MAYBE.search(b.text):
             continue
-        around = (*(size[i - 1] if i else (0, 0.0)), *size[i], *(size[i + 1] if i + 1 < len(bs) else (0, 0.0)))
-        row = features(s.strip(), tuple(map(float, around)))
+        row = features(b.text.strip(), (*(size[i - 1] if i else none), *size[i], *(size[i + 1] if i + 1 < len(bs) else none)))
         for name, tree in trees().items():
             if tree(row):
                 out.setdefault(name, []).append(b.no)

@@ -1,7 +1,10 @@
-"""The small labelled table the markup trees are fitted on: (block text, kinds shown).
+"""The small labelled tables the markup trees are fitted on.
 
-Kinds: h HTML, m Markdown, w wiki, l LaTeX.  Written by hand; it holds as many
-texts that only look like markup as ones that show it.
+LABELLED: (block text, kinds shown); PAGES: (blocks of a small page in order), each
+(text, part of it inside links, kinds shown).  Kinds: h HTML, m Markdown, w wiki,
+l LaTeX.  Written by hand; they hold as many texts that only look like markup as ones
+that show it.  In PAGES the same forms are markup in running text and none in menus,
+trails and lists of links, which only the blocks around them and their links tell.
 """
 
 LABELLED = [
@@ -26,3 +29,29 @@ LABELLED = [
     ("{0}", ""), ("[INSERT NAME]", ""), ("[Your Name] is", ""), ("[[title]]", ""), ("It costs $5, $6 or $7.", ""), ("1. FC won", ""), ("- 5 degrees", ""), ("x > y", ""), ("a < b > c", ""), ("= 3 =", ""), ("Rock 'n' roll's \"best\"", ""), ("100 ~ 200 people", ""), ("C:\\new\\table", ""), ("[12] and [13]", ""), ("@home", ""), ("5 | 6 | 7", ""),
     ("You may also like: a story", ""), ("News · Sport · Weather", ""), ("Home › News › Today", ""), ("© 2024 The Daily. Privacy", ""), ("", ""),
 ]
+
+P1 = "The council met on Monday and talked about the old bridge, which has been closed since spring."
+P2 = "Nobody knows yet when the work will be done. The mayor said that it depends on the weather and on the money."
+P3 = "A short note."
+PAGES = [
+    # trails: the signs of a quotation between links
+    [("Home > News > Town > Today", 0.8, ""), (P1, 0.0, ""), (P2, 0.0, "")], [("Start > Sport > Results", 0.9, ""), (P2, 0.0, "")], [(P1, 0.0, ""), ("Shop > Books > Maps", 0.7, ""), (P3, 0.0, "")],
+    [("Front page > Culture > Music", 0.75, ""), (P3, 0.0, ""), (P1, 0.0, "")], [("Archive > June > Letters", 1.0, ""), ("Older > Newer > All", 1.0, "")],
+    [(P1, 0.0, ""), ("she wrote > that it was late > and left", 0.0, "m"), (P2, 0.0, "")], [(P2, 0.0, ""), ("then > one line of an answer > another line", 0.0, "m")], [("first > we never said that > so we answered", 0.0, "m"), (P1, 0.0, "")],
+    [(P3, 0.0, ""), ("he said > not today > and went", 0.0, "m"), (P3, 0.0, "")], [(P1, 0.0, ""), ("> not before Monday", 0.0, "m"), (P2, 0.0, "")],
+    # numbered and dashed lists of links
+    [("1. Bridge closed\n2. Market moved\n3. School opens", 0.9, ""), (P1, 0.0, "")], [(P2, 0.0, ""), ("1. Read the paper\n2. Write to us", 0.8, ""), ("News Sport", 1.0, "")], [("- Imprint\n- Contact\n- Terms", 0.95, ""), ("About", 1.0, "")],
+    [("* Weather\n* Culture\n* Sport", 0.9, ""), (P1, 0.0, "")], [(P1, 0.0, ""), ("- Older posts\n- Newer posts", 0.85, "")],
+    [(P1, 0.0, ""), ("1. take the bus\n2. walk to the hall", 0.0, "m"), (P2, 0.0, "")], [(P2, 0.0, ""), ("- bread for all\n- a new map", 0.0, "m"), (P1, 0.0, "")], [(P3, 0.0, ""), ("* call the office\n* wait for an answer", 0.0, "m"), (P3, 0.0, "")],
+    [("- two pounds of flour\n- one egg", 0.1, "m"), (P2, 0.0, "")], [(P1, 0.0, ""), ("1. open the door\n2. close it", 0.1, "m")],
+    # rules and signs of menus
+    [("News | Sport | Weather |--- | More", 0.8, ""), (P1, 0.0, "")], [("== Menu == Home Shop", 0.7, ""), (P2, 0.0, "")], [("# News # Sport # Weather", 0.9, ""), (P1, 0.0, "")], [(P2, 0.0, ""), ("# bridge # council # spring", 0.8, ""), (P3, 0.0, "")],
+    [("# Opening times", 0.0, "m"), (P1, 0.0, ""), (P2, 0.0, "")], [(P1, 0.0, ""), ("## What comes next", 0.0, "m"), (P2, 0.0, "")], [(P3, 0.0, ""), ("== Early days ==", 0.0, "w"), (P1, 0.0, "")],
+    [(P1, 0.0, ""), ("The hall was [[old town hall|rebuilt]] in spring.", 0.0, "w"), (P2, 0.0, "")], [(P1, 0.0, ""), (P2, 0.0, ""), ("&copy; &nbsp; the council", 0.0, "h")], [(P1, 0.0, ""), ("so \\emph{late} in the year", 0.0, "l"), (P2, 0.0, "")],
+    # long blocks with one link and markup somewhere inside
+    [(P1, 0.0, ""), (P1 + " == Early days == " + P2, 0.02, "w"), (P2, 0.1, "")], [(P2, 0.0, ""), (P2 + " === Later === " + P1, 0.05, "w")], [(P1 + " ## Later " + P2, 0.03, "m"), (P2, 0.0, "")], [(P1, 0.0, ""), (P2 + " he said > not today > and went " + P1, 0.04, "m")],
+    [(P1 + "\n- one egg\n- two eggs\n" + P2, 0.06, "m"), (P1, 0.02, "")], [(P2, 0.0, ""), (P1 + "\n1. open it\n2. close it", 0.05, "m")],
+    # labels of menus: a sign before a word, with links around it
+    [("# Topics", 0.0, ""), ("Bridge Council Spring", 1.0, ""), ("More", 1.0, "")], [("Home News", 1.0, ""), ("# Sections", 0.0, ""), ("Sport Weather", 0.9, "")], [("== Menu ==", 0.0, ""), ("Home Shop Contact", 1.0, "")], [("Shop", 1.0, ""), ("== Service ==", 0.0, ""), ("Imprint Terms", 0.95, "")],
+    [("# Topics", 0.0, "m"), (P1, 0.0, "")], [(P2, 0.0, ""), ("# Sections", 0.0, "m"), (P1, 0.1, "")], [(P1, 0.0, ""), ("== Service ==", 0.0, "w"), (P2, 0.05, "")], [("== History ==", 0.0, "w"), (P2, 0.0, "")],
+]
