@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+PIECE = 4_000_000  # bytes of text of which arrays are made at a time
 
 
 def from_arrow(col) -> tuple[np.ndarray, np.ndarray]:
@@ -65,3 +68,26 @@ def table(fn, dtype=np.uint8, size: int = 0x110000) -> np.ndarray:
             if v:
                 out[c] = v
     return out
+
+
+def pieces(batch: pa.RecordBatch, *columns: str):
+    """Cuts a batch at row borders so that a piece has about PIECE bytes of text in its text columns, or one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def frames(pdf, column: str):
+    """The same for a pandas frame, by characters."""
+    upto = np.concatenate([[0], np.cumsum(pdf[column].str.len().fillna(0).to_numpy(np.int64))]) if len(pdf) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(pdf):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE // 4, "right")) - 1)
+        yield pdf.iloc[lo:hi]
+        lo = hi

@@ -9,7 +9,11 @@ decoding runs over all texts of a batch at a time, on the positions at which one
 of two neighbours is not ASCII.  Each labelled span then gets the inverse of its
 state's garbling.
 
-Null and pure ASCII texts are clean.  A replacement character is the trace of
+Null and pure ASCII texts are clean: every charset of the pairs reads ASCII bytes as
+ASCII and other bytes as other characters, so nothing that a pair changes is ASCII;
+for the same reason characters between ASCII ones have equal emissions in all states
+and cannot change the labels.  (Text of which an exporter made question marks has no
+charset to undo; it is not looked for.)  A replacement character is the trace of
 bytes that were lost, hence a garbled span that cannot be restored.
 """
 
@@ -36,7 +40,6 @@ PAIRS = [
 SINGLE_BYTE = {"cp1251", "koi8_r", "cp866", "cp1252", "cp1254", "iso8859_9", "mac_roman", "cp437", "cp874"}
 ENTER, LEAVE = 1e-4, 1e-2
 ALPHA = 2.0
-BATCH_TEXTS = 1500
 NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 FIT_ROWS = 5000
 GAIN = 15.0  # how much likelier (log) a repaired span must be as clean text
@@ -408,8 +411,7 @@ def affected(articles, samples, fields=("title", "clean_html"), fit_rows: int =
 
     def run(pdfs):
         for pdf in pdfs:
-            for lo in range(0, len(pdf), BATCH_TEXTS):
-                part = pdf.iloc[lo : lo + BATCH_TEXTS]
+            for part in C.frames(pdf, "value"):
                 got = repair(model, part["value"].tolist()) if model else []
                 if not got:
                     continue

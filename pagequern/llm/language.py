@@ -188,7 +188,7 @@ def language_segments(articles, samples):
     a = articles.select(F.col("page_id").cast("long"), F.col("language").alias("label"), "description").where("description IS NOT NULL")
 
     def run(pdfs):
-        for pdf in pdfs:
+        for pdf in (piece for whole in pdfs for piece in C.frames(whole, "description")):
             got = segments(profiles, pdf["description"].tolist())
             if not got:
                 continue

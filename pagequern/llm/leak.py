@@ -7,6 +7,8 @@ it is 0, the hash of the window's last words selects the patterns of a bucket an
 all words of window and pattern are compared.  Many windows (one a lane) move at
 a time, a lane being a stretch of one cell, so no window crosses a cell.
 
+Words are compared by their 64-bit hashes.  The shift table has SPARSE entries for
+every word of the patterns, so its windows move as fast for many items as for few.
 Items are searched in blocks of a bounded number, so what a task holds does not
 grow with the number of items; each block is one more pass over the corpus.
 """
@@ -21,10 +23,10 @@ from . import words as W
 
 SPAN = 15
 BLOCK = 2
-TABLE_BITS = 20
+LEAST_BITS, MOST_BITS = 16, 26  # of the shift table
+SPARSE = 8  # entries of the shift table for every word of the patterns
 LANE = 512
 ITEMS_PER_PASS = 20_000
-BATCH_CODE_POINTS = 4_000_000
 
 
 class Patterns:
@@ -40,7 +42,9 @@ class Patterns:
         self.words = h
         self.first = start
         self.item = np.array(ids, np.int64)[item[start]] if len(start) else np.zeros(0, np.int64)
-        self.shift = np.full(1 << TABLE_BITS, span - BLOCK + 1, np.uint8)
+        # so large that most blocks of a text are in no pattern and shift the window by its whole length
+        self.bits = int(np.clip(np.ceil(np.log2(max(1, SPARSE * len(h)))), LEAST_BITS, MOST_BITS))
+        self.shift = np.full(1 << self.bits, span - BLOCK + 1, np.uint8)
         for j in range(BLOCK, span + 1):  # block ends after j words of the pattern
             code = self.code(h, start + j - 1)
             np.minimum.at(self.shift, code, np.uint8(span - j))
@@ -48,9 +52,8 @@ class Patterns:
         order = np.argsort(suffix, kind="stable")
         self.first, self.item, self.bucket = start[order], self.item[order], suffix[order]
 
-    @staticmethod
-    def code(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return ((h[at] + (h[at - 1] << np.uint64(1))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def code(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((h[at] + (h[at - 1] << np.uint64(1))) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     @staticmethod
     def suffix(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -116,7 +119,7 @@ def _cells(batch: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
 
 def _search(batches, patterns: Patterns):
     for whole in batches:
-        for b in slices(whole, "text"):
+        for b in C.pieces(whole, "text"):
             cp, off = C.from_arrow(b.column("text"))
             breaks = _cells(b, off)
             first, _, h = W.find(cp, breaks)
@@ -129,20 +132,6 @@ def _search(batches, patterns: Patterns):
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(pair[1])], names=["doc_id", "item_id"])
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """Cuts a batch at row borders so that a piece has about BATCH_CODE_POINTS bytes of text."""
-    col = batch.column(column)
-    if len(col) == 0:
-        return
-    size = col.cast(pa.large_string()).buffers()[1]
-    off = np.frombuffer(size, np.int64, len(col) + 1, col.offset * 8) if col.offset == 0 else np.cumsum([0] + [len(x or "") for x in col.to_pylist()])
-    lo = 0
-    while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BATCH_CODE_POINTS, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def leaked_items(documents, items, span: int = SPAN):
     """(doc_id, item_id) of every item with ``span`` consecutive words in one cell of a document.
 

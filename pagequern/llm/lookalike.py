@@ -24,6 +24,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from ..plans.lineage import cut
 from . import codepoints as C
 
 # Letters that look like a Latin letter, by script.
@@ -267,7 +268,7 @@ def normalise_columns(df, columns: list[str]):
     schema = T.StructType(df.schema.fields + [T.StructField(c, T.StringType()) for c in new])
 
     def run(batches):
-        for b in batches:
+        for b in (piece for whole in batches for piece in C.pieces(whole, *columns)):
             arrays, names = list(b.columns), list(b.schema.names)
             for c in columns:
                 arrays += normalise_batch(b.column(names.index(c)))
@@ -276,32 +277,54 @@ def normalise_columns(df, columns: list[str]):
     return df.mapInArrow(run, schema)
 
 
-def same_look_pairs(df, id_col: str, fields: list[str]):
-    """Pairs of rows whose values of a field look the same but differ.
+BLOCK = 2_000  # rows of a class that one task pairs at a time
+
 
-    df: id and text columns.  Nulls, blanks and repeated rows give nothing.
-    Values are first reduced to distinct (key, value) variants; only keys with
-    more than one variant go on to ids, so a value shared by a third of all
-    rows meets nothing unless it has a look-alike.
+class SameLook:
+    """Rows of df (an id and text columns) by the look of their values, field by field.
+
+    Nulls, blanks and repeated rows give nothing.  Values are normalised once; only
+    hashes are exchanged.  A class is what looks the same; only those with more than
+    one variant are kept, so a value shared by a third of all rows meets nothing
+    unless it has a look-alike.
     """
-    from pyspark.sql import functions as F
-
-    long = df.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x"),
-    ).select("id", "x.field_name", "x.value")
-    long = long.where(F.col("value").isNotNull()).distinct()
-    keyed = normalise_columns(long, ["value"]).where(F.length("value_key") > 0)
-    keyed = keyed.select("id", "field_name", F.md5("value_key").alias("key"), F.md5("value").alias("raw"))
-    several = (
-        keyed.groupBy("field_name", "key").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("field_name", "key")
-    )
-    kept = keyed.join(several, ["field_name", "key"], "left_semi")
-    left = kept.select("field_name", "key", F.col("raw").alias("raw_1"), F.col("id").alias("page_id_1"))
-    right = kept.select("field_name", "key", F.col("raw").alias("raw_2"), F.col("id").alias("page_id_2"))
-    return (
-        left.join(right, ["field_name", "key"])
-        .where("raw_1 <> raw_2 AND page_id_1 < page_id_2")
-        .select("field_name", "page_id_1", "page_id_2")
-        .distinct()
-    )
+
+    def __init__(self, df, id_col: str, fields: list[str]):
+        from pyspark.sql import functions as F
+
+        long = df.select(
+            F.col(id_col).cast("long").alias("id"),
+            F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x"),
+        ).select("id", "x.field_name", "x.value")
+        keyed = normalise_columns(long.where(F.col("value").isNotNull()), ["value"]).where(F.length("value_key") > 0)
+        keyed = cut(keyed.select("id", "field_name", F.md5("value_key").alias("key"), F.md5("value").alias("raw")).distinct())
+        variants = keyed.groupBy("field_name", "key", "raw").agg(F.count("*").alias("n"))
+        several = variants.groupBy("field_name", "key").agg(F.sum("n").alias("rows"), F.count("*").alias("variants")).where("variants > 1")
+        self.members = cut(keyed.join(several, ["field_name", "key"]))
+        self.variants = variants.join(several.select("field_name", "key", "rows"), ["field_name", "key"])
+
+    def classes(self):
+        """(field_name, key, raw, members, links): variants, by hash, with their rows and how many rows of the class differ from each."""
+        from pyspark.sql import functions as F
+
+        return self.variants.select("field_name", "key", "raw", F.col("n").alias("members"), (F.col("rows") - F.col("n")).alias("links"))
+
+    def membership(self):
+        """(field_name, id, key, raw)."""
+        return self.members.select("field_name", "id", "key", "raw")
+
+    def pairs(self):
+        """(field_name, page_id_1, page_id_2) of rows that look the same but differ; large classes are paired block by block."""
+        from pyspark.sql import functions as F
+
+        m = self.members.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+        left = m.select("field_name", "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("raw").alias("raw_1"), F.col("id").alias("page_id_1"))
+        right = m.select("field_name", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("raw").alias("raw_2"), F.col("id").alias("page_id_2"))
+        both = left.join(right, ["field_name", "key", "block"]).where("raw_1 <> raw_2 AND page_id_1 < page_id_2")
+        # a page delivered with several values of a field can meet another page more than once
+        return both.select("field_name", "page_id_1", "page_id_2").distinct()
+
+
+def same_look_pairs(df, id_col: str, fields: list[str]):
+    """Pairs of rows whose values of a field look the same but differ."""
+    return SameLook(df, id_col, fields).pairs()

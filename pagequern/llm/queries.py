@@ -33,6 +33,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(table(spark, d, "articles").select("page_id", "title", "description"), "page_id", ["title", "description"])
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    from .lookalike import SameLook
+
+    return SameLook(table(spark, d, "articles").select("page_id", "title", "description"), "page_id", ["title", "description"]).classes()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .markup import shown_markup
 
@@ -89,6 +95,10 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).documents()
 
 
+def p9_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).posteriors()
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 

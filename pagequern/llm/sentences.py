@@ -384,7 +384,7 @@ def split_list(texts: list[str | None]) -> list[list[str]]:
 
 
 def _units(batches):
-    for b in batches:
+    for b in (piece for whole in batches for piece in C.pieces(whole, "text")):
         cp, off = C.from_arrow(b.column("text"))
         r, e = borders(cp, off)
         take = pa.array(r)

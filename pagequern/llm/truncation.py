@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import codepoints as C
-from . import leak
 from . import words as W
 
 SHINGLE = 5
@@ -260,7 +259,7 @@ def _digest(batches):
     ends_typ = pa.list_(pa.struct([("word", pa.string()), ("docs", pa.int64()), ("ends", pa.int64()), ("occurs", pa.int64())]))
     last_typ = pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string())), ("bare", pa.list_(pa.string())), ("opened", pa.bool_()), ("marked", pa.bool_()), ("fragment", pa.bool_())])
     for whole in batches:
-        for b in leak.slices(whole, "text"):
+        for b in C.pieces(whole, "text"):
             cp, off = C.from_arrow(b.column("text"))
             first, _, h = W.find(cp, off)
             row = np.searchsorted(off, first, "right") - 1
@@ -469,7 +468,7 @@ def fragment(text: str) -> bool:
 def _inside(batches):
     """(h, doc_id) of the runs of SHINGLE words after which a line goes on with another word."""
     for whole in batches:
-        for b in leak.slices(whole, "text"):
+        for b in C.pieces(whole, "text"):
             cp, off = C.from_arrow(b.column("text"))
             first, end, h = W.find(cp, off)
             row = np.searchsorted(off, first, "right") - 1

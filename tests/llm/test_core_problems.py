@@ -133,6 +133,34 @@ def test_same_and_different_looks(spark):
         lookalike.normalise_columns(df.withColumn("title_key", df.title), ["title"])
 
 
+def test_classes_of_looks(spark):
+    rows = [(i, "Aéb" if i % 3 else "Ae\u0301b", None) for i in range(60)] + [(100, "solo", "x y"), (101, "solo", "x\xa0y"), (101, "solo", "x\xa0y")]
+    df = spark.createDataFrame(rows, "page_id long, title string, description string")
+    s = lookalike.SameLook(df, "page_id", ["title", "description"])
+    got = sorted((r.field_name, r.members, r.links) for r in s.classes().collect())
+    assert got == [("description", 1, 1), ("description", 1, 1), ("title", 20, 40), ("title", 40, 20)]
+    assert s.membership().count() == 62
+    lookalike.BLOCK, kept_ = 7, lookalike.BLOCK  # large classes in several blocks
+    try:
+        pairs = [tuple(r) for r in s.pairs().collect()]
+    finally:
+        lookalike.BLOCK = kept_
+    assert len(pairs) == len(set(pairs)) == 20 * 40 + 1
+    assert lookalike.SameLook(df.where("page_id < 0"), "page_id", ["title"]).pairs().count() == 0
+
+
+def test_pieces_keep_rows_in_order():
+    b = pa.RecordBatch.from_arrays([pa.array(["aé", None, "x" * 50, "", "yy"]), pa.array([1, 2, 3, 4, 5])], names=["t", "i"])
+    codepoints.PIECE, kept_ = 4, codepoints.PIECE
+    try:
+        parts = [x.column("i").to_pylist() for x in codepoints.pieces(b.slice(1), "t")]
+        frames = [x["i"].tolist() for x in codepoints.frames(b.to_pandas(), "t")]
+    finally:
+        codepoints.PIECE = kept_
+    assert sum(parts, []) == [2, 3, 4, 5] and len(parts) > 1 and sum(frames, []) == [1, 2, 3, 4, 5] and len(frames) > 1
+    assert list(codepoints.pieces(b.slice(0, 0), "t")) == [] and list(codepoints.frames(b.to_pandas().iloc[:0], "t")) == []
+
+
 def test_code_points_round_trip():
     texts = ["aé漢𝄞", "", None, "x"]
     cp, off = codepoints.from_arrow(pa.array(texts).slice(0, 4))
@@ -203,6 +231,14 @@ def test_garbling_has_an_inverse(pair):
             assert back is None or back == t
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abz 19.éñüßПривет日本の書啊แมวıış“—”€", max_size=12))
+def test_nothing_that_a_pair_changes_is_ascii(s):
+    for pair in encoding.PAIRS:
+        g = encoding.garble(s, pair)
+        assert g is None or not g.isascii()
+
+
 # ------------------------------------------------------------ 7 templates
 @pytest.mark.parametrize(
     "title, yes",
