@@ -68,12 +68,18 @@ AFTER_STOP = "\"'”’»)]*_"
 ENDER = re.compile(r"([^\W\d_]{2,})[\"'”’»)*_]*[.!?](?=\s|$)|([぀-ヿ㐀-鿿]{2})[。！？]")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
 ANY = "*"  # stands for all sources together, whose limits hold for texts without a source
+MARK_SIZE = 64  # no mark is longer
 LAST_WORD = re.compile(r"[^\W\d_]{2,}\Z")
 FEW = 2_000_000  # keys (of 8 bytes) that are sent to all executors at most
 WIDE = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 
 
+def mark_at(text: str) -> re.Match | None:
+    """The exporter's mark at the end of a text."""
+    return MARK.search(text, max(0, len(text) - MARK_SIZE))
+
+
 def shape(token: str) -> str:
     """Numbers by their form, other tokens as they are."""
     if token[0].isdigit():
@@ -224,7 +230,7 @@ def _banded(sig: np.ndarray, level: int) -> np.ndarray:
     return bands
 
 
-SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, own array<long>, anchor long, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean,fragment:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
+SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, own array<long>, anchor struct<part:long,whole:long,last:long>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean,fragment:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
 
 
 def sentence_ends(text: str, last: bool) -> list[str]:
@@ -234,7 +240,7 @@ def sentence_ends(text: str, last: bool) -> list[str]:
     """
     text = text.rstrip()
     if last:
-        m = MARK.search(text)
+        m = mark_at(text)
         text = text[: m.start()].rstrip() if m else text
     out = []
     for m in ENDER.finditer(text):
@@ -257,6 +263,7 @@ def _digest(batches):
 
     typ = pa.list_(pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string()))]))
     ends_typ = pa.list_(pa.struct([("word", pa.string()), ("docs", pa.int64()), ("ends", pa.int64()), ("occurs", pa.int64())]))
+    anchor_typ = pa.struct([("part", pa.int64()), ("whole", pa.int64()), ("last", pa.int64())])
     last_typ = pa.struct([("kind", pa.string()), ("toks", pa.list_(pa.string())), ("bare", pa.list_(pa.string())), ("opened", pa.bool_()), ("marked", pa.bool_()), ("fragment", pa.bool_())])
     for whole in batches:
         for b in C.pieces(whole, "text"):
@@ -273,7 +280,7 @@ def _digest(batches):
                 got = [closing(k, x)[:2] for k, x in cells[:-1] if x.strip()]
                 kind, x = cells[-1]
                 k, toks, opened = closing(kind, x)
-                m = MARK.search(x.rstrip())
+                m = mark_at(x.rstrip())
                 bare = x.rstrip()[: m.start()] if m else x
                 k2, bare_toks, opened2 = closing(kind, bare)
                 closes.append([{"kind": a, "toks": t} for a, t in got])
@@ -296,7 +303,7 @@ def _digest(batches):
                 anchors.append(anchor(text, h[int(ends_at[len(size) - 2]) if len(size) > 1 else 0 : n]) if own[len(size) - 1] else None)
             enders = [[{"word": w, "docs": docs[w], "ends": ended[w], "occurs": k} for w, k in occurs.items()], *[[]] * (b.num_rows - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, anchors)], pa.list_(pa.int64())), pa.array(anchors, pa.int64()), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
+                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, anchors)], pa.list_(pa.int64())), pa.array(anchors, anchor_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
                 names=["doc_id", "src", "size", "same", "bands", "own", "anchor", "closings", "last", "enders"],
             )
 
@@ -439,34 +446,62 @@ def ender_of(word: str) -> str:
     return word.lower()
 
 
-def anchor(text: str, h: np.ndarray) -> int | None:
-    """Hash of the five words before the last one, which may be a part only; none if the text's end can't tell a cut."""
+def anchor(text: str, h: np.ndarray) -> dict | None:
+    """Hashes of the five words before the last one with its first letter, of these six words, and of the last word.
+
+    The last word may be a part only.  None if the text's end can't tell a cut.
+    """
     s = text.rstrip()
-    m = MARK.search(s)
+    m = mark_at(s)
     if m:
-        text = s = s[: m.start()].rstrip()
-        cp, off = C.from_list([s])
-        h = W.find(cp, off)[2]
+        s = s[: m.start()].rstrip()
+        h = W.find(*C.from_list([s]))[2]
     if len(s) < END or s[-1] in STOP or len(h) <= SHINGLE:
         return None
-    x = np.zeros(1, np.uint64)
+    first, _, tail = W.find(*C.from_list([s[-2 * MARK_SIZE :]]))
+    if not len(tail) or tail[-1] != h[-1]:  # a word longer than that
+        return None
+    letter = np.uint64(ord(s[-2 * MARK_SIZE :][int(first[-1])].lower()))
+    five, six = _runs(h[-SHINGLE - 1 :], np.zeros(1, np.int64))
+    part = W.mix(five * W.MULT + letter)
+    return {"part": int(part.view(np.int64)[0]), "whole": int(six.view(np.int64)[0]), "last": int(h[-1:].view(np.int64)[0])}
+
+
+def _runs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of SHINGLE words from each place, and of one word more."""
+    x = np.zeros(len(at), np.uint64)
     for j in range(SHINGLE):
-        x = x * W.MULT + h[len(h) - 1 - SHINGLE + j]
-    return int(W.mix(x).view(np.int64)[0])
+        x = x * W.MULT + h[at + j]
+    return W.mix(x), W.mix(W.mix(x * W.MULT + h[at + SHINGLE]) + np.uint64(1))
 
 
 def fragment(text: str) -> bool:
     """The last word stands nowhere else in the text, but begins a longer word of it."""
     s = text.rstrip()
-    m = LAST_WORD.search(s)
+    m = LAST_WORD.search(s, max(0, len(s) - 2 * MARK_SIZE))
     if not m:
         return False
     w = m.group()
-    return bool(re.search(rf"(?<![^\W_]){re.escape(w)}[^\W\d_]", s)) and len(re.findall(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", s)) == 1
+    if len(w) == 2 * MARK_SIZE or s.count(w) == 1:
+        return False
+    at, longer = s.find(w), False
+    while at < m.start():
+        before, after = s[at - 1 : at], s[at + len(w) : at + len(w) + 1]
+        if not before.isalpha():
+            if not after.isalpha():
+                return False
+            longer = True
+        at = s.find(w, at + 1)
+    return longer
 
 
 def _inside(batches):
-    """(h, doc_id) of the runs of SHINGLE words after which a line goes on with another word."""
+    """(h, next, doc_id): runs after which a line goes on, as shorter texts look for them.
+
+    A run of SHINGLE words and the first letter of the next word in the line, with that
+    word, which a cut may have shortened; a run of one word more, if yet another word
+    follows in the line, after which a cut may have come (next is 0).
+    """
     for whole in batches:
         for b in C.pieces(whole, "text"):
             cp, off = C.from_arrow(b.column("text"))
@@ -474,15 +509,20 @@ def _inside(batches):
             row = np.searchsorted(off, first, "right") - 1
             lines = np.zeros(len(cp) + 1, np.int64)
             np.cumsum(cp == 0x0A, out=lines[1:])
-            at, s = shingle_hashes(h, row)
+            on = np.zeros(len(h), bool)  # word i is followed by another one in its line
+            on[:-1] = (row[1:] == row[:-1]) & (lines[first[1:]] == lines[end[:-1]])
+            at = np.arange(max(len(h) - SHINGLE, 0))
+            at = at[(row[at] == row[at + SHINGLE - 1]) & on[at + SHINGLE - 1]]
+            if not len(at):
+                continue
+            five, six = _runs(h, at)
             nxt = at + SHINGLE
-            ok = nxt < len(h)
-            at, s, nxt = at[ok], s[ok], nxt[ok]
-            ok = (row[nxt] == row[at]) & (lines[first[nxt]] == lines[end[nxt - 1]])
-            pair = np.unique(np.stack([row[at[ok]].astype(np.uint64), s[ok]]), axis=1)
-            if pair.shape[1]:
-                ids = b.column("doc_id").take(pa.array(pair[0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64)), ids], names=["h", "doc_id"])
+            letter = W.tables()[1][cp[first[nxt]]].astype(np.uint64)
+            more = on[nxt]
+            keys = np.concatenate([W.mix(five * W.MULT + letter), six[more]])
+            words = np.concatenate([h[nxt], np.zeros(int(more.sum()), np.uint64)])
+            rows = np.concatenate([row[at], row[at[more]]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(words.view(np.int64)), b.column("doc_id").take(pa.array(rows))], names=["h", "next", "doc_id"])
 
 
 def only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -494,7 +534,7 @@ def only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 def aligned(short: str, long: str) -> bool:
     """True if short is a near-copy of a beginning of long, their alignment ends with short, and long goes on in the same word or line."""
     s = short.rstrip()
-    m = MARK.search(s)
+    m = mark_at(s)
     s = s[: m.start()].rstrip() if m else s
     (first, _, h), (first2, end2, h2) = (W.find(*C.from_list([t])) for t in (s, long))
     a, b = (shingle_hashes(x, np.zeros(len(x), np.int64))[1] for x in (h, h2))
@@ -538,14 +578,15 @@ class Copies:
         banded = one.select("doc_id", F.explode("bands").alias("band"), F.array_contains("own", F.col("band")).alias("own"))
         shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.max("own").alias("cuts")).where("n > 1 AND cuts").select("band")
         self.members = cut(banded.join(shared, "band"))  # texts of buckets in which one can be a cut copy of another
-        self.shorts = cut(self.members.where("own").join(one.select("doc_id", F.col("anchor").alias("h")), "doc_id").select("h", "band", F.col("doc_id").alias("short")))
+        ends = one.where("anchor IS NOT NULL").select("doc_id", F.explode(F.array("anchor.part", "anchor.whole")).alias("h"), F.col("anchor.last").alias("last"))
+        self.shorts = cut(self.members.where("own").join(ends, "doc_id").select("h", "band", "last", F.col("doc_id").alias("short")))
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(h, band, doc_id) of texts that go on after the run h, and (h, band, low, high, n): their classes."""
-        runs = only(self.texts, self.members, "doc_id").mapInArrow(_inside, "h long, doc_id long")
-        runs = only(runs, self.shorts, "h")
-        longs = cut(runs.join(self.members.select("doc_id", "band"), "doc_id").select("h", "band", "doc_id"))
-        return longs, longs.groupBy("h", "band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        """(h, next, band, doc_id) of texts that go on after the run h, and (h, next, band, low, high, n): their classes."""
+        runs = only(self.texts, self.members, "doc_id").mapInArrow(_inside, "h long, next long, doc_id long")
+        runs = only(runs, self.shorts, "h").distinct()
+        longs = cut(runs.join(self.members.select("doc_id", "band"), "doc_id").select("h", "next", "band", "doc_id"))
+        return longs, longs.groupBy("h", "next", "band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """short of the verified ones of the pairs (short, long)."""
@@ -560,12 +601,12 @@ class Copies:
     def found(self) -> DataFrame:
         """doc_id of one text of each group of identical ones."""
         longs, classes = self.classes()
-        met = self.shorts.join(classes, ["h", "band"])
+        met = cut(self.shorts.join(classes, ["h", "band"]).where(F.col("next") != F.col("last")))
         ends = met.select("short", F.explode(F.array("low", "high")).alias("long")).where("short <> long").distinct()
         sure = cut(self.verified(ends))
         # what neither end of a class confirms is compared with all the others of it
-        left = met.where("n > 2").join(sure, "short", "left_anti").select("h", "band", "short", "low", "high")
-        rest = left.join(longs.withColumnRenamed("doc_id", "long"), ["h", "band"]).where("long NOT IN (short, low, high)").select("short", "long").distinct()
+        left = met.where("n > 2").join(sure, "short", "left_anti").select("h", "next", "band", "short", "low", "high")
+        rest = left.join(longs.withColumnRenamed("doc_id", "long"), ["h", "next", "band"]).where("long NOT IN (short, low, high)").select("short", "long").distinct()
         return sure.union(self.verified(rest)).select(F.col("short").alias("doc_id")).distinct()
 
 
