@@ -4,7 +4,7 @@ Two kinds of evidence, both over all documents:
 
 * near-copies: a cut copy is like the beginning of its whole text, so five-word
   shingles are min-hashed (one permutation hashing, banded) for the beginnings of
-  16, 32, 64, ... words; a text meets longer ones in the bands of its own length.
+  16, 48, 144, ... words; a text meets longer ones in the bands of its own length.
   Pairs are verified by aligning their shared shingles: at least 0.8 of the
   shorter text's shingles must be in the longer one, the alignment must end at
   the shorter text's end, and the longer one must go on in the same word or line;
@@ -43,10 +43,10 @@ from . import words as W
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 6
+BANDS = 5
 ROWS = 3  # min-hashes a band
 BINS = BANDS * ROWS
-LEVELS = [16 << i for i in range(24)]  # words of the beginnings that are min-hashed
+LEVELS = [16 * 3**i for i in range(16)]  # words of the beginnings that are min-hashed
 END = 32  # least length of a text that can be a cut copy
 SPIKE = 16.0  # log-likelihood ratio from which on a length is a limit of its source
 AROUND = 64  # lengths before and after one that tell how many texts end there by chance
@@ -70,7 +70,8 @@ LETTERS = re.compile(r"[^\W\d_]{2,}")
 ANY = "*"  # stands for all sources together, whose limits hold for texts without a source
 MARK_SIZE = 64  # no mark is longer
 LAST_WORD = re.compile(r"[^\W\d_]{2,}\Z")
-FEW = 2_000_000  # keys (of 8 bytes) that are sent to all executors at most
+FEW = 1_000_000  # keys (of 8 bytes) that are sent to all executors at most
+BITS = 1 << 27  # of the bitmap that stands for more of them
 WIDE = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 
@@ -120,13 +121,21 @@ def open_statement(code: str) -> bool:
     return bool(depth)
 
 
-def closing(kind: str, text: str) -> tuple[str, list[str], bool]:
-    """(kind of line, last tokens in order, statement open) of a cell's end."""
+def last_tokens(line: str) -> list[str]:
+    """The last four tokens of a line, with numbers by their form."""
+    got = TOKEN.findall(line[-160:]) if len(line) > 160 else []
+    if len(got) < 5:  # the first of these may be a part
+        got = TOKEN.findall(line)
+    return [shape(x) for x in got[-4:]]
+
+
+def closing(kind: str, text: str, statement: bool = True) -> tuple[str, list[str], bool]:
+    """(kind of line, last tokens in order, statement open if asked) of a cell's end."""
     t = text.rstrip()
     line = t[t.rfind("\n") + 1 :]
     opened = False
     if kind == "code":
-        opened = open_statement(t)
+        opened = statement and open_statement(t)
     elif kind == "markdown":
         s = line.lstrip()
         if s.startswith("#"):
@@ -142,7 +151,7 @@ def closing(kind: str, text: str) -> tuple[str, list[str], bool]:
         a, b = TABLE_ROW.match(prev), TABLE_ROW.match(line)
         if a and b and len(prev.split()) > len(line.split()):
             opened = True
-    toks = [shape(x) for x in TOKEN.findall(line)[-4:]]
+    toks = last_tokens(line)
     if kind in ("item", "heading") and sentence_state(toks) == "stop":
         kind = "markdown"  # a line that is a sentence ends like any other
     return kind, toks, opened
@@ -230,7 +239,7 @@ def _banded(sig: np.ndarray, level: int) -> np.ndarray:
     return bands
 
 
-SCHEMA = "doc_id long, src string, size long, same string, bands array<long>, own array<long>, anchor struct<part:long,whole:long,last:long>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean,fragment:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
+SCHEMA = "doc_id long, src string, size long, same binary, bands array<long>, own array<long>, anchor struct<part:long,whole:long,last:long>, closings array<struct<kind:string,toks:array<string>>>, last struct<kind:string,toks:array<string>,bare:array<string>,opened:boolean,marked:boolean,fragment:boolean>, enders array<struct<word:string,docs:long,ends:long,occurs:long>>"
 
 
 def sentence_ends(text: str, last: bool) -> list[str]:
@@ -244,8 +253,9 @@ def sentence_ends(text: str, last: bool) -> list[str]:
         text = text[: m.start()].rstrip() if m else text
     out = []
     for m in ENDER.finditer(text):
-        rest = re.match(r"\s*", text[m.end() : m.end() + 9]).group()
-        after = text[m.end() + len(rest) : m.end() + len(rest) + 1]
+        rest = text[m.end() : m.end() + 9]
+        solid = rest.lstrip()
+        rest, after = rest[: len(rest) - len(solid)], solid[:1]
         if (last and not after) or ("\n" not in rest and (after.islower() or after.isdigit())):
             continue
         out.append((m[1] or "").lower() or m[2])
@@ -277,7 +287,7 @@ def _digest(batches):
             cols = [b.column(c).to_pylist() for c in ("text", "kinds", "starts", "lengths")]
             for text, kinds, starts, lengths in zip(*cols):
                 cells = _cells(text, kinds, starts, lengths)
-                got = [closing(k, x)[:2] for k, x in cells[:-1] if x.strip()]
+                got = [closing(k, x, False)[:2] for k, x in cells[:-1] if x.strip()]
                 kind, x = cells[-1]
                 k, toks, opened = closing(kind, x)
                 m = mark_at(x.rstrip())
@@ -293,17 +303,17 @@ def _digest(batches):
                         occurs.update(occurrences(xx))
                         for ln in xx.rstrip().split("\n")[:-1]:
                             if ln.startswith("#"):
-                                heads.add(tuple(shape(z) for z in TOKEN.findall(ln)[-4:]))
+                                heads.add(tuple(last_tokens(ln)))
                 closes[-1] += [{"kind": "heading", "toks": list(z)} for z in heads]
                 ended.update(ends)
                 docs.update(set(ends))
-                same.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest())
+                same.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
                 size.append(len(text))
                 n = int(ends_at[len(size) - 1])
                 anchors.append(anchor(text, h[int(ends_at[len(size) - 2]) if len(size) > 1 else 0 : n]) if own[len(size) - 1] else None)
             enders = [[{"word": w, "docs": docs[w], "ends": ended[w], "occurs": k} for w, k in occurs.items()], *[[]] * (b.num_rows - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, anchors)], pa.list_(pa.int64())), pa.array(anchors, anchor_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
+                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, anchors)], pa.list_(pa.int64())), pa.array(anchors, anchor_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
                 names=["doc_id", "src", "size", "same", "bands", "own", "anchor", "closings", "last", "enders"],
             )
 
@@ -322,17 +332,19 @@ def digest(documents: DataFrame) -> DataFrame:
 class Terminality:
     """Statistics of closings over all distinct texts, and the verdict by closing words.
 
-    No text is evidence for itself: identical texts count once, and what counts final
-    closings leaves the judged text out.
+    No text is evidence for itself: identical texts count once among final closings,
+    and what counts those leaves the judged text out.
     """
 
     def __init__(self, digests: DataFrame):
         self.d = digests
-        n = digests.select("same").distinct().count()
+        n = digests.count()
         least = max(KNOWN_LEAST, int(KNOWN_SHARE * n))
-        words = digests.select("same", F.explode(F.array_union(F.flatten(F.col("closings.toks")), F.array_union(F.col("last.toks"), F.col("last.bare")))).alias("t"))
-        words = words.where(F.col("t").rlike(r"(?U)^\p{L}|^_")).select("same", F.lower("t").alias("t")).distinct()
-        common = words.groupBy("t").count().where(F.col("count") > least)  # the judged text and so many others
+        word = F.col("t").rlike(r"(?U)^\p{L}|^_")
+        inside = digests.select(F.explode(F.array_distinct(F.transform(F.flatten("closings.toks"), F.lower))).alias("t")).where(word).groupBy("t").count()
+        # what the judged ends hold may be parts of words: identical texts count once
+        last = digests.select(F.xxhash64("same").alias("s"), F.explode(F.array_distinct(F.transform(F.array_union("last.toks", "last.bare"), F.lower))).alias("t")).where(word).distinct().groupBy("t").count()
+        common = inside.unionByName(last).groupBy("t").agg(F.sum("count").alias("count")).where(F.col("count") > least)
         self.known = [r.t for r in common.select("t").collect()]  # at most (closing words a document) / KNOWN_SHARE words
         self.documents = n
 
@@ -366,13 +378,16 @@ class Terminality:
                     lone = len(toks) > 1 and toks[-2] == "#"
                     form = "x" if m and m[-1] == "X" else "word" if m and (m[-1][0].isalnum()) else "sign"
                     w = next((t for t in reversed(bare) if t[0].isalpha()), "")
-                    rows.append((doc, same, src, size, bool(last["fragment"]), last["kind"], ks[0][1], ks[1][1], sentence_state(toks), sentence_state(bare), ender_of(w), bool(last["opened"]), "1" + toks[-1].lower() if toks else "", form, lone))
+                    rows.append((doc, same, src, size, bool(last["fragment"]), last["kind"], toks == ["full"], ks[0][1], ks[1][1], sentence_state(toks), sentence_state(bare), ender_of(w), bool(last["opened"]), "1" + toks[-1].lower() if toks else "", form, lone))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "same", "src", "size", "fragment", "kind", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "same", "src", "size", "fragment", "kind", "full", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
 
         cells = self.d.select("closings").mapInPandas(run_cells, "kind string, k string, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
-        last = self.d.select("doc_id", "same", F.coalesce("src", F.lit(ANY)).alias("src"), "size", "last").mapInPandas(run_last, "doc_id long, same string, src string, size long, fragment boolean, kind string, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
-        return cut(cells), cut(last)  # both are joined several times
+        last = self.d.select("doc_id", "same", F.coalesce("src", F.lit(ANY)).alias("src"), "size", "last").mapInPandas(run_last, "doc_id long, same binary, src string, size long, fragment boolean, kind string, full boolean, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
+        # only hashes of closings are exchanged; both are joined several times
+        cells = cells.select("kind", F.xxhash64("kind", "k").alias("k"), F.col("k").startswith("3").alias("three"), "n")
+        last = last.select(*[c for c in last.columns if c not in ("k1", "k2", "k3", "word")], *[F.xxhash64("kind", k).alias(k) for k in ("k1", "k2", "k3")], F.xxhash64("word").alias("word"), F.length("word").alias("letters"))
+        return cut(cells), cut(last)
 
     def limits(self) -> DataFrame:
         """(src, size): lengths of a source (of all texts: ANY) at which significantly more texts end than around them."""
@@ -389,16 +404,16 @@ class Terminality:
     def verdicts(self) -> DataFrame:
         """doc_id, score (how often the closing ends complete cells) and whether the closing is no end."""
         cells, last = self.keyed()
-        enders = self.d.select(F.explode("enders").alias("e")).groupBy("e.word").agg(F.sum("e.docs").alias("ends"), (F.sum("e.ends") / F.sum("e.occurs")).alias("rate"))
-        finals = last.groupBy("kind", "k3").agg((F.countDistinct("same") - 1).alias("finals"))  # others than the judged one
-        x = last.join(cells.select("kind", F.col("k").alias("k3"), F.col("n").alias("n3")), ["kind", "k3"], "left")
-        x = x.join(cells.select("kind", F.col("k").alias("k2"), F.col("n").alias("n2")), ["kind", "k2"], "left")
-        x = x.join(cells.select("kind", F.col("k").alias("k1"), F.col("n").alias("n1")), ["kind", "k1"], "left")
-        x = x.join(finals, ["kind", "k3"], "left").join(enders, "word", "left")
+        enders = self.d.select(F.explode("enders").alias("e")).groupBy("e.word").agg(F.sum("e.docs").alias("ends"), (F.sum("e.ends") / F.sum("e.occurs")).alias("rate")).where("ends > 0").withColumn("word", F.xxhash64("word"))
+        finals = last.groupBy("k3").agg((F.countDistinct("same") - 1).alias("finals"))  # others than the judged one
+        x = last.drop("same")
+        for k in ("3", "2", "1"):
+            x = x.join(cells.select(F.col("k").alias(f"k{k}"), F.col("n").alias(f"n{k}")), f"k{k}", "left")
+        x = x.join(finals, "k3", "left").drop("k1", "k2", "k3").join(enders, "word", "left").drop("word")
         x = x.join(self.limits(), ["src", "size"], "left").withColumn("limit", F.coalesce("limit", F.lit(False)))
         for c in ("n3", "n2", "n1", "finals", "ends", "rate"):
             x = x.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-        totals = {r.kind: r.n for r in cells.where(F.col("k").startswith("3")).groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
+        totals = {r.kind: r.n for r in cells.where("three").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
         least = F.create_map(*[F.lit(y) for k, n in totals.items() for y in (k, float(max(END_LEAST, END_SHARE * n)))]) if totals else F.create_map().cast("map<string,double>")
 
         def enough(c: str):
@@ -407,7 +422,7 @@ class Terminality:
         ender = (F.col("ends") >= END_LEAST) & (F.col("rate") >= END_RATE)
         unsure = F.col("limit") & ((F.col("form") == "x") | F.col("fragment"))
         frequent = F.col("finals") >= max(3, int(STRUCTURE_SHARE * self.documents))
-        sentence = (F.col("state") == "stop") & (enough("n2") | ender | (F.length("word") > ABBREVIATION))
+        sentence = (F.col("state") == "stop") & (enough("n2") | ender | (F.col("letters") > ABBREVIATION))
         pause = (F.col("state") == "pause") & ((F.col("bare_state") == "stop") | (F.col("rate") >= PAUSE_RATE))
         seen = enough("n3") | frequent
         # without a full stop only signs ("$$", "---", ")") or frequent whole words end a text
@@ -415,7 +430,7 @@ class Terminality:
         text_end = (F.col("kind") == "markdown") & (sentence | pause | structure)
         item_end = (F.col("kind") == "item") & (sentence | ((F.col("form") != "x") & seen & ~unsure))
         heading_end = (F.col("kind") == "heading") & (enough("n1") | (frequent & (F.col("form") != "x")) | sentence | (~F.col("limit") & ~F.col("fragment") & (ender | (~F.col("lone") & enough("n3")))))
-        sure64 = (F.col("kind") == "base64") & ~(F.col("limit") & F.col("k3").endswith("full"))
+        sure64 = (F.col("kind") == "base64") & ~(F.col("limit") & F.col("full"))
         other_end = ~F.col("kind").isin("markdown", "item", "heading") & ~F.col("opened") & ((enough("n3") & ~((F.col("kind") == "output") & unsure) & (F.col("kind") != "base64")) | sure64)
         return x.select("doc_id", F.col("n3").alias("score"), (~(text_end | item_end | heading_end | other_end)).alias("no_end"))
 
@@ -525,10 +540,21 @@ def _inside(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(words.view(np.int64)), b.column("doc_id").take(pa.array(rows))], names=["h", "next", "doc_id"])
 
 
-def only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose column is among keys; keys are sent to all executors only if they are few, by count."""
+def likely(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose long column may be among keys, without an exchange of df; a join with the keys follows everywhere.
+
+    Few keys, by count, are sent to all executors; of more of them a bitmap of BITS
+    hashes is, of 16 MB whatever their number.
+    """
     keys = cut(keys.select(column).distinct())
-    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, column, "left_semi")
+    if keys.count() <= FEW:
+        return df.join(F.broadcast(keys), column, "left_semi")
+    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    near = df.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(maps), "bucket")
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*df.columns)
 
 
 def aligned(short: str, long: str) -> bool:
@@ -583,8 +609,8 @@ class Copies:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(h, next, band, doc_id) of texts that go on after the run h, and (h, next, band, low, high, n): their classes."""
-        runs = only(self.texts, self.members, "doc_id").mapInArrow(_inside, "h long, next long, doc_id long")
-        runs = only(runs, self.shorts, "h").distinct()
+        runs = likely(self.texts, self.members, "doc_id").mapInArrow(_inside, "h long, next long, doc_id long")
+        runs = likely(runs, self.shorts, "h").distinct()
         longs = cut(runs.join(self.members.select("doc_id", "band"), "doc_id").select("h", "next", "band", "doc_id"))
         return longs, longs.groupBy("h", "next", "band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
 
@@ -592,7 +618,7 @@ class Copies:
         """short of the verified ones of the pairs (short, long)."""
         pairs = cut(pairs)
         need = pairs.select(F.col("short").alias("doc_id")).union(pairs.select(F.col("long").alias("doc_id")))
-        some = only(self.texts, need, "doc_id")
+        some = likely(self.texts, need, "doc_id")
         both = pairs.join(some.select(F.col("doc_id").alias("short"), F.col("text").alias("short_text")), "short").join(
             some.select(F.col("doc_id").alias("long"), F.col("text").alias("long_text")), "long"
         )

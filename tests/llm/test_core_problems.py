@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagequern.llm import boilerplate, codepoints, encoding, leak, lookalike, markup, mixing, sentences, templates, truncation, words
 from pagequern.functions.htmltree import parse
@@ -497,6 +498,13 @@ def test_near_copies_against_brute_force(spark):
     want = brute_copies(texts)
     got = {r.doc_id for r in truncation.Truncation(corpus(spark, [(i, [("markdown", x)]) for i, x in texts.items()])).by_copies().collect()}
     assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
+    keys = spark.range(0, 4000, 7).toDF("doc_id")
+    truncation.FEW, few = 0, truncation.FEW  # as for more keys than are sent about
+    try:
+        some = {r.doc_id for r in truncation.likely(spark.range(4000).toDF("doc_id").withColumn("text", F.lit("x")), keys, "doc_id").collect()}
+    finally:
+        truncation.FEW = few
+    assert set(range(0, 4000, 7)) <= some and len(some) < 600
 
 
 def test_every_member_of_a_class_is_tried(spark):
