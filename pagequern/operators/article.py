@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import plain as P
 from ..functions import summary as S
 from ..functions import text as T
 from ..functions.voting import language
 from ..plans.options import ExtractOptions
+from . import dom
 from .pagetree import PageTree
 
 STAGE = (
@@ -115,6 +117,22 @@ def best_image(images: Column, start: Column, title_path: Column, base: Column,
     return F.array_max(F.transform(good, lambda i: F.struct((i["w"].cast("long") * i["h"]).alias("area"), (-i["pos"]).alias("first"), i["url"].alias("url"))))["url"]
 
 
+def titles_of_nodes(nodes: DataFrame, least: float = 50.0) -> DataFrame:
+    """(page_id, best, similarity): the text in or below the body that is most like the page's title, else the title (K2)."""
+
+    def one(page, cols):
+        ids, tag, texts = cols
+        title = next((P.strip(x) for t, x in zip(tag, texts) if t == "title" and x), None)
+        body = next((i for i, t in zip(ids, tag) if t == "body"), None)
+        if title is None:
+            return []
+        own = [(i, P.strip(x)) for i, x in zip(ids, texts) if x and body is not None and i >= body]
+        got = P.best_title(title, [(i, x) for i, x in own if x and len(x) <= len(title)], least, 6)
+        return [(page, got[2], got[0]) if got else (page, title, 100.0)]
+
+    return dom.by_page(nodes, ["node_id", "tag", "text"], one, "page_id long, best string, similarity double")
+
+
 def escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))

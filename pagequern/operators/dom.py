@@ -7,12 +7,14 @@ exchanged once by page; within a page an interval condition decides.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.htmltree import parse
-from ..functions.text import clean_length
+from ..functions.plain import clean_text
 
 SCHEMA = "page_id long, node_id int, end_id int, parent_id int, depth int, child_idx int, tag string, attrs map<string,string>, text string, tail string"
 
@@ -34,9 +36,12 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.where("html IS NOT NULL AND trim(html) <> ''").select(F.col("page_id").cast("long"), "html").mapInArrow(_parse, SCHEMA)
 
 
-def nodes_of(table: DataFrame) -> DataFrame:
-    """A node table with each node once, exchanged by page: the joins and groupings that follow keep that partitioning."""
-    return table.repartition("page_id").dropDuplicates(["page_id", "node_id"])
+def nodes_of(table: DataFrame, where: Column | str | None = None) -> DataFrame:
+    """A node table with each node once, exchanged by page: the joins and groupings that follow keep that partitioning.
+
+    A condition is applied before the exchange, so it reaches the scan; deliveries of a node are equal in all columns.
+    """
+    return (table if where is None else table.where(where)).repartition("page_id").dropDuplicates(["page_id", "node_id"])
 
 
 def within(n: str, e: str, proper: bool = False) -> Column:
@@ -50,26 +55,122 @@ def descendants(nodes: DataFrame, roots: DataFrame, proper: bool = True) -> Data
     return nodes.alias("n").join(roots.select("page_id", "node_id", "end_id").alias("e"), within("n", "e", proper)).select(F.col("e.node_id").alias("root_id"), "n.*")
 
 
+MEASURES = "page_id long, node_id int, end_id int, tag string, raw int, length int, commas int, links int, content string"
+
+
+def by_page(nodes: DataFrame, columns: list[str], one, schema: str) -> DataFrame:
+    """one(page_id, list of column lists) -> rows, for each page with its nodes in order.
+
+    Nodes must be partitioned by page (nodes_of); a page is as large as one document.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def pages(batches):
+        held: list = []
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(ids)) + 1
+            parts = [b.slice(lo, hi - lo) for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)])] if len(ids) else []
+            for part in parts:
+                if held and held[0].column(0)[0].as_py() != part.column(0)[0].as_py():
+                    yield held
+                    held = []
+                held.append(part)
+        if held:
+            yield held
+
+    def run(batches):
+        out: list[tuple] = []
+        for held in pages(batches):
+            cols = [sum((b.column(i).to_pylist() for b in held), []) for i in range(1, held[0].num_columns)]
+            out += one(held[0].column(0)[0].as_py(), cols)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
+
+    ordered = nodes.select("page_id", *columns).sortWithinPartitions("page_id", "node_id")
+    return ordered.mapInArrow(lambda bs: _typed(run(bs), schema), schema)
+
+
+def _typed(batches, schema: str):
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    fields = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in fields], schema=fields)
+
+
+def spans(ids: list, ends: list, texts: list, tails: list) -> tuple[str, list[int], list[int]]:
+    """(all text of a page, begin and end of each element's content in it).
+
+    An element's content is contiguous: its text, its children with their tails.
+    """
+    parts, size, open_ = [], 0, []
+    begin, end = [0] * len(ids), [0] * len(ids)
+
+    def close(until: int) -> None:
+        nonlocal size
+        while open_ and ends[open_[-1]] < until:
+            k = open_.pop()
+            end[k] = size
+            if open_ and tails[k]:  # the root's tail is in nothing
+                parts.append(tails[k])
+                size += len(tails[k])
+
+    for k, i in enumerate(ids):
+        close(i)
+        open_.append(k)
+        begin[k] = size
+        if texts[k]:
+            parts.append(texts[k])
+            size += len(texts[k])
+    close(1 << 62)
+    return "".join(parts), begin, end
+
+
+def measures(nodes: DataFrame, tags: list[str] | None = None, content: bool = False) -> DataFrame:
+    """page_id, node_id, end_id, tag, raw and clean length, commas of the clean text, clean length of links inside (nested ones count twice).
+
+    One pass over each page: contents are slices of the page's text.  Of the given
+    tags only, if any are given; with the text itself if asked.
+    """
+    wanted = set(tags) if tags else None
+
+    def one(page, cols):
+        ids, ends, tag, texts, tails = cols
+        whole, begin, end = spans(ids, ends, texts, tails)
+        links = [0] * (len(ids) + 1)
+        clean_of: dict[int, str] = {}
+        for k, t in enumerate(tag):
+            n = 0
+            if t == "a" or wanted is None or t in wanted:
+                clean_of[k] = clean_text(whole[begin[k] : end[k]])
+                n = len(clean_of[k]) if t == "a" else 0
+            links[k + 1] = links[k] + n
+        place = {i: k for k, i in enumerate(ids)}
+        rows = []
+        for k, t in enumerate(tag):
+            if wanted is None or t in wanted:
+                c = clean_of[k]
+                last = place.get(ends[k], k)
+                rows.append((page, ids[k], ends[k], t, end[k] - begin[k], len(c), c.count(","), links[last + 1] - links[k + 1], whole[begin[k] : end[k]] if content else None))
+        return rows
+
+    return by_page(nodes, ["node_id", "end_id", "tag", "text", "tail"], one, MEASURES)
+
+
 def text_content(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(page_id, node_id, content): all text in each root, in document order."""
-    inside = descendants(nodes.select("page_id", "node_id", "end_id", "depth", "text", "tail"), roots, proper=False)
-    own = F.struct(F.col("node_id").alias("at"), F.lit(0).alias("k"), F.lit(0).alias("d"), F.coalesce("text", F.lit("")).alias("t"))
-    tail = F.struct(F.col("end_id").alias("at"), F.lit(1).alias("k"), (-F.col("depth")).alias("d"), F.when(F.col("node_id") > F.col("root_id"), F.coalesce("tail", F.lit(""))).otherwise(F.lit("")).alias("t"))
-    g = inside.groupBy("page_id", F.col("root_id").alias("node_id")).agg(F.flatten(F.collect_list(F.array(own, tail))).alias("parts"))
-    return g.select("page_id", "node_id", F.array_join(F.transform(F.array_sort("parts"), lambda p: p["t"]), "").alias("content"))
-
-
-def link_density(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(page_id, node_id, length, link_length, density) of roots (A4); nested links count twice."""
-    own = text_content(nodes, roots).select("page_id", "node_id", clean_length(F.col("content")).alias("length"))
-    links = nodes.where("tag = 'a'")
-    length = text_content(nodes, links).select("page_id", F.col("node_id").alias("a_id"), clean_length(F.col("content")).alias("n"))
-    inside = links.select("page_id", F.col("node_id").alias("a_id")).join(length, ["page_id", "a_id"]).alias("a").join(
-        roots.select("page_id", "node_id", "end_id").alias("e"), (F.col("a.page_id") == F.col("e.page_id")) & (F.col("a.a_id") > F.col("e.node_id")) & (F.col("a.a_id") <= F.col("e.end_id"))
-    )
-    total = inside.groupBy(F.col("e.page_id").alias("page_id"), F.col("e.node_id").alias("node_id")).agg(F.sum("n").alias("link_length"))
-    out = own.join(total, ["page_id", "node_id"], "left").withColumn("link_length", F.coalesce("link_length", F.lit(0)))
-    return out.withColumn("density", F.col("link_length") / F.greatest(F.col("length"), F.lit(1)))
+    return measures(nodes, content=True).select("page_id", "node_id", "content").join(roots.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+
+
+def link_density(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(page_id, node_id, length, link_length, density) of roots, or of all elements (A4); nested links count twice."""
+    m = measures(nodes)
+    if roots is not None:
+        m = m.join(roots.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+    return m.select("page_id", "node_id", "length", F.col("links").alias("link_length"), (F.col("links") / F.greatest(F.col("length"), F.lit(1))).alias("density"))
 
 
 def drop_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:

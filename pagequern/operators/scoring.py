@@ -11,29 +11,35 @@ from . import dom
 MIN_PARAGRAPH = 25
 
 
-def paragraphs(nodes: DataFrame, least: int = MIN_PARAGRAPH) -> DataFrame:
+SCORED = ["p", "pre", "td"]
+
+
+def measured(nodes: DataFrame) -> DataFrame:
+    """Nodes with what scoring asks of them: one pass over each page, no text beyond it."""
+    return dom.measures(nodes).select("page_id", "node_id", "tag", "raw", "length", "commas", "links")
+
+
+def paragraphs(nodes: DataFrame, least: int = MIN_PARAGRAPH, measures: DataFrame | None = None) -> DataFrame:
     """Scored p, pre and td elements with parent and grandparent (U1, J1, F6, part of A1)."""
-    p = nodes.where(F.col("tag").isin("p", "pre", "td") & F.col("parent_id").isNotNull())
-    body = dom.text_content(nodes, p).select("page_id", "node_id", T.clean(F.col("content")).alias("cleaned")).where(F.length("cleaned") >= least)
+    m = dom.measures(nodes, SCORED) if measures is None else measures.where(F.col("tag").isin(SCORED))
+    long = m.where(F.col("length") >= least).select("page_id", "node_id", "length", (F.lit(2.0) + F.col("commas") + F.least(F.col("length") / 100.0, F.lit(3.0))).alias("score"))
     up = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("grand_id"))
     rank = F.when(F.col("tag") == "p", 0).when(F.col("tag") == "pre", 1).otherwise(2)
-    p = p.select("page_id", "node_id", "parent_id", rank.alias("tag_rank")).join(body, ["page_id", "node_id"]).join(up, ["page_id", "parent_id"])
-    return p.withColumn("score", T.paragraph_score(F.col("cleaned")))
+    p = nodes.where(F.col("tag").isin(SCORED) & F.col("parent_id").isNotNull()).select("page_id", "node_id", "parent_id", rank.alias("tag_rank"))
+    return p.join(long, ["page_id", "node_id"]).join(up, ["page_id", "parent_id"])
 
 
 def candidates(nodes: DataFrame, positive: str | None = None, negative: str | None = None, least: int = MIN_PARAGRAPH) -> DataFrame:
-    """(page_id, node_id, tag_rank, first_id, is_grand, content_score): scaled scores with insertion order (A1-A3)."""
-    p = paragraphs(nodes, least)
+    """(page_id, node_id, seq, content_score): scaled scores with insertion order (A1-A3)."""
+    m = measured(nodes)
+    p = paragraphs(nodes, least, m)
     gains = p.select("page_id", F.col("parent_id").alias("node_id"), "score", F.struct("tag_rank", F.col("node_id").alias("p"), F.lit(0).alias("grand")).alias("seq")).union(
         p.where("grand_id IS NOT NULL").select("page_id", F.col("grand_id").alias("node_id"), F.col("score") / 2, F.struct("tag_rank", F.col("node_id").alias("p"), F.lit(1).alias("grand")))
     )
     summed = gains.groupBy("page_id", "node_id").agg(F.sum("score").alias("gain"), F.min("seq").alias("seq"))
-    roots = nodes.join(summed, ["page_id", "node_id"])
-    density = dom.link_density(nodes, roots).select("page_id", "node_id", "density")
-    raw = dom.text_content(nodes, roots).select("page_id", "node_id", F.length("content").alias("raw"))
+    out = nodes.select("page_id", "node_id", "tag", "attrs").join(summed, ["page_id", "node_id"]).join(m.drop("tag"), ["page_id", "node_id"])
     base = T.class_weight(F.col("tag"), F.col("attrs")["class"], F.col("attrs")["id"], positive, negative) + T.tag_score(F.col("tag"))
-    out = roots.join(density, ["page_id", "node_id"]).join(raw, ["page_id", "node_id"])
-    score = (base + F.col("gain")) * (1 - F.col("density")) * (1 + F.col("raw") / 500.0)
+    score = (base + F.col("gain")) * (1 - F.col("links") / F.greatest(F.col("length"), F.lit(1))) * (1 + F.col("raw") / 500.0)
     return out.select("page_id", "node_id", "seq", score.alias("content_score"))
 
 

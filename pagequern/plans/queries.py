@@ -53,8 +53,8 @@ def _articles(spark, d, *columns):
     return table(spark, d, "articles").select("page_id", *columns).distinct()
 
 
-def _nodes(spark, d):
-    return dom.nodes_of(table(spark, d, "nodes"))
+def _nodes(spark, d, where=None):
+    return dom.nodes_of(table(spark, d, "nodes"), where)
 
 
 # ------------------------------------------------------------ sources, charsets
@@ -175,13 +175,7 @@ def title_similarity(spark, d):
     SELECT t.page_id, {Q.cleaned_title('coalesce(k.best, t.title)')} AS title, coalesce(k.sim, 100.0)::DOUBLE AS similarity FROM t LEFT JOIN k ON t.page_id = k.page_id"""
 )
 def title_best(spark, d):
-    n = _nodes(spark, d).select("page_id", "node_id", "tag", "text")
-    t = n.where("tag = 'title' AND length(text) > 0").select("page_id", T.strip(F.col("text")).alias("title"))
-    b = n.where("tag = 'body'").groupBy("page_id").agg(F.min("node_id").alias("body"))
-    c = n.where("text IS NOT NULL").join(t, "page_id").join(b, "page_id").where("node_id >= body").withColumn("cand", T.strip(F.col("text"))).where("length(cand) > 0 AND length(cand) <= length(title)")
-    sim = F.round(T.similarity(T.shingles(T.norm_title(F.col("title"))), T.shingles(T.norm_title(F.col("cand")))), 6)
-    k = c.withColumn("sim", sim).where("sim >= 50").groupBy("page_id").agg(F.max_by("cand", F.struct("sim", "node_id")).alias("best"), F.max("sim").alias("sim"))
-    return t.join(k, "page_id", "left").select("page_id", T.cleaned_title(F.coalesce("best", "title")).alias("title"), F.coalesce("sim", F.lit(100.0)).alias("similarity"))
+    return article.titles_of_nodes(_nodes(spark, d)).select("page_id", T.cleaned_title(F.col("best")).alias("title"), "similarity")
 
 
 # ------------------------------------------------------------ weights and rules
@@ -227,7 +221,7 @@ def stripped_dropped(spark, d):
     CASE WHEN tag = 'body' THEN 0 WHEN tag = 'article' THEN 1 WHEN attrs['itemprop'] = 'articleBody' THEN 2 END AS r FROM nodes) WHERE r IS NOT NULL GROUP BY page_id"""
 )
 def page_scope(spark, d):
-    return dom.scope(_nodes(spark, d))
+    return dom.scope(_nodes(spark, d, (F.col("tag").isin("body", "article")) | (F.col("attrs")["itemprop"] == "articleBody")))
 
 
 LOOSE = f"regexp_matches(coalesce(t, ''), {Q.lit('[^' + Q.WS[1:-1] + ']')})"
@@ -255,7 +249,7 @@ def attribute_survivors(spark, d):
 
 @query("SELECT page_id, tag, count(*) AS n, min(node_id) AS first_id, max(node_id) AS last_id FROM (SELECT DISTINCT page_id, node_id, tag FROM nodes) WHERE tag IN ('p', 'pre', 'td') GROUP BY 1, 2")
 def tag_streams(spark, d):
-    n = _nodes(spark, d).where(F.col("tag").isin("p", "pre", "td"))
+    n = _nodes(spark, d, F.col("tag").isin("p", "pre", "td"))
     return n.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
 
 
@@ -264,18 +258,17 @@ PARAGRAPHS = Q.content("p", "tag IN ('p', 'pre', 'td') AND parent_id IS NOT NULL
 
 @query(f"WITH {Q.NODES}, {PARAGRAPHS} SELECT page_id, node_id, length(c) AS cleaned_length, round({Q.paragraph_score('c')}, 6) AS score FROM (SELECT page_id, node_id, {Q.clean('content')} AS c FROM p) WHERE length(c) >= 25")
 def paragraph_score(spark, d):
-    return scoring.paragraphs(_nodes(spark, d)).select("page_id", "node_id", F.length("cleaned").cast("long").alias("cleaned_length"), F.round("score", 6).alias("score"))
+    return scoring.paragraphs(_nodes(spark, d)).select("page_id", "node_id", F.col("length").cast("long").alias("cleaned_length"), F.round("score", 6).alias("score"))
 
 
 @query(
-    f"""WITH {Q.NODES}, {Q.content('c', "tag IN ('p', 'div', 'ul', 'nav', 'aside', 'footer')")}, {Q.content('a', "tag = 'a'")},
+    f"""WITH {Q.NODES}, {Q.content('c', "true")}, {Q.content('a', "tag = 'a'")},
     l AS (SELECT e.page_id, e.node_id, sum(length({Q.clean('a.content')})) AS n FROM n e JOIN a ON a.page_id = e.page_id AND a.node_id > e.node_id AND a.node_id <= e.end_id GROUP BY 1, 2)
     SELECT c.page_id, c.node_id, length({Q.clean('c.content')}) AS length, coalesce(l.n, 0)::BIGINT AS link_length, round(coalesce(l.n, 0) / greatest(length({Q.clean('c.content')}), 1), 6) AS density
     FROM c LEFT JOIN l ON c.page_id = l.page_id AND c.node_id = l.node_id"""
 )
 def link_density(spark, d):
-    n = _nodes(spark, d)
-    x = dom.link_density(n, n.where(F.col("tag").isin("p", "div", "ul", "nav", "aside", "footer")))
+    x = dom.link_density(_nodes(spark, d))
     return x.select("page_id", "node_id", F.col("length").cast("long").alias("length"), F.col("link_length").cast("long").alias("link_length"), F.round("density", 6).alias("density"))
 
 
@@ -290,14 +283,13 @@ def best_candidate(spark, d):
 
 
 @query(
-    f"""WITH {Q.NODES}, {Q.content('c', "tag IN ('p', 'div', 'ul', 'table', 'h2', 'blockquote')")}, x AS (SELECT n.page_id, n.node_id, n.parent_id, n.child_idx, length({Q.clean('c.content')}) AS len FROM n JOIN c USING (page_id, node_id))
+    f"""WITH {Q.NODES}, {Q.content('c', "true")}, x AS (SELECT n.page_id, n.node_id, n.parent_id, n.child_idx, length({Q.clean('c.content')}) AS len FROM n JOIN c USING (page_id, node_id))
     SELECT page_id, node_id, coalesce(last_value(nullif(len, 0) IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(first_value(nullif(len, 0) IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS around
     FROM x WINDOW w AS (PARTITION BY page_id, parent_id ORDER BY child_idx)"""
 )
 def sibling_lengths(spark, d):
     n = _nodes(spark, d)
-    roots = n.where(F.col("tag").isin("p", "div", "ul", "table", "h2", "blockquote"))
-    x = dom.text_content(n, roots).select("page_id", "node_id", T.clean_length(F.col("content")).alias("length")).join(n.select("page_id", "node_id", "parent_id", "child_idx"), ["page_id", "node_id"])
+    x = dom.measures(n).select("page_id", "node_id", "length").join(n.select("page_id", "node_id", "parent_id", "child_idx"), ["page_id", "node_id"])
     return dom.sibling_lengths(x).select("page_id", "node_id", F.col("around").cast("long").alias("around"))
 
 
@@ -346,7 +338,7 @@ def sibling_filter(spark, d):
     FROM nodes n JOIN pages p ON n.page_id = p.page_id WHERE tag = 'img' AND attrs['src'] LIKE '/%'"""
 )
 def image_src(spark, d):
-    n = _nodes(spark, d).where("tag = 'img'").where(F.col("attrs")["src"].startswith("/")).join(table(spark, d, "pages").select("page_id", "url").distinct(), "page_id")
+    n = _nodes(spark, d, "tag = 'img'").where(F.col("attrs")["src"].startswith("/")).join(table(spark, d, "pages").select("page_id", "url").distinct(), "page_id")
     w, h = T.image_size(F.col("attrs")["width"], F.col("attrs")["height"])
     url = T.image_url(F.col("attrs")["src"], F.col("attrs")["srcset"], F.array().cast("array<string>"), F.col("url"))
     return n.select("page_id", "node_id", url.alias("image_url"), w.alias("width"), h.alias("height"))
@@ -357,7 +349,7 @@ def image_src(spark, d):
     WHERE w >= 580 AND h >= 250 AND greatest(w, h)::DOUBLE / least(w, h) <= 3 AND NOT regexp_matches(src, '.gif|.ico|twitter.jpg|share|social|logo|/ads.|/ads/|button|notification|empty') AND regexp_matches(src, '.jpg|.jpeg|.png') GROUP BY page_id"""
 )
 def image_best(spark, d):
-    n = _nodes(spark, d).where("tag = 'img'")
+    n = _nodes(spark, d, "tag = 'img'")
     w, h = T.image_size(F.col("attrs")["width"], F.col("attrs")["height"])
     x = n.select("page_id", "node_id", F.col("attrs")["src"].alias("src"), w.alias("w"), h.alias("h"))
     good = x.where(T.good_image(F.col("src"), F.col("w"), F.col("h")))
