@@ -32,5 +32,3 @@ TITLE_QUOTES = ["«", "»", "&quot;"]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Accepted answers of a server.
 GOOD_STATUS = [200, 301, 302]
-# Languages with a stemmer; others are treated as English.
-STEMMED = {"da": "danish", "de": "german", "en": "english", "es": "spanish", "fi": "finnish", "fr": "french", "hu": "hungarian", "it": "italian", "nl": "dutch", "no": "norwegian", "pt": "portuguese", "ru": "russian", "sv": "swedish", "tr": "turkish"}

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import voting
 from .text import WS, let, strip
 
 GUARD = r"(^|[^\p{L}])(Dr|Mr|Mrs|Ms|Prof|St|Sr|Sra|Jr|No|Nr|Fig|vs|etc|ca|approx|e\.g|i\.e|[A-Z])\."
@@ -102,34 +103,75 @@ def _endings() -> dict[str, list[str]]:
     return _cache
 
 
+DENSE = 400  # sentences up to which one matrix holds all similarities
+WIDE = 2_000_000  # numbers of a sparse product that are held at a time
+
+
+def _products(sets: list[set[str]]):
+    """x -> x W for the similarities W of sentences (C21) without their diagonal; the matrix is made for short texts only.
+
+    |A & B| / (|A| + |B|) depends on sizes besides shared words, and few sizes occur:
+    the vector is summed by word and size, then gathered by sentence, so memory grows
+    with the words of the text and never with pairs of sentences.
+    """
+    n = len(sets)
+    vocab = {w: k for k, w in enumerate(sorted(set().union(*sets)))}
+    size = np.array([len(s) for s in sets])
+    word = np.array([vocab[w] for s in sets for w in sorted(s)], np.int64)
+    row = np.repeat(np.arange(n), size)
+    if n <= DENSE:
+        m = np.zeros((n, len(vocab)), np.float32)
+        m[row, word] = 1
+        total = size[:, None] + size[None, :]
+        w = np.divide((m @ m.T).astype(float), total, out=np.zeros((n, n)), where=total > 0)
+        np.fill_diagonal(w, 0)
+        return lambda x: x @ w
+    sizes, at = np.unique(size[size > 0], return_inverse=True)
+    kind = np.zeros(n, np.int64)
+    kind[size > 0] = at
+    begin = np.concatenate([[0], np.cumsum(size)])
+    step = max(1, WIDE // len(sizes))
+    borders = [0]
+    while borders[-1] < n:
+        borders.append(max(borders[-1] + 1, int(np.searchsorted(begin, begin[borders[-1]] + step, "right")) - 1))
+
+    def product(x: np.ndarray) -> np.ndarray:
+        by = np.zeros((len(vocab), len(sizes)))
+        np.add.at(by, (word, kind[row]), x[row])
+        out = np.zeros(n)
+        for lo, hi in zip(borders, borders[1:]):
+            a, b = begin[lo], begin[hi]
+            if a == b:
+                continue
+            some = np.flatnonzero(size[lo:hi]) + lo
+            shared = np.add.reduceat(by[word[a:b]], begin[some] - a, axis=0)
+            out[some] = (shared / (sizes[None, :] + size[some, None])).sum(1)
+        return out - np.where(size > 0, x / 2, 0.0)
+
+    return product
+
+
 def ranked_order(sets: list[set[str]], damping: float = DAMPING, tolerance: float = 1e-6, most: int = 100) -> list[tuple[int, float]]:
     """(sentence, rank) by rank descending, ties by position; sentences without an edge are left out (G1, K4)."""
     n = len(sets)
-    vocab = {w: k for k, w in enumerate(sorted(set().union(*sets)))} if sets else {}
-    if not vocab:
+    if not n or not any(sets):
         return []
-    m = np.zeros((n, len(vocab)), np.float32)
-    for i, s in enumerate(sets):
-        m[i, [vocab[w] for w in s]] = 1
-    size = m.sum(1)
-    total = size[:, None] + size[None, :]
-    w = np.divide(m @ m.T, total, out=np.zeros((n, n), np.float32), where=total > 0).astype(float)
-    np.fill_diagonal(w, 0)
-    keep = np.flatnonzero(w.sum(1) > 0)
-    if not len(keep):
+    product = _products(sets)
+    total = product(np.ones(n))
+    keep = total > 1e-12
+    k = int(keep.sum())
+    if not k:
         return []
-    p = w[np.ix_(keep, keep)]
-    p /= p.sum(1, keepdims=True)
-    k = len(keep)
-    v = np.full(k, 1 / k)
+    share = np.divide(1.0, total, out=np.zeros(n), where=keep)
+    v = keep / k
     for _ in range(most):
-        new = (1 - damping) / k + damping * (v @ p)
+        new = np.where(keep, (1 - damping) / k + damping * product(v * share), 0.0)
         done = np.abs(new - v).sum() < k * tolerance
         v = new
         if done:
             break
-    order = sorted(range(k), key=lambda i: (-round(v[i], 12), i))
-    return [(int(keep[i]), float(v[i])) for i in order]
+    order = sorted(np.flatnonzero(keep).tolist(), key=lambda i: (-round(v[i], 12), i))
+    return [(i, float(v[i])) for i in order]
 
 
 def summarise(sents: list[str], language: str, n: int) -> str:
@@ -150,6 +192,19 @@ def summary_column(sents: Column, language: Column, n: int) -> Column:
     return F.pandas_udf(_summaries, "string")(sents, language, F.lit(n))
 
 
+def _told(sents: pd.Series, n: pd.Series) -> pd.DataFrame:
+    out = []
+    for s, k in zip(sents, n):
+        lang = voting.vote(" ".join(s)) if s is not None else None
+        out.append((lang, summarise(list(s), lang or "en", int(k)) if s is not None else None))
+    return pd.DataFrame(out, columns=["language", "summary"])
+
+
+def told_column(sents: Column, n: int) -> Column:
+    """Struct of the language and the summary of each row's sentences, by one Arrow UDF."""
+    return F.pandas_udf(_told, "struct<language:string,summary:string>")(sents, F.lit(n))
+
+
 def _stems(words: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([[stem(w, lang or "en") for w in ws] if ws is not None else None for ws, lang in zip(words, language)])
 

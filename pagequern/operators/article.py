@@ -1,15 +1,16 @@
 """From pages to articles: the whole pipeline as one map over pages.
 
 Pages are independent, so the plan has no shuffle: one Arrow stage parses a page
-and works on its tree; charset, title, lead image, summary, language and the
-output document are column expressions on its rows (the summary's ranking is an
-Arrow UDF).  The same transformation runs on a stream.
+and works on its tree, up to the title's choice; lead image, sentences and the output
+document are column expressions on its rows; one Arrow UDF tells language and summary.  The same transformation runs on a stream.
 
 Every page gives a row; what goes wrong with one is told in error_msg.
 """
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,16 @@ from pyspark.sql import functions as F
 from ..functions import plain as P
 from ..functions import summary as S
 from ..functions import text as T
-from ..functions.voting import language
+from ..plans.lineage import cut
 from ..plans.options import ExtractOptions
 from . import dom
 from .pagetree import PageTree
 
 STAGE = (
-    "page_id long, url string, canonical_url string, raw_title string, body string, paragraphs array<string>, start array<int>, "
-    "headings array<struct<pos:int,text:string,path:array<int>>>, "
-    "images array<struct<pos:int,src:string,srcset:string,data:array<string>,width:string,height:string,path:array<int>>>, error_msg string"
+    "page_id long, url string, base string, canonical_url string, raw_title string, title_text string, body string, paragraphs array<string>, box int, box_end int, "
+    "images array<struct<pos:int,src:string,srcset:string,data:array<string>,width:string,height:string>>, error_msg string"
 )
+COLUMNS = "page_id url base canonical_url raw_title title_text body paragraphs box box_end images error_msg".split()
 TEMPLATE = (
     '<!DOCTYPE html>\n<html lang="%s">\n<head>\n<meta charset="utf-8">\n<title>%s</title>\n%s</head>\n<body>\n<article itemscope itemtype="http://schema.org/Article">\n'
     '<meta itemprop="inLanguage" content="%s">\n%s<h1 itemprop="headline">%s</h1>\n<div itemprop="articleBody">\n%s%s\n</div>\n</article>\n</body>\n</html>'
@@ -34,7 +35,7 @@ TEMPLATE = (
 
 
 def _page(page_id, url, html, o: ExtractOptions, keywords) -> tuple:
-    fail = (page_id, url, None, None, None, None, None, None, None)
+    fail = (page_id, url, *[None] * 9)
     if not url:
         return (*fail, "Empty or null URL to perform")
     if html is None or not html.strip():
@@ -51,30 +52,46 @@ def _page(page_id, url, html, o: ExtractOptions, keywords) -> tuple:
     title = (t.title or "").strip() or None
     # title and image see the pruned page, not yet the sanitised article
     stop = None if first is None else (t.owner[first[0]] + 0.5 if isinstance(first, tuple) else first)
-    start = None if first is None else list(reversed(([t.owner[first[0]], *t.ancestors(t.owner[first[0]])]) if isinstance(first, tuple) else t.ancestors(first)))
+    start = set() if first is None else set([t.owner[first[0]], *t.ancestors(t.owner[first[0]])] if isinstance(first, tuple) else t.ancestors(first))
     last = t.end[t.scope]
     heads, images = [], []
-    for i in range(len(t.tag)):
-        if not t.live[i]:
-            continue
-        if t.scope <= i <= last and t.tag[t.scope] == "body" and (stop is None or i < stop):
+    for i in range(t.scope, last + 1) if title and t.tag[t.scope] == "body" else ():
+        if stop is not None and i >= stop:
+            break
+        if t.live[i]:
             d = (t.direct(i) or "").strip()
-            if d and title and len(d) <= len(title):
-                heads.append({"pos": i, "text": d, "path": list(reversed(t.ancestors(i)))})
-        if t.tag[i] == "img":
+            if d and len(d) <= len(title):
+                heads.append((i, d))
+    for i in t.of_tag.get("img", ()):
+        if t.live[i]:
             a = t.attrs[i]
-            images.append({"pos": i, "src": a.get("src"), "srcset": a.get("srcset"), "data": [v for k, v in a.items() if k.startswith("data")], "width": a.get("width"), "height": a.get("height"), "path": list(reversed(t.ancestors(i)))})
-    kept = t.live[:], t.live_token[:]
+            images.append({"pos": i, "src": a.get("src"), "srcset": a.get("srcset"), "data": [v for k, v in a.items() if k.startswith("data")], "width": a.get("width"), "height": a.get("height")})
+    best = P.best_title(title, heads, o.title_similarity) if heads else None
+    # the lowest element around the article's start and its title; the whole page without both
+    box = 0
+    if best and start:
+        box = t.parent[best[1]]
+        while box > 0 and box not in start:
+            box = t.parent[box]
+    box = max(box, 0)
     t.sanitise(items)
     body = t.markup(items, wrap, o.compat)
     paras = []
     for x in items:
-        for y in [x] if isinstance(x, tuple) else [j for j in range(x, t.end[x] + 1) if t.live[j] and t.tag[j] == "p"]:
+        for y in [x] if isinstance(x, tuple) else ([x] if t.live[x] and t.tag[x] == "p" else []) + t.inside(x, "p"):
             s = t.direct(y)
             if s:
                 paras.append(s)
-    t.live, t.live_token = kept
-    return page_id, url, t.canonical or url, title, body, paras, start, heads, images, None
+    base = urljoin(url, t.base) if t.base else url
+    return page_id, url, base, t.canonical or url, title, best[2] if best else title, body, paras, box, t.end[box] if t.end else 0, images, None
+
+
+def _safe_page(page_id, url, html, o: ExtractOptions, keywords) -> tuple:
+    """Whatever goes wrong with a page is told in its row."""
+    try:
+        return _page(page_id, url, html, o, keywords)
+    except Exception as e:  # noqa: BLE001
+        return (page_id, url, *[None] * 9, f"{type(e).__name__}: {e}")
 
 
 def _stage(pages: DataFrame, o: ExtractOptions) -> DataFrame:
@@ -82,8 +99,8 @@ def _stage(pages: DataFrame, o: ExtractOptions) -> DataFrame:
 
     def run(pdfs):
         for pdf in pdfs:
-            rows = [_page(p, u, h, o, keywords) for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"])]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("page_id", "url", "canonical_url", "raw_title", "body", "paragraphs", "start", "headings", "images", "error_msg")])
+            rows = [_safe_page(p, u, h, o, keywords) for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"])]
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, STAGE)
 
@@ -92,29 +109,38 @@ def _plain(words):
     return list(words) if isinstance(words, tuple) else words
 
 
-def best_title(raw: Column, heads: Column, least: float) -> Column:
-    """(text, path) of the heading most like the page title, else the title itself."""
+def measured_images(images: Column, base: Column, o: ExtractOptions) -> Column:
+    """url, w, h and pos of each image; both sizes are 0 where an attribute is missing."""
 
-    def scored(mine: Column) -> Column:
-        return F.transform(heads, lambda h: F.struct(T.similarity(mine, T.shingles(T.norm_title(h["text"]))).alias("sim"), h["pos"].alias("pos"), h["text"].alias("text"), h["path"].alias("path")))
+    def one(i: Column) -> Column:
+        w, h = T.image_size(i["width"], i["height"])
+        return F.struct(T.image_url(i["src"], i["srcset"], i["data"], base, o.min_srcset).alias("url"), w.alias("w"), h.alias("h"), i["pos"].alias("pos"))
 
-    top = F.array_max(F.filter(T.let(T.shingles(T.norm_title(raw)), scored), lambda h: h["sim"] >= least))
-    return T.let(top, lambda t: F.struct(F.coalesce(t["text"], raw).alias("text"), t["path"].alias("path")))
+    return F.transform(images, one)
 
 
-def best_image(images: Column, start: Column, title_path: Column, base: Column, o: ExtractOptions) -> Column:
-    """URL of the largest good image in the lowest common ancestor of article start and title."""
-    common = F.array_intersect(start, title_path)
-    container = F.when(start.isNull() | title_path.isNull(), F.lit(0)).otherwise(F.coalesce(F.try_element_at(common, F.lit(-1)), F.lit(0)))
+def best_image(images: Column, o: ExtractOptions) -> Column:
+    """URL of the largest good one of measured images, the first of equals."""
+    good = F.filter(images, lambda i: i["url"].isNotNull() & T.good_image(i["url"], i["w"], i["h"], o.min_image, o.max_ratio))
+    return F.array_max(F.transform(good, lambda i: F.struct((i["w"].cast("long") * i["h"]).alias("area"), (-i["pos"]).alias("first"), i["url"].alias("url"))))["url"]
 
-    def measured(i: Column) -> Column:
-        w, h = T.image_size(i["width"], i["height"])
-        url = T.image_url(i["src"], i["srcset"], i["data"], base, o.min_srcset)
-        return F.struct(url.alias("url"), w.alias("w"), h.alias("h"), i["pos"].alias("pos"), i["path"].alias("path"))
 
-    inside = T.let(container, lambda c: F.filter(images, lambda i: F.array_contains(i["path"], c)))
-    good = F.filter(F.transform(inside, measured), lambda i: i["url"].isNotNull() & T.good_image(i["url"], i["w"], i["h"]))
-    return F.array_max(F.transform(good, lambda i: F.struct((i["w"].cast("long") * i["h"]).alias("area"), (-i["pos"]).alias("first"), i["url"].alias("url"))))["url"]
+def with_sizes(staged: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Fills in the sizes of images without both attributes from a table url, width, height.
+
+    Only ids, URLs and numbers are exchanged besides the pages that hold such images.
+    """
+    each = staged.select("page_id", F.explode("images").alias("i")).where("i.url IS NOT NULL AND (i.w = 0 OR i.h = 0)").select("page_id", F.col("i.url").alias("url")).distinct()
+    known = each.join(sizes.groupBy("url").agg(F.max(F.struct("width", "height")).alias("size")), "url").where("size.width IS NOT NULL AND size.height IS NOT NULL")
+    of_page = known.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("url", "size"))).alias("sizes"))
+    x = staged.join(of_page, "page_id", "left")
+
+    def fill(i: Column) -> Column:
+        got = F.try_element_at(F.col("sizes"), i["url"])
+        use = got.isNotNull() & ((i["w"] == 0) | (i["h"] == 0))
+        return F.struct(i["url"].alias("url"), F.when(use, got["width"]).otherwise(i["w"]).alias("w"), F.when(use, got["height"]).otherwise(i["h"]).alias("h"), i["pos"].alias("pos"))
+
+    return x.withColumn("images", F.transform("images", fill)).drop("sizes")
 
 
 def titles_of_nodes(nodes: DataFrame, least: float = 50.0) -> DataFrame:
@@ -149,22 +175,31 @@ def document(lang: Column, title: Column, description: Column, image: Column, bo
     return F.format_string(TEMPLATE, lang, title, about, lang, meta, title, img, body)
 
 
-def extract_articles(pages: DataFrame, options: ExtractOptions | None = None) -> DataFrame:
+def extract_articles(pages: DataFrame, options: ExtractOptions | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """page_id, url, canonical_url, title, image_url, language, clean_html, description, error_msg of pages (O1).
 
     pages: page_id, url, html; other columns are ignored.  A page without a title
     keeps title null and says so in error_msg; a page without text has null
-    language and description.
+    language and description.  ``sizes`` (url, width, height) holds sizes of images
+    whose elements do not tell them; with ``fetch_images`` they are fetched.
     """
     o = options or ExtractOptions()
     s = _stage(pages, o)
-    s = s.withColumn("t", best_title(F.col("raw_title"), F.col("headings"), o.title_similarity))
-    title = F.when(F.col("raw_title").isNotNull(), T.clean_entities(T.cleaned_title(F.col("t.text"))))
-    s = s.withColumn("title", title).withColumn("image_url", best_image(F.col("images"), F.col("start"), F.col("t.path"), F.col("url"), o))
+    inside = F.filter("images", lambda i: (i["pos"] > F.col("box")) & (i["pos"] <= F.col("box_end")))
+    s = s.withColumn("images", measured_images(inside, F.col("base"), o))
+    if o.fetch_images and sizes is None:
+        from ..sources.web import image_heads
+
+        s = cut(s)  # the URLs are looked up, then joined
+        unknown = s.select(F.explode("images").alias("i")).where("i.url IS NOT NULL AND (i.w = 0 OR i.h = 0)").select("i.url")
+        sizes = image_heads(unknown, dict(o.headers))
+    if sizes is not None:
+        s = with_sizes(s, sizes)
+    title = F.when(F.col("raw_title").isNotNull(), T.clean_entities(T.cleaned_title(F.col("title_text"))))
+    s = s.withColumn("title", title).withColumn("image_url", best_image(F.col("images"), o))
     whole = F.filter(F.flatten(F.transform("paragraphs", S.sentences)), S.complete)
-    s = s.withColumn("sents", S.sentences(F.array_join(whole, " ")))
-    s = s.withColumn("language", language(F.array_join("sents", " ")))
-    s = s.withColumn("description", T.clean_description(S.summary_column(F.col("sents"), F.col("language"), o.summary_sentences)))
+    s = s.withColumn("told", S.told_column(S.sentences(F.array_join(whole, " ")), o.summary_sentences))
+    s = s.withColumn("language", F.col("told.language")).withColumn("description", T.clean_description(F.col("told.summary")))
     s = s.withColumn("description", F.when(F.length("description") > 0, F.col("description")))
     doc = F.when(F.col("body").isNotNull(), document(F.col("language"), F.col("title"), F.col("description"), F.col("image_url"), F.col("body"), o.compat))
     told = F.coalesce("error_msg", F.when(F.col("raw_title").isNull(), F.lit("no title")))

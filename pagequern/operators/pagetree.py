@@ -12,6 +12,7 @@ A loose piece of text directly inside a ``div`` counts as a paragraph of its own
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import escape
 
 from ..functions import lexicons as X
@@ -56,9 +57,21 @@ class PageTree:
             self._shut(closing.pop(), t)
         self.live = [True] * n
         self.live_token = [True] * len(self.text)
+        self.kids: list[list[int]] = [[] for _ in range(n)]  # child elements in order
+        self.own: list[list[int]] = [[] for _ in range(n)]  # tokens that stand directly in an element
+        self.of_tag: dict[str, list[int]] = {}
+        for i in range(n):
+            if self.parent[i] >= 0:
+                self.kids[self.parent[i]].append(i)
+            self.of_tag.setdefault(self.tag[i], []).append(i)
+        for k, i in enumerate(self.owner):
+            self.own[i].append(k)
         self.virtual: set[int] = set()
+        self.loose: list[int] = []
         self.canonical = next((a.get("href") for g, a in zip(self.tag, self.attrs) if g == "link" and " ".join(a.get("rel", "").split()) == "canonical" and a.get("href")), None)
-        title = next((i for i in range(n) if self.tag[i] == "title"), None)
+        title = next(iter(self.of_tag.get("title", ())), None)
+        base = next((i for i in self.of_tag.get("base", ()) if self.attrs[i].get("href")), None)
+        self.base = self.attrs[base]["href"].strip() if base is not None else None
         self.title = "".join(self.text[self.lo[title] : self.hi[title]]) if title is not None else None
         self.error: str | None = None if "head" in self.tag else "no head element"
 
@@ -88,7 +101,8 @@ class PageTree:
         return len(clean(self.content(item)))
 
     def inside(self, i: int, tag: str) -> list[int]:
-        return [j for j in range(i + 1, self.end[i] + 1) if self.live[j] and self.tag[j] == tag]
+        those = self.of_tag.get(tag, [])
+        return [j for j in those[bisect_right(those, i) : bisect_right(those, self.end[i])] if self.live[j]]
 
     def density(self, item) -> float:
         if isinstance(item, tuple):
@@ -97,18 +111,21 @@ class PageTree:
 
     def children(self, i: int) -> list:
         """Live children in order: elements, and virtual paragraphs as (token,)."""
-        out = [(self.lo[j], 1, j) for j in range(i + 1, self.end[i] + 1) if self.live[j] and self.parent[j] == i]
-        out += [(k, 0, (k,)) for k in range(self.lo[i], self.hi[i]) if k in self.virtual and self.owner[k] == i and self.live_token[k]]
+        out = [(self.lo[j], 1, j) for j in self.kids[i] if self.live[j]]
+        out += [(k, 0, (k,)) for k in self.own[i] if k in self.virtual and self.live_token[k]]
         return [x[2] for x in sorted(out, key=lambda x: (x[0], x[1]))]
 
     def direct(self, item) -> str | None:
         """Text before the first surviving child; None if there is none."""
         if isinstance(item, tuple):
             return self.text[item[0]]
-        kids = [self.lo[j] for j in range(item + 1, self.end[item] + 1) if self.live[j] and self.parent[j] == item]
-        kids += [k for k in range(self.lo[item], self.hi[item]) if k in self.virtual and self.owner[k] == item]
-        stop = min(kids, default=self.hi[item])
-        parts = [self.text[k] for k in range(self.lo[item], stop) if self.live_token[k] and self.owner[k] == item]
+        stop = next((self.lo[j] for j in self.kids[item] if self.live[j]), self.hi[item])
+        parts = []
+        for k in self.own[item]:
+            if k >= stop or k in self.virtual:
+                break
+            if self.live_token[k]:
+                parts.append(self.text[k])
         return "".join(parts) if parts else None
 
     def ancestors(self, i: int) -> list[int]:
@@ -161,6 +178,7 @@ class PageTree:
         for k, o in enumerate(self.owner):
             if self.live_token[k] and self.live[o] and self.tag[o] == "div" and o > self.scope and o <= self.end[self.scope] and self.text[k].strip():
                 self.virtual.add(k)
+        self.loose = sorted(self.virtual)
 
     def scores(self) -> dict[int, float]:
         """Candidates with their scores, in the order they were met."""
@@ -223,7 +241,7 @@ class PageTree:
 
     def _thin(self, i: int, w: int) -> bool:
         n = {k: len(self.inside(i, k)) for k in ("p", "img", "li", "embed")}
-        n["p"] += sum(1 for k in range(self.lo[i], self.hi[i]) if k in self.virtual and self.live_token[k])
+        n["p"] += sum(1 for k in self.loose[bisect_left(self.loose, self.lo[i]) : bisect_left(self.loose, self.hi[i])] if self.live_token[k])
         inputs = sum(1 for j in self.inside(i, "input") if self.attrs[j].get("type") != "hidden")
         size, d = self.length(i), self.density(i)
         return (
@@ -249,17 +267,22 @@ class PageTree:
                 self._write(x, out, compat)
         return "".join(out + ["</div>"] if wrap else out)
 
-    def _write(self, i: int, out: list[str], compat: bool) -> None:
-        kept = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs[i].items() if compat and ("-" in k or ":" in k or not v))
-        out.append(f"<{self.tag[i]}{kept}>")
-        kids = iter([j for j in range(i + 1, self.end[i] + 1) if self.parent[j] == i and self.live[j]])
-        j = next(kids, None)
-        for k in range(self.lo[i], self.hi[i] + 1):
-            while j is not None and self.lo[j] <= k:
-                self._write(j, out, compat)
-                j = next(kids, None)
-            if k < self.hi[i] and self.live_token[k] and self.owner[k] == i:
-                t = escape(self.text[k], quote=False)
-                out.append(f"<p>{t}</p>" if k in self.virtual else t)
-        if self.tag[i] not in VOID:
-            out.append(f"</{self.tag[i]}>")
+    def _write(self, top: int, out: list[str], compat: bool) -> None:
+        """Serialises a subtree; open elements are kept in a list, so depth has no limit."""
+        todo: list = [top]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            if isinstance(x, tuple):
+                t = escape(self.text[x[0]], quote=False)
+                out.append(f"<p>{t}</p>" if x[0] in self.virtual else t)
+                continue
+            kept = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs[x].items() if compat and ("-" in k or ":" in k or not v))
+            out.append(f"<{self.tag[x]}{kept}>")
+            if self.tag[x] not in VOID:
+                todo.append(f"</{self.tag[x]}>")
+            # a token before a child begins where that child does or earlier
+            inner = [(self.lo[j], 0, j) for j in self.kids[x] if self.live[j]] + [(k, 1, (k,)) for k in self.own[x] if self.live_token[k]]
+            todo += [y[2] for y in sorted(inner, key=lambda y: (y[0], y[1]))][::-1]

@@ -25,6 +25,7 @@ class ExtractOptions:
     min_srcset: int = 600
     title_similarity: float = 50.0
     compat: bool = False
+    fetch_images: bool = False  # fetch the heads of images whose elements tell no size, with these headers
 
     def __post_init__(self):
         if not isinstance(self.summary_sentences, int) or self.summary_sentences < 0:

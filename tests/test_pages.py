@@ -129,3 +129,69 @@ def test_page_tree_agrees_with_relational_scores(spark):
     assert got == want
     assert scoring.best(scoring.candidates(n)).first().node_id == max(want, key=want.get)
     assert F is not None
+
+
+def test_deep_and_broken_pages_give_rows(spark, monkeypatch):
+    deep = f"<html><head><title>t</title></head><body><div><p>{LONG * 3}{'<span>' * 5000}deep{'</span>' * 5000}</p></div></body></html>"
+    df = spark.createDataFrame([(1, "http://a.example/x", deep)], "page_id long, url string, html string")
+    r = extract_articles(df).first()
+    assert r.error_msg is None and r.clean_html.count("<span>") == 5000
+    from pagequern.operators import article
+
+    class Broken(str):
+        def strip(self, *a):
+            raise RecursionError("too deep")
+
+    assert article._safe_page(1, "http://a.example/x", Broken("x"), ExtractOptions(), (None, None))[-1] == "RecursionError: too deep"
+
+
+def test_order_of_siblings_without_text_between(spark):
+    html = f"<html><head><title>t</title></head><body><div><figure><img src='/a.jpg'><figcaption>cap</figcaption></figure><p>{LONG * 3}</p><p>{LONG}</p></div></body></html>"
+    out = extract_articles(spark.createDataFrame([(1, "http://a.example/x", html)], "page_id long, url string, html string")).first().clean_html
+    assert "<figure><img><figcaption>cap</figcaption></figure>" in out
+
+
+def test_base_and_options_for_images(spark):
+    img = '<img src="../b/a.jpg" width="300" height="200"><img src="c.jpg" width="400" height="90">'
+    html = f'<html><head><base href="/img/x/"><title>t</title></head><body><div><p>{LONG * 3}</p><p>{LONG}</p>{img}</div></body></html>'
+    df = spark.createDataFrame([(1, "http://a.example/p/q", html)], "page_id long, url string, html string")
+    assert extract_articles(df).first().image_url is None
+    assert extract_articles(df, ExtractOptions(min_image=(300, 80), max_ratio=2.0)).first().image_url == "http://a.example/img/b/a.jpg"
+    assert extract_articles(df, ExtractOptions(min_image=(350, 80), max_ratio=5.0)).first().image_url == "http://a.example/img/x/c.jpg"
+
+
+def test_sizes_of_images_are_fetched(spark):
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (900).to_bytes(4, "big") + (400).to_bytes(4, "big") + b"\0" * 200_000
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers.get("X-Test")))
+            self.send_response(200 if self.path == "/big.png" else 404)
+            self.end_headers()
+            if self.path == "/big.png":
+                try:
+                    self.wfile.write(png)
+                except OSError:  # only the head is read
+                    pass
+
+        def log_message(self, *a):
+            pass
+
+    srv = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=srv.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{srv.server_port}/p"
+    html = f'<html><head><title>t</title></head><body><div><p>{LONG * 3}</p><p>{LONG}</p><img src="/big.png"><img src="/gone.png"><img src="/told.jpg" width="600" height="300"></div></body></html>'
+    df = spark.createDataFrame([(1, base, html), (2, base, html), (3, base, None)], "page_id long, url string, html string")
+    plain = {r.page_id: r.image_url for r in extract_articles(df).collect()}
+    rows = {r.page_id: r.image_url for r in extract_articles(df, ExtractOptions(fetch_images=True, headers={"X-Test": "yes"})).collect()}
+    srv.shutdown()
+    assert plain[1].endswith("/told.jpg") and rows[1] == rows[2] and rows[1].endswith("/big.png") and rows[3] is None
+    assert sorted(seen) == [("/big.png", "yes"), ("/gone.png", "yes")]  # distinct URLs, once each
+    table = spark.createDataFrame([(plain[1].replace("told.jpg", "gone.png"), 2000, 900)], "url string, width int, height int")
+    assert extract_articles(df.where("page_id = 1"), sizes=table).first().image_url.endswith("/gone.png")
+
+
+def test_spans_of_elements():
+    assert dom.spans([0, 1, 2, 3], [3, 2, 2, 3], ["a", "b", None, "e"], [None, "d", "c", None]) == ("abcde", [0, 1, 2, 4], [5, 3, 2, 5])
+    assert dom.spans([], [], [], []) == ("", [], [])

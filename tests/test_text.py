@@ -72,3 +72,72 @@ def test_ranks(spark):
 
 def test_stems():
     assert S.stem("walking", "en") == "walk" and S.stem("walks", "xx") == "walk" and S.stem("is", "en") == "is"
+
+
+def test_ranks_without_a_matrix(monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    sets = [set(rnd.sample("abcdefghijklmnop", rnd.randint(0, 6))) for _ in range(60)] + [{"zz"}, set()]
+    want = S.ranked_order(sets)
+    monkeypatch.setattr(S, "DENSE", 0)
+    monkeypatch.setattr(S, "WIDE", 50)
+    got = S.ranked_order(sets)
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want))
+
+
+def test_a_long_text_is_ranked_in_little_memory():
+    import random
+
+    rnd = random.Random(5)
+    sets = [{"the", *(f"w{rnd.randint(0, 9000)}" for _ in range(rnd.randint(3, 20)))} for _ in range(20_000)]
+    assert len(S.ranked_order(sets, most=3)) == 20_000
+
+
+TEXTS = ["the cat and the dog is in that house", "der Hund und die Katze ist nicht mit dem", "кот и пес", "犬はここにいます", "我们的城市", "123", "", None, "jeg har også været der og skal ikke til efter", "jeg har også vært der og skal ikke til etter av", "hän on myös kun se oli niin", "a ház és az ember nem volt meg egy", "แมว", "यह घर", "och det är inte en"]
+
+
+def test_vote_of_plain_strings_agrees_with_the_column(spark):
+    got = values(spark, voting.language, TEXTS)
+    assert got == [voting.vote(t) for t in TEXTS] and {"da", "no", "fi", "hu", "sv", "th", "hi", "zh"} <= set(got)
+
+
+def test_plain_operators_agree_with_columns(spark):
+    from pagequern.functions import plain as P
+
+    texts = ["  a \n\n b\t\tc  d ", "News — «Big» day! &quot;x&quot;", "\u2003x\xa0y\u3000", "", "ab", "The big, big story: part-2"]
+    assert values(spark, T.clean, texts) == [P.clean_text(t) for t in texts]
+    assert values(spark, T.norm_title, texts) == [P.norm_title(t) for t in texts]
+    assert values(spark, T.grams, texts) == [P.grams(t) for t in texts]
+    assert P.similarity(P.grams("abcd"), P.grams("abc")) == pytest.approx(200 / 3) and P.similarity([], []) is None
+    assert P.best_title("abcdef", [(1, "abcdef"), (2, "abcdef"), (3, "zzzz")], 50)[1:] == (2, "abcdef") and P.best_title("abc", [], 50) is None
+
+
+def test_absolute_urls_as_the_standard_library_makes_them(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.example/p/q?r=1#s", "http://a.example", "https://a.example/p/q/"]
+    urls = ["x", "/x", "../x", "./x", "../../../x/./y", "//c.example/x", "http://b.example/../x", "?a=1", "#top", "", "a/../b?c=../d", "..", "mailto:a@b.example"]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate((u, b) for u in urls for b in bases)], "i int, u string, b string")
+    for r in df.select("u", "b", T.absolute_url(F.col("u"), F.col("b")).alias("x")).collect():
+        assert r.x == urljoin(r.b, r.u) or (r.u == "" and r.x == r.b), (r.u, r.b, r.x, urljoin(r.b, r.u))
+
+
+def test_image_url_in_a_query(spark):
+    cases = {"http://a.example/i.php?u=http://b.example/c.jpg&w=3": "http://b.example/c.jpg", "http://a.example/d.png?x=http://b.example/c.jpg": "http://a.example/d.png?x=http://b.example/c.jpg", "http://a.example/i.php?u=none": "http://a.example/i.php?u=none"}
+    assert values(spark, T.embedded_image_url, list(cases)) == list(cases.values())
+
+
+SRCSETS = [("a.jpg 300w, b.jpg 800w", None, "http://h.example/b.jpg"), ("a.jpg 300w, b.jpg 400w", None, "http://h.example/a.jpg"), ("a.jpg", "c.png", "http://h.example/c.png"), ("a.jpg foo", "d.png", "http://h.example/d.png"), (None, "/x/e.jpeg?q=1", "http://h.example/x/e.jpeg?q=1"), ("a.webp 900w", "f.gif", None)]
+
+
+def test_srcset_and_headers(spark):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(SRCSETS)], "i int, srcset string, src string")
+    got = [r.u for r in df.select("i", T.image_url(F.col("src"), F.col("srcset"), F.array().cast("array<string>"), F.lit("http://h.example/")).alias("u")).orderBy("i").collect()]
+    assert got == [x for _, _, x in SRCSETS]
+    from pagequern.operators import decoding
+
+    heads = ["89504E470D0A1A0A0000000D4948445200000280000001E0", "474946383961400101F0", "474946383761800280020000", "FFD8FFE000104A464946", "", "FFD8FFE000104A46494600010100000100010000FFC0001108" + "01E0" + "0280" + "03012200021101031101"]
+    df = spark.createDataFrame(list(enumerate(heads)), "i int, h string").withColumn("b", F.unhex("h"))
+    s = F.coalesce(T.png_size(F.col("b")), T.gif_size(F.col("b")), decoding.jpeg_column(F.col("b")))
+    assert [(r.s and (r.s.width, r.s.height)) for r in df.select("i", s.alias("s")).orderBy("i").collect()] == [(640, 480), (320, 61441), (640, 640), (None, None), (None, None), (640, 480)]
