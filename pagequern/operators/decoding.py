@@ -41,6 +41,12 @@ def _decoded(body: pd.Series, declared: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["charset", "html", "error"])
 
 
+def told_charset():
+    """The first charset a page declares, else the server's; null without any."""
+    ascii_view = F.decode(F.col("body"), "ISO-8859-1")
+    return F.nullif(F.coalesce(F.try_element_at(T.declared_charsets(ascii_view), F.lit(1)), T.charset_alias(T.strip(F.col("header_charset")))), F.lit(""))
+
+
 def decode_pages(raw: DataFrame) -> DataFrame:
     """page_id, url, charset, html, error_msg of received pages (page_id, url, status, header_charset, body).
 
@@ -49,9 +55,7 @@ def decode_pages(raw: DataFrame) -> DataFrame:
     unknown charsets are told in error_msg; null and empty bodies are empty pages.
     """
     page = raw.dropDuplicates(["page_id", "url", "status", "header_charset", "body"])
-    ascii_view = F.decode(F.col("body"), "ISO-8859-1")
-    declared = F.coalesce(F.try_element_at(T.declared_charsets(ascii_view), F.lit(1)), T.charset_alias(T.strip(F.col("header_charset"))))
-    d = page.withColumn("x", F.pandas_udf(_decoded, "struct<charset:string,html:string,error:string>")(F.when(F.length("body") > 0, F.col("body")), F.nullif(declared, F.lit(""))))
+    d = page.withColumn("x", F.pandas_udf(_decoded, "struct<charset:string,html:string,error:string>")(F.when(F.length("body") > 0, F.col("body")), told_charset()))
     error = F.coalesce(T.status_error(F.col("status")), F.col("x.error"))
     return d.select("page_id", "url", "x.charset", F.when(error.isNull(), F.col("x.html")).alias("html"), error.alias("error_msg"))
 

@@ -94,6 +94,17 @@ def page_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", "url").distinct().join(href, "page_id", "left").select("page_id", F.coalesce("href", "url").alias("canonical_url"))
 
 
+@query(
+    f"""WITH r AS (SELECT DISTINCT page_id, url, status, header_charset, body FROM raw_pages), c AS (SELECT *, replace(replace(replace(replace(body::VARCHAR, '\\x22', '"'), '\\x27', ''''), '\\x0A', chr(10)), '\\x0D', chr(13)) AS t FROM r),
+    m AS (SELECT *, nullif(regexp_extract(t, '<meta[^>]*?[ \\t\\r\\n]charset=["'']?([^"''>;/ ]+)', 1), '') AS m1, nullif(regexp_extract(t, '<meta[^>]*?http-equiv=["'']?[cC][oO][nN][tT][eE][nN][tT]-[tT][yY][pP][eE]["'']?[^>]*?content=["''][^"''>]*?charset=([^"''>; ]+)', 1), '') AS m2 FROM c)
+    SELECT page_id, status, coalesce({Q.charset_alias('m1')}, {Q.charset_alias('m2')}, {Q.charset_alias("nullif(trim(header_charset), '')")}, 'detect') AS charset, octet_length(body) AS size FROM m WHERE octet_length(body) > 0"""
+)
+def charset_choice(spark, d):
+    """The charset each received page is read in: declared, else told by the server, else to be detected."""
+    raw = table(spark, d, "raw_pages").dropDuplicates(["page_id", "url", "status", "header_charset", "body"]).where("length(body) > 0")
+    return raw.select("page_id", "status", F.coalesce(decoding.told_charset(), F.lit("detect")).alias("charset"), F.length("body").cast("long").alias("size"))
+
+
 @query()
 def decoded_pages(spark, d):
     return decoding.decode_pages(spread(table(spark, d, "raw_pages")))
@@ -179,9 +190,6 @@ def title_best(spark, d):
 
 
 # ------------------------------------------------------------ weights and rules
-WORDS = [("content-main",), ("my-content",), ("Comment",), ("contact",), ("post footer",), ("sidebar",), ("sidebar main",), ("brand-menu",), ("MAIN",), ("main-x",), ("tag-div",), ("",), ("media article",)]
-
-
 @query(
     f"""SELECT DISTINCT page_id, node_id, {Q.vocabulary_weight("coalesce(attrs['class'], '')")} + {Q.vocabulary_weight("coalesce(attrs['id'], '')")} AS weight, {Q.tag_score('tag')} AS tag_score FROM nodes"""
 )
@@ -190,10 +198,15 @@ def class_weight(spark, d):
     return n.select("page_id", "node_id", T.class_weight(F.col("tag"), F.col("attrs")["class"], F.col("attrs")["id"]).alias("weight"), T.tag_score(F.col("tag")).alias("tag_score"))
 
 
-@query(f"SELECT word, {Q.vocabulary_weight('word')} AS weight, CASE WHEN regexp_matches(word, '^(?:main|co\\.)') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(word, '^(?:brand)') THEN 25 ELSE 0 END AS keywords FROM (VALUES {', '.join(repr(w) if w[0] else '(' + repr('') + ')' for w in WORDS).replace(',)', ')')}) v(word)")
+@query(
+    f"""SELECT word, count(*) AS n, {Q.vocabulary_weight('word')} AS weight, CASE WHEN regexp_matches(word, '^(?:main|c-|tag-div)') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(word, '^(?:foot|share|tag-nav)') THEN 25 ELSE 0 END AS keywords
+    FROM (SELECT unnest([attrs['class'], attrs['id'], 'tag-' || tag]) AS word FROM (SELECT DISTINCT page_id, node_id, tag, attrs FROM nodes)) WHERE word <> '' GROUP BY word"""
+)
 def keyword_weight(spark, d):
-    v = values(spark, "word string", WORDS)
-    return v.select("word", T.vocabulary_weight(F.col("word")).alias("weight"), T.keyword_weight(F.col("word"), T.compile_keywords("Main,co."), T.compile_keywords(["Brand"])).alias("keywords"))
+    """Weights of all classes, ids and tags by the vocabulary and by given keywords."""
+    n = _nodes(spark, d).select(F.explode(F.array(F.col("attrs")["class"], F.col("attrs")["id"], F.concat(F.lit("tag-"), "tag"))).alias("word")).where("word <> ''")
+    v = n.groupBy("word").agg(F.count("*").alias("n"))
+    return v.select("word", "n", T.vocabulary_weight(F.col("word")).alias("weight"), T.keyword_weight(F.col("word"), T.compile_keywords("Main,c-,tag-div"), T.compile_keywords(["Foot", "share", "tag-nav"])).alias("keywords"))
 
 
 @query(
@@ -305,48 +318,128 @@ def container_counts(spark, d):
     return dom.child_counts(n, n.where(F.col("tag").isin("table", "ul", "div")), COUNTED)
 
 
-RULES = [(1, "div", 3, 4, 0, 0, 0, 100, 0, 0.0), (2, "div", 0, 4, 0, 0, 0, 100, 0, 0.0), (3, "div", 3, 0, 0, 0, 1, 100, 0, 0.0), (4, "ul", 1, 0, 102, 0, 0, 100, 0, 0.21), (5, "div", 1, 1, 102, 0, 0, 100, 25, 0.5), (6, "div", 1, 2, 0, 1, 0, 70, 25, 0.51), (7, "table", 2, 0, 0, 2, 2, 24, -25, 0.2), (8, "div", 5, 1, 0, 0, 0, 24, 0, 0.0)]
+CONTAINERS = "e.tag IN ('table', 'ul', 'div')"
+MEASURED = f"""{Q.NODES}, {Q.content('t', 'true')}, c AS MATERIALIZED (SELECT page_id, node_id, {Q.clean('content')} AS cleaned FROM t),
+    ld AS MATERIALIZED (SELECT e.page_id, e.node_id, sum(length(c.cleaned)) AS links FROM n e JOIN n a ON a.page_id = e.page_id AND a.tag = 'a' AND a.node_id > e.node_id AND a.node_id <= e.end_id JOIN c ON c.page_id = a.page_id AND c.node_id = a.node_id GROUP BY 1, 2),
+    m AS MATERIALIZED (SELECT n.*, length(c.cleaned) AS len, coalesce(ld.links, 0) / greatest(length(c.cleaned), 1) AS density,
+      {Q.vocabulary_weight("coalesce(n.attrs['class'], '')")} + {Q.vocabulary_weight("coalesce(n.attrs['id'], '')")} AS weight FROM n JOIN c USING (page_id, node_id) LEFT JOIN ld USING (page_id, node_id))"""
+
+
+def _weighed(n):
+    """Nodes with clean length, link density and class weight."""
+    m = dom.measures(n).select("page_id", "node_id", "length", (F.col("links") / F.greatest(F.col("length"), F.lit(1))).alias("density"))
+    return n.withColumn("weight", T.class_weight(F.col("tag"), F.col("attrs")["class"], F.col("attrs")["id"])).join(m, ["page_id", "node_id"])
 
 
 @query(
-    f"""SELECT id, ((p > 0 AND img > p) OR input > p / 3.0) AS by_counts, ((weight < 25 AND density > 0.2) OR (weight >= 25 AND density > 0.5)) AS by_density,
+    f"""WITH {MEASURED}, k AS (SELECT e.page_id, e.node_id, count(*) FILTER (x.tag = 'p') AS p, count(*) FILTER (x.tag = 'img') AS img, count(*) FILTER (x.tag = 'li') AS li, count(*) FILTER (x.tag = 'embed') AS embed,
+      count(*) FILTER (x.tag = 'input' AND coalesce(x.attrs['type'], '') <> 'hidden') AS input FROM n e LEFT JOIN n x ON x.page_id = e.page_id AND x.node_id > e.node_id AND x.node_id <= e.end_id WHERE {CONTAINERS} GROUP BY 1, 2)
+    SELECT page_id, node_id, input, weight < 0 AS negative, ((p > 0 AND img > p) OR input > p / 3.0) AS by_counts, ((weight < 25 AND density > 0.2) OR (weight >= 25 AND density > 0.5)) AS by_density,
     ((p > 0 AND img > p) OR input > p / 3.0 OR (weight < 25 AND density > 0.2) OR (weight >= 25 AND density > 0.5) OR (li - 100 > p AND tag NOT IN ('ul', 'ol')) OR (len < 25 AND (img = 0 OR img > 2)) OR (embed = 1 AND len < 75) OR embed > 1) AS removed
-    FROM (VALUES {', '.join(map(repr, RULES))}) v(id, tag, p, img, li, embed, input, len, weight, density)"""
+    FROM m JOIN k USING (page_id, node_id)"""
 )
 def removal_rules(spark, d):
-    v = values(spark, "id int, tag string, p int, img int, li int, embed int, input int, len int, weight int, density double", RULES)
+    """Reasons to remove each table, list and div (F10-F14, J3 without hidden inputs, A11)."""
+    n = _nodes(spark, d)
+    roots = n.where(F.col("tag").isin("table", "ul", "div"))
+    counted = n.withColumn("tag", F.when((F.col("tag") == "input") & (F.coalesce(F.col("attrs")["type"], F.lit("")) == "hidden"), "hidden").otherwise(F.col("tag")))
+    k = dom.child_counts(counted, roots, ["p", "img", "li", "embed", "input"])
+    v = _weighed(n).join(k, ["page_id", "node_id"])
     c = F.col
-    return v.select("id", T.counts_rule(c("p"), c("img"), c("input")).alias("by_counts"), T.density_rule(c("weight"), c("density")).alias("by_density"), T.removal_rule(c("tag"), c("p"), c("img"), c("li"), c("embed"), c("input"), c("len"), c("weight"), c("density")).alias("removed"))
-
-
-SIBLINGS = [(1, "p", None, 50.0, "Short. ", 0.0), (2, "p", None, 50.0, "Short", 0.0), (3, "p", None, 50.0, "x" * 81, 0.25), (4, "p", None, 50.0, "x" * 81, 0.24), (5, "div", 10.0, 40.0, "", 0.9), (6, "div", 9.9, 40.0, "", 0.0), (7, "div", 15.0, 100.0, "", 0.0), (8, "p", None, 50.0, None, 0.0)]
+    return v.select("page_id", "node_id", "input", (c("weight") < 0).alias("negative"), T.counts_rule(c("p"), c("img"), c("input")).alias("by_counts"), T.density_rule(c("weight"), c("density")).alias("by_density"), T.removal_rule(c("tag"), c("p"), c("img"), c("li"), c("embed"), c("input"), c("length"), c("weight"), c("density")).alias("removed"))
 
 
 @query(
-    f"""SELECT id, (coalesce(score >= greatest(10, best * 0.2), false) OR (tag = 'p' AND ((length(coalesce(direct, '')) > 80 AND density < 0.25) OR (length(coalesce(direct, '')) <= 80 AND density = 0 AND regexp_matches(coalesce(direct, ''), '\\.( |$)'))))) AS appended
-    FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in SIBLINGS)}) v(id, tag, score, best, direct, density)"""
+    Q.CANDIDATES + f""", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 6) DESC, tag_rank, first_p, grand) AS r FROM s) WHERE r = 1)
+    SELECT x.page_id, x.node_id, b.node_id AS best_id, x.node_id = b.node_id OR coalesce(s.score >= greatest(10, b.score * 0.2), false) OR (x.tag = 'p' AND ((length(coalesce(x.text, '')) > 80 AND coalesce(ld.links, 0) / greatest(length(c.cleaned), 1) < 0.25)
+      OR (length(coalesce(x.text, '')) <= 80 AND coalesce(ld.links, 0) = 0 AND regexp_matches(coalesce(x.text, ''), '\\.( |$)')))) AS appended
+    FROM b JOIN n bn ON bn.page_id = b.page_id AND bn.node_id = b.node_id JOIN n x ON x.page_id = bn.page_id AND x.parent_id = bn.parent_id JOIN c ON c.page_id = x.page_id AND c.node_id = x.node_id
+    LEFT JOIN s ON s.page_id = x.page_id AND s.node_id = x.node_id LEFT JOIN ld ON ld.page_id = x.page_id AND ld.node_id = x.node_id"""
 )
 def sibling_filter(spark, d):
-    v = values(spark, "id int, tag string, score double, best double, direct string, density double", SIBLINGS)
+    """Siblings of each page's best candidate and whether they join the article."""
+    n = _nodes(spark, d)
+    scored = scoring.candidates(n)
+    best = scoring.best(scored).select("page_id", F.col("node_id").alias("best_id"), F.col("content_score").alias("best"))
+    parent = best.join(n.select("page_id", F.col("node_id").alias("best_id"), "parent_id"), ["page_id", "best_id"]).where("parent_id IS NOT NULL")
+    x = n.join(parent, ["page_id", "parent_id"]).join(scored.select("page_id", "node_id", F.col("content_score").alias("score")), ["page_id", "node_id"], "left")
+    x = x.join(dom.link_density(n).select("page_id", "node_id", "density"), ["page_id", "node_id"])
     c = F.col
-    return v.select("id", T.appendable(c("tag"), c("score"), c("best"), c("direct"), c("density")).alias("appended"))
+    return x.select("page_id", "node_id", "best_id", ((c("node_id") == c("best_id")) | T.appendable(c("tag"), c("score"), c("best"), c("text"), c("density"))).alias("appended"))
+
+
+@query(f"WITH {MEASURED} SELECT page_id, node_id, (weight < 0 OR density > 0.33) AS dropped FROM m WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')")
+def heading_drop(spark, d):
+    """Headings that do not belong to an article (F8)."""
+    x = _weighed(_nodes(spark, d)).where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6"))
+    return x.select("page_id", "node_id", ((F.col("weight") < 0) | (F.col("density") > 0.33)).alias("dropped"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT page_id, node_id, end_id, tag FROM nodes), u AS (SELECT * FROM n WHERE tag IN ('form', 'iframe', 'textarea'))
+    SELECT n.page_id, count(*) AS kept, sum(n.node_id)::BIGINT AS places FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.page_id = n.page_id AND n.node_id BETWEEN u.node_id AND u.end_id) GROUP BY 1"""
+)
+def form_drop(spark, d):
+    """Elements outside forms, frames and text areas."""
+    n = _nodes(spark, d)
+    return dom.drop_subtrees(n, n.where(F.col("tag").isin("form", "iframe", "textarea"))).groupBy("page_id").agg(F.count("*").alias("kept"), F.sum("node_id").alias("places"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT page_id, node_id, parent_id, depth, tag FROM nodes), s AS (SELECT n.*, row_number() OVER (PARTITION BY page_id, tag ORDER BY node_id DESC) AS back FROM n WHERE tag IN ('table', 'ul', 'div'))
+    SELECT page_id, tag, node_id, back FROM s"""
+)
+def reversed_streams(spark, d):
+    """Containers by tag from the page's end to its beginning, the order in which they are judged (P5)."""
+    n = _nodes(spark, d, F.col("tag").isin("table", "ul", "div"))
+    return n.select("page_id", "tag", "node_id", F.row_number().over(Window.partitionBy("page_id", "tag").orderBy(F.desc("node_id"))).cast("long").alias("back"))
 
 
 # ------------------------------------------------------------ images
+# src of every image and href of every link with the URL of its page
+LINKED = """(SELECT DISTINCT n.page_id, n.node_id, n.tag, coalesce(n.attrs['src'], n.attrs['href']) AS link, p.url AS base, n.attrs['width'] AS width, n.attrs['height'] AS height FROM nodes n JOIN (SELECT DISTINCT page_id, url FROM pages) p ON n.page_id = p.page_id
+    WHERE (n.tag = 'img' AND n.attrs['src'] IS NOT NULL) OR (n.tag = 'a' AND n.attrs['href'] IS NOT NULL))"""
+HOST, PATH = "regexp_extract(base, '^([a-z]+://[^/?#]*)', 1)", "regexp_replace(regexp_replace({0}, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '')"
+ABSOLUTE = f"""CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://') OR regexp_matches(link, '^(mailto|tel|javascript|data):') THEN link WHEN link LIKE '//%' THEN regexp_extract(base, '^([a-z]+:)', 1) || link WHEN link = '' THEN base
+    WHEN link LIKE '?%' THEN regexp_extract(base, '^([^?#]*)', 1) || link WHEN link LIKE '#%' THEN regexp_extract(base, '^([^#]*)', 1) || link WHEN link LIKE '/%' THEN {HOST} || link
+    ELSE {HOST} || regexp_replace({PATH.format("base")}, '[^/]*$', '') || CASE WHEN {PATH.format("base")} = '' THEN '/' ELSE '' END || link END"""
+SIZE = "CASE WHEN try_cast(trim(width) AS INT) IS NULL OR try_cast(trim(height) AS INT) IS NULL THEN 0 ELSE try_cast(trim({0}) AS INT) END"
+VALID = "(path LIKE '%.jpg' OR path LIKE '%jpeg' OR path LIKE '%png')"
+
+
+def _linked(spark, d, tags):
+    n = table(spark, d, "nodes").where(F.col("tag").isin(tags) & F.coalesce(F.col("attrs")["src"], F.col("attrs")["href"]).isNotNull())
+    n = n.where(((F.col("tag") == "img") & F.col("attrs")["src"].isNotNull()) | ((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()))
+    n = n.select("page_id", "node_id", "tag", "attrs", F.coalesce(F.col("attrs")["src"], F.col("attrs")["href"]).alias("link"))
+    return dom.nodes_of(n).join(table(spark, d, "pages").select("page_id", F.col("url").alias("base")).distinct(), "page_id")
+
+
+def _sizes():
+    w, h = T.image_size(F.col("attrs")["width"], F.col("attrs")["height"])
+    return w.alias("width"), h.alias("height")
+
+
+@query(f"SELECT page_id, node_id, {ABSOLUTE} AS url FROM {LINKED}")
+def absolute_links(spark, d):
+    """Every link and image address, made absolute against its page."""
+    return _linked(spark, d, ["img", "a"]).select("page_id", "node_id", T.absolute_url(F.col("link"), F.col("base")).alias("url"))
+
+
 @query(
-    f"""SELECT DISTINCT n.page_id, n.node_id, CASE WHEN attrs['src'] LIKE 'http%' THEN attrs['src'] ELSE regexp_extract(p.url, '^(https?://[^/?#]*)', 1) || attrs['src'] END AS image_url, coalesce(try_cast(attrs['width'] AS INT), 0) AS width, coalesce(try_cast(attrs['height'] AS INT), 0) AS height
-    FROM nodes n JOIN pages p ON n.page_id = p.page_id WHERE tag = 'img' AND attrs['src'] LIKE '/%'"""
+    f"""SELECT page_id, node_id, CASE WHEN {VALID} THEN url END AS image_url, width, height FROM (SELECT page_id, node_id, url, {PATH.format("url")} AS path, {SIZE.format('width')} AS width, {SIZE.format('height')} AS height
+    FROM (SELECT *, {ABSOLUTE} AS url FROM {LINKED} WHERE tag = 'img'))"""
 )
 def image_src(spark, d):
-    n = _nodes(spark, d, "tag = 'img'").where(F.col("attrs")["src"].startswith("/")).join(table(spark, d, "pages").select("page_id", "url").distinct(), "page_id")
-    w, h = T.image_size(F.col("attrs")["width"], F.col("attrs")["height"])
-    url = T.image_url(F.col("attrs")["src"], F.col("attrs")["srcset"], F.array().cast("array<string>"), F.col("url"))
-    return n.select("page_id", "node_id", url.alias("image_url"), w.alias("width"), h.alias("height"))
+    """Address and told size of every image."""
+    n = _linked(spark, d, ["img"])
+    url = T.image_url(F.col("attrs")["src"], F.col("attrs")["srcset"], F.array().cast("array<string>"), F.col("base"))
+    return n.select("page_id", "node_id", url.alias("image_url"), *_sizes())
 
 
 @query(
     """SELECT page_id, arg_max(src, struct_pack(a := w::BIGINT * h, n := -node_id)) AS image_path, max(w::BIGINT * h) AS area FROM (SELECT DISTINCT page_id, node_id, attrs['src'] AS src, try_cast(attrs['width'] AS INT) AS w, try_cast(attrs['height'] AS INT) AS h FROM nodes WHERE tag = 'img')
-    WHERE w >= 580 AND h >= 250 AND greatest(w, h)::DOUBLE / least(w, h) <= 3 AND NOT regexp_matches(src, '.gif|.ico|twitter.jpg|share|social|logo|/ads.|/ads/|button|notification|empty') AND regexp_matches(src, '.jpg|.jpeg|.png') GROUP BY page_id"""
+    WHERE w >= 580 AND h >= 250 AND greatest(w, h)::DOUBLE / least(w, h) <= 3 AND NOT regexp_matches(src, '"""
+    + X.IMAGE_DENY + "') AND regexp_matches(src, '" + X.IMAGE_ALLOW + "') GROUP BY page_id"
 )
 def image_best(spark, d):
     n = _nodes(spark, d, "tag = 'img'")
@@ -357,80 +450,91 @@ def image_best(spark, d):
     return good.groupBy("page_id").agg(F.max_by("src", F.struct(area.alias("a"), (-F.col("node_id")).alias("n"))).alias("image_path"), F.max(area).alias("area"))
 
 
-URLS = [(1, "http://a.example/mexico.jpg", 900, 300), (2, "http://a.example/catalogo/x.jpg", 900, 301), (3, "http://a.example/img/x.jpg", 901, 300), (4, "http://a.example/a.jpg?x=1", 580, 250), (5, "http://a.example/a.webp", 1000, 500), (6, "http://a.example/apng", 0, 300), (7, "http://a.example/ads/y.png", 700, 700)]
-
-
 @query(
-    f"""SELECT id, NOT regexp_matches(path, '{X.IMAGE_DENY}') AND regexp_matches(path, '{X.IMAGE_ALLOW}') AS path_ok, (path LIKE '%.jpg' OR path LIKE '%jpeg' OR path LIKE '%png') AS valid, (w = 0 OR h = 0 OR coalesce(greatest(w, h)::DOUBLE / nullif(least(w, h), 0) > 3, true)) AS banner
-    FROM (SELECT id, w, h, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '') AS path FROM (VALUES {', '.join(map(repr, URLS))}) v(id, url, w, h))"""
+    f"""SELECT page_id, node_id, NOT regexp_matches(path, '{X.IMAGE_DENY}') AND regexp_matches(path, '{X.IMAGE_ALLOW}') AS path_ok, {VALID} AS valid, (w = 0 OR h = 0 OR coalesce(greatest(w, h)::DOUBLE / nullif(least(w, h), 0) > 3, true)) AS banner
+    FROM (SELECT page_id, node_id, {PATH.format("url")} AS path, {SIZE.format('width')} AS w, {SIZE.format('height')} AS h FROM (SELECT *, {ABSOLUTE} AS url FROM {LINKED}))"""
 )
 def image_filter(spark, d):
-    v = values(spark, "id int, url string, w int, h int", URLS)
+    """Filters of image addresses and sizes over all links and images."""
+    x = _linked(spark, d, ["img", "a"]).select("page_id", "node_id", T.absolute_url(F.col("link"), F.col("base")).alias("url"), *_sizes())
     c = F.col
-    return v.select("id", T.image_path_ok(c("url")).alias("path_ok"), T.valid_image_url(c("url")).alias("valid"), T.banner(c("w"), c("h")).alias("banner"))
-
-
-SRCSETS = [(1, "a.jpg 300w, b.jpg 800w", None, "http://h.example/b.jpg"), (2, "a.jpg 300w, b.jpg 400w", None, "http://h.example/a.jpg"), (3, "a.jpg", "c.png", "http://h.example/c.png"), (4, "a.jpg foo", "d.png", "http://h.example/d.png"), (5, None, "/x/e.jpeg?q=1", "http://h.example/x/e.jpeg?q=1"), (6, "a.webp 900w", "f.gif", None)]
+    return x.select("page_id", "node_id", T.image_path_ok(c("url")).alias("path_ok"), T.valid_image_url(c("url")).alias("valid"), T.banner(c("width"), c("height")).alias("banner"))
 
 
-@query(f"SELECT id, expected AS image_url FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in SRCSETS)}) v(id, srcset, src, expected)")
+# a srcset made of the addresses of a page's images in order, the k-th of them k * 250 wide
+@query(
+    f"""WITH i AS (SELECT page_id, node_id, link, base, row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS k FROM {LINKED} WHERE tag = 'img' AND NOT contains(link, ',') AND NOT contains(link, ' ')),
+    u AS (SELECT page_id, k, url, k * 250 AS size, {PATH.format("url")} AS path FROM (SELECT *, {ABSOLUTE} AS url FROM i))
+    SELECT page_id, count(*) AS entries, coalesce(arg_min(url, k) FILTER ({VALID} AND size >= 600), arg_min(url, k) FILTER ({VALID})) AS image_url FROM u GROUP BY page_id"""
+)
 def image_srcset(spark, d):
-    v = values(spark, "id int, srcset string, src string, expected string", SRCSETS)
-    return v.select("id", T.image_url(F.col("src"), F.col("srcset"), F.array().cast("array<string>"), F.lit("http://h.example/")).alias("image_url"))
-
-
-LINKS = [(1, "http://b.example/x", "http://a.example/p/q"), (2, "/x", "http://a.example/p/q?r=1"), (3, "x", "http://a.example/p/q"), (4, "//c.example/x", "https://a.example/p"), (5, None, "http://a.example/"), (6, "x", None), (7, "x", "http://a.example")]
-
-
-@query(f"SELECT id, [{', '.join(repr(x) if x else 'NULL' for x in ['http://b.example/x', 'http://a.example/x', 'http://a.example/p/x', 'https://c.example/x', None, None, 'http://a.example/x'])}][id] AS absolute FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in LINKS)}) v(id, url, base)")
-def absolute_links(spark, d):
-    return values(spark, "id int, url string, base string", LINKS).select("id", T.absolute_url(F.col("url"), F.col("base")).alias("absolute"))
-
+    """The choice among the entries of a srcset."""
+    i = _linked(spark, d, ["img"]).where(~F.col("link").contains(",") & ~F.col("link").contains(" "))
+    i = i.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")))
+    g = i.groupBy("page_id", "base").agg(F.count("*").alias("entries"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "link"))), lambda x: F.concat(x["link"], F.lit(" "), (x["k"] * 250).cast("string"), F.lit("w"))), ", ").alias("srcset"))
+    return g.select("page_id", "entries", T.srcset_url(F.col("srcset"), F.col("base")).alias("image_url"))
 
-EMBEDDED = [(1, "http://a.example/i.php?u=http://b.example/c.jpg"), (2, "http://a.example/d.png?x=http://b.example/c.jpg"), (3, "http://a.example/i.php?u=none")]
 
-
-@query(f"SELECT id, ['http://b.example/c.jpg', 'http://a.example/d.png?x=http://b.example/c.jpg', 'http://a.example/i.php?u=none'][id] AS url FROM (VALUES {', '.join(map(repr, EMBEDDED))}) v(id, u)")
+@query(
+    f"""SELECT page_id, node_id, CASE WHEN {VALID} THEN url ELSE coalesce(nullif(regexp_extract(regexp_extract(url, '\\?([^#]*)', 1), '((?:https?|ftp)://[^\\s&"''<>]*?\\.(?:jpe?g|png))', 1), ''), url) END AS url
+    FROM (SELECT page_id, node_id, url, {PATH.format("url")} AS path FROM (SELECT page_id, node_id, CASE WHEN tag = 'img' THEN base || '?w=9&u=' || a ELSE a END AS url FROM (SELECT *, {ABSOLUTE} AS a FROM {LINKED})))"""
+)
 def embedded_image(spark, d):
-    return values(spark, "id int, u string", EMBEDDED).select("id", T.embedded_image_url(F.col("u")).alias("url"))
+    """Image addresses inside the query of another address, here of each page's own (C17)."""
+    x = _linked(spark, d, ["img", "a"]).withColumn("a", T.absolute_url(F.col("link"), F.col("base")))
+    u = F.when(F.col("tag") == "img", F.concat("base", F.lit("?w=9&u="), "a")).otherwise(F.col("a"))
+    return x.select("page_id", "node_id", T.embedded_image_url(u).alias("url"))
 
 
-HEADERS = [(1, "89504E470D0A1A0A0000000D4948445200000280000001E0"), (2, "474946383961400101F0"), (3, "474946383761800280020000"), (4, "FFD8FFE000104A464946"), (5, "")]
+# the heads of three formats are made of the told sizes of all images, then read
+TOLD = f"(SELECT DISTINCT page_id, node_id, {SIZE.format('width')} AS w, {SIZE.format('height')} AS h FROM {LINKED} WHERE tag = 'img')"
 
 
-@query("SELECT * FROM (VALUES (1, 640, 480), (2, 320, 61441), (3, 640, 640), (4, NULL, NULL), (5, NULL, NULL)) v(id, width, height)")
+@query(f"SELECT page_id, node_id, format, w AS width, h AS height FROM {TOLD}, (VALUES ('png'), ('gif'), ('jpeg')) f(format) WHERE w BETWEEN 1 AND 65535 AND h BETWEEN 1 AND 65535")
 def image_headers(spark, d):
-    v = values(spark, "id int, h string", HEADERS).withColumn("b", F.unhex("h"))
-    s = F.coalesce(T.png_size(F.col("b")), T.gif_size(F.col("b")))
-    return v.select("id", s["width"].alias("width"), s["height"].alias("height"))
+    """Sizes in the heads of PNG, GIF and JPEG images."""
+    x = _linked(spark, d, ["img"]).select("page_id", "node_id", *_sizes()).where("width BETWEEN 1 AND 65535 AND height BETWEEN 1 AND 65535")
+
+    def big(c, digits):
+        return F.lpad(F.hex(c), digits, "0")
 
+    def little(c):
+        return F.concat(F.substring(big(c, 4), 3, 2), F.substring(big(c, 4), 1, 2))
 
-@query("SELECT * FROM (VALUES (1, 640, 480), (2, NULL, NULL)) v(id, width, height)")
-def jpeg_dims(spark, d):
-    jpeg = "FFD8FFE000104A46494600010100000100010000FFC0001108" + "01E0" + "0280" + "03012200021101031101"
-    v = values(spark, "id int, h string", [(1, jpeg), (2, "FFD8FFDB")]).withColumn("b", F.unhex("h"))
-    return v.withColumn("s", decoding.jpeg_column(F.col("b"))).select("id", "s.width", "s.height")
+    w, h = F.col("width"), F.col("height")
+    heads = {
+        "png": F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8)), "gif": F.concat(F.lit("474946383961"), little(w), little(h)),
+        "jpeg": F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), big(h, 4), big(w, 4), F.lit("03012200021101031101")),
+    }
+    e = x.select("page_id", "node_id", F.explode(F.array(*[F.struct(F.lit(k).alias("format"), F.unhex(v).alias("b")) for k, v in heads.items()])).alias("x")).select("page_id", "node_id", "x.*")
+    e = e.withColumn("s", F.coalesce(T.png_size(F.col("b")), T.gif_size(F.col("b")))).withColumn("j", decoding.jpeg_column(F.col("b")))
+    return e.select("page_id", "node_id", "format", *[F.coalesce(F.col(f"s.{k}"), F.col(f"j.{k}")).alias(k) for k in ("width", "height")])
 
 
-SIZED = [(1, 1, "http://a.example/a.jpg", 0, 0), (1, 2, "http://a.example/b.jpg", 900, 300), (1, 3, "http://a.example/c.jpg", None, 700), (2, 1, "http://a.example/d.jpg", 0, 5), (2, 2, "http://a.example/logo.jpg", 900, 600), (3, 1, "http://a.example/e.png", 600, 300), (3, 2, "http://a.example/f.png", 300, 600), (3, 3, "http://a.example/g.png", 600, 300)]
-FETCHED = [("http://a.example/a.jpg", 1000, 600), ("http://a.example/c.jpg", 580, 249)]
-SIZED_SQL = f"""WITH i AS (SELECT page_id, pos, v.url, CASE WHEN coalesce(v.width, 0) = 0 OR coalesce(v.height, 0) = 0 THEN coalesce(f.width, -1) ELSE v.width END AS width, CASE WHEN coalesce(v.width, 0) = 0 OR coalesce(v.height, 0) = 0 THEN coalesce(f.height, -1) ELSE v.height END AS height
-    FROM (VALUES {', '.join(repr(r).replace('None', 'NULL') for r in SIZED)}) v(page_id, pos, url, width, height) LEFT JOIN (VALUES {', '.join(map(repr, FETCHED))}) f(url, width, height) ON v.url = f.url)"""
+# sizes of every second image count as not told; the table of sizes has the largest of the address
+SIZED_SQL = f"""WITH a AS (SELECT page_id, node_id, {ABSOLUTE} AS url, {SIZE.format('width')} AS w, {SIZE.format('height')} AS h FROM {LINKED} WHERE tag = 'img'), f AS (SELECT url, max(w) AS fw, max(h) AS fh FROM a WHERE w > 0 AND node_id % 3 > 0 GROUP BY url),
+    i AS (SELECT a.page_id, a.node_id AS pos, a.url, CASE WHEN w = 0 OR h = 0 OR node_id % 2 = 0 THEN coalesce(fw, -1) ELSE w END AS width, CASE WHEN w = 0 OR h = 0 OR node_id % 2 = 0 THEN coalesce(fh, -1) ELSE h END AS height FROM a LEFT JOIN f USING (url))"""
 
 
-def _sized(spark):
-    return images.fill_sizes(values(spark, "page_id int, pos int, url string, width int, height int", SIZED), values(spark, "url string, width int, height int", FETCHED))
+def _sized(spark, d):
+    x = _linked(spark, d, ["img"]).select("page_id", F.col("node_id").alias("pos"), T.absolute_url(F.col("link"), F.col("base")).alias("url"), *_sizes())
+    sizes = x.where("width > 0 AND pos % 3 > 0").groupBy("url").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    return images.fill_sizes(x.withColumn("width", F.when(F.col("pos") % 2 == 0, 0).otherwise(F.col("width"))), sizes)
 
 
 @query(SIZED_SQL + " SELECT page_id, pos, url || ' (' || width || ' x ' || height || ', ' || CASE WHEN width >= 580 AND height >= 250 THEN 'good' ELSE 'not good' END || ')' AS label FROM i")
 def image_sizes(spark, d):
+    """Sizes that elements do not tell come from a table of sizes."""
     good = (F.col("width") >= 580) & (F.col("height") >= 250)
-    return _sized(spark).select("page_id", "pos", images.label(F.col("url"), F.col("width"), F.col("height"), good).alias("label"))
+    return _sized(spark, d).select("page_id", "pos", images.label(F.col("url"), F.col("width"), F.col("height"), good).alias("label"))
 
 
-@query(SIZED_SQL + " SELECT page_id, arg_min(url, struct_pack(a := -width * height, p := pos)) AS url FROM i WHERE width >= 580 AND height >= 250 AND greatest(width, height)::DOUBLE / least(width, height) <= 3 AND url NOT LIKE '%logo%' GROUP BY page_id")
+@query(
+    SIZED_SQL + f""" SELECT page_id, arg_min(url, struct_pack(a := -(width::BIGINT) * height, p := pos)) AS url FROM (SELECT *, {PATH.format("url")} AS path FROM i) WHERE width >= 580 AND height >= 250 AND greatest(width, height)::DOUBLE / least(width, height) <= 3
+    AND NOT regexp_matches(path, '{X.IMAGE_DENY}') AND regexp_matches(path, '{X.IMAGE_ALLOW}') GROUP BY page_id"""
+)
 def image_best_sized(spark, d):
-    return images.best_images(_sized(spark))
+    return images.best_images(_sized(spark, d))
 
 
 # ------------------------------------------------------------ sentences and summaries
@@ -509,17 +613,41 @@ def image_container(spark, d):
     return dom.common_ancestor(n, a.join(b, "page_id"))
 
 
-@query(
-    f"""SELECT DISTINCT page_id, md5('<html lang="' || {Q.escaped("coalesce(language, '')")} || '"><h1>' || {Q.escaped("coalesce(title, '')")} || '</h1>' || CASE WHEN image_url IS NOT NULL THEN '<img src="' || {Q.escaped('image_url')} || '">' ELSE '' END || clean_html || '</html>') AS document FROM articles WHERE clean_html IS NOT NULL"""
-)
+def _template_sql() -> str:
+    """The parts of the template joined with the SQL of its values."""
+    e = {k: Q.escaped(v) for k, v in (("lang", "coalesce(language, '')"), ("title", "coalesce(title, '')"), ("told", "description"), ("image", "image_url"))}
+    about = f"CASE WHEN length(description) > 0 THEN '<meta name=\"description\" content=\"' || {e['told']} || '\">' || chr(10) ELSE '' END"
+    meta = f"CASE WHEN image_url IS NOT NULL THEN '<meta itemprop=\"image\" content=\"' || {e['image']} || '\">' || chr(10) ELSE '' END"
+    img = f"CASE WHEN image_url IS NOT NULL THEN '<img src=\"' || {e['image']} || '\">' || chr(10) ELSE '' END"
+    parts = article.TEMPLATE.split("%s")
+    out = Q.lit(parts[0])
+    for value, part in zip((e["lang"], e["title"], about, e["lang"], meta, e["title"], img, "clean_html"), parts[1:]):
+        out += f" || {value} || {Q.lit(part)}"
+    return out
+
+
+@query(f"SELECT DISTINCT page_id, md5({_template_sql()}) AS document FROM articles WHERE clean_html IS NOT NULL")
 def article_template(spark, d):
-    a = _articles(spark, d, "language", "title", "image_url", "clean_html").where("clean_html IS NOT NULL")
-    e = article.escaped
-    img = F.when(F.col("image_url").isNotNull(), F.concat(F.lit('<img src="'), e(F.col("image_url")), F.lit('">'))).otherwise("")
-    doc = F.format_string('<html lang="%s"><h1>%s</h1>%s%s</html>', e(F.coalesce("language", F.lit(""))), e(F.coalesce("title", F.lit(""))), img, F.col("clean_html"))
+    """The output document of every stored article."""
+    a = _articles(spark, d, "language", "title", "image_url", "description", "clean_html").where("clean_html IS NOT NULL")
+    doc = article.document(*[F.col(c) for c in ("language", "title", "description", "image_url", "clean_html")])
     return a.select("page_id", F.md5(doc).alias("document")).distinct()
 
 
+PARTS = f"""WITH n AS (SELECT DISTINCT page_id, node_id, tag, attrs, text FROM nodes), t AS (SELECT page_id, arg_min({Q.strip('text')}, node_id) AS title FROM n WHERE tag = 'title' GROUP BY 1),
+    l AS (SELECT page_id, arg_min(attrs['href'], node_id) AS href FROM n WHERE tag = 'link' AND {Q.strip("attrs['rel']")} = 'canonical' AND attrs['href'] <> '' GROUP BY 1)"""
+
+
+@query(
+    PARTS + """ SELECT p.page_id, coalesce(l.href, CASE WHEN html IS NOT NULL THEN p.url END) AS canonical_url, CASE WHEN html IS NULL OR trim(html) = '' THEN 'Document is empty' WHEN nullif(t.title, '') IS NULL THEN 'no title' END AS error_msg, coalesce(t.title, '') <> '' AND html IS NOT NULL AS titled
+    FROM (SELECT DISTINCT page_id, url, html FROM pages) p LEFT JOIN t USING (page_id) LEFT JOIN l USING (page_id)"""
+)
+def article_parts(spark, d):
+    """What the pipeline tells of every page besides its content: address, error, whether it has a title."""
+    a = article.extract_articles(spread(table(spark, d, "pages").select("page_id", "url", "html").distinct()))
+    return a.select("page_id", "canonical_url", "error_msg", F.col("title").isNotNull().alias("titled"))
+
+
 @query()
 def article_extract(spark, d):
     return article.extract_articles(spread(table(spark, d, "pages").select("page_id", "url", "html"))).distinct()
