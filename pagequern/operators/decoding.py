@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import struct
 
 import pandas as pd
@@ -10,21 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-
-def detect(raw: bytes) -> str:
-    """A charset the bytes can be read in: a mark at the start, valid UTF-8, else the commonest of the rest (E5)."""
-    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
-        if raw.startswith(mark):
-            return name
-    for name in ("utf-8", "shift_jis", "gb18030"):
-        try:
-            s = raw.decode(name)
-        except UnicodeDecodeError:
-            continue
-        if name == "utf-8" or sum("぀" <= c <= "鿿" for c in s) > 0.1 * len(s):
-            return name
-    return "windows-1252"
+from ..functions.charsets import PYTHON, detect
 
 
 def _decoded(body: pd.Series, declared: pd.Series) -> pd.DataFrame:
@@ -35,7 +20,7 @@ def _decoded(body: pd.Series, declared: pd.Series) -> pd.DataFrame:
             continue
         name = c or detect(bytes(b))
         try:
-            out.append((name, bytes(b).decode(name, "ignore"), None))
+            out.append((name, bytes(b).decode(PYTHON.get(name, name), "ignore"), None))
         except LookupError:
             out.append((name, None, f"unknown encoding: {name}"))
     return pd.DataFrame(out, columns=["charset", "html", "error"])

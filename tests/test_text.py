@@ -141,3 +141,33 @@ def test_srcset_and_headers(spark):
     df = spark.createDataFrame(list(enumerate(heads)), "i int, h string").withColumn("b", F.unhex("h"))
     s = F.coalesce(T.png_size(F.col("b")), T.gif_size(F.col("b")), decoding.jpeg_column(F.col("b")))
     assert [(r.s and (r.s.width, r.s.height)) for r in df.select("i", s.alias("s")).orderBy("i").collect()] == [(640, 480), (320, 61441), (640, 640), (None, None), (None, None), (640, 480)]
+
+
+RU = "Городской совет закрыл старый мост, потому что весной вода поднялась выше обычного. Жители недовольны решением."
+ZH = "市议会关闭了旧桥,因为春天的水位比平时高。居民对这个决定不满意,他们要求尽快修好。"
+BYTES = [
+    (RU, "windows-1251"), (RU, "koi8-r"), (RU, "iso-8859-5"), (RU, "ibm866"), (ZH, "gb18030"), ("市議會關閉了舊橋,因為春天的水位比平時高。居民對這個決定不滿意,他們要求盡快修好。", "big5"),
+    ("市議会は古い橋を閉鎖しました。春の水位がいつもより高かったからです。住民は決定に不満です。", "shift_jis"), ("市議会は古い橋を閉鎖しました。春の水位がいつもより高かったからです。住民は決定に不満です。", "euc-jp"),
+    ("시의회는 봄에 물이 평소보다 높아져 오래된 다리를 폐쇄했다. 주민들은 결정에 불만이다.", "windows-949"), ("Το δημοτικό συμβούλιο έκλεισε την παλιά γέφυρα την άνοιξη.", "windows-1253"), ("מועצת העיר סגרה את הגשר הישן באביב.", "windows-1255"),
+    ("أغلق مجلس المدينة الجسر القديم في الربيع.", "windows-1256"), ("สภาเมืองปิดสะพานเก่าในฤดูใบไม้ผลิ", "windows-874"), ("Le conseil a fermé le vieux pont à l’été; les élèves n’ont pas été prévenus.", "windows-1252"), ("Der Gemeinderat schloß die Brücke; für Fußgänger öffnet sie später.", "windows-1252"),
+    ("Belediye köprüyü kapattı; çünkü ırmağın suyu yükseldi, ağaçlar için şaşırtıcıydı.", "windows-1254"), ("Rada města zavřela starý most, protože řeka v létě příliš stoupla; žáci čekají.", "windows-1250"), ("Zażółć gęślą jaźń, proszę państwa; środa i wtorek są wolne.", "windows-1250"),
+    (RU, "utf-8"), (RU, "utf-16-le"), ("plain", "utf-8"), ("", "utf-8"), ("市議会は古い橋", "iso-2022-jp"),
+]
+
+
+@pytest.mark.parametrize("text, name", BYTES)
+def test_charset_detection(text, name):
+    from pagequern.functions.charsets import PYTHON, detect
+
+    page = f"<html><head><title>{text}</title></head><body><p>{text}</p></body></html>"
+    for x in (page, text):
+        if len(x) and (name != "utf-16-le" or x is page):
+            assert detect(x.encode(PYTHON.get(name, name))) == name
+
+
+def test_marks_and_broken_bytes():
+    from pagequern.functions.charsets import detect
+
+    assert detect("\ufeffx".encode("utf-8")) == "utf-8" and detect("\ufeffé".encode("utf-16-le")) == "utf-16-le"
+    assert detect(b"\x00") == "utf-8" and detect(bytes(range(128, 256)))
+    assert detect((RU + "ю").encode("utf-8")[:-1]) == "utf-8" and detect(b"\x93quoted\x94") == "windows-1252"
