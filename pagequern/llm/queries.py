@@ -76,7 +76,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .templates import residue
 
-    return residue(spread(table(spark, d, "articles").select("page_id", "site", "title", "clean_html")))
+    return residue(spread(table(spark, d, "articles").select("page_id", "site", "title", "clean_html")), table(spark, d, "lang_samples"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

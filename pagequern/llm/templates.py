@@ -7,26 +7,37 @@
    subtracted: what is left is the page's residual.  A page without content of its
    own in the residual keeps its messages: there they stand in the article's place.
 3. A field is reported if a line of its residual shows an unfilled placeholder,
-   filler, a template's default text, a server's error or access message, or a
-   notice on scripts or browser checks.  A title is one line and the whole field,
-   so nothing is subtracted from it.
-
-Body messages must begin a sentence, titles must be one as a whole (after the
-site's own name), so texts that only tell about such things are no evidence.
+   filler, or a sentence that a classifier takes for a template's default text, a
+   server's error or access message or a notice on scripts or browser checks.  The
+   classifier (logistic regression on hashed character n-grams of a sentence) is
+   fitted on the labelled table of template_table and on at most FIT_ROWS reference
+   texts as ordinary sentences.  A title is one line and the whole field, so nothing
+   is subtracted from it.
+
+A sentence must be a message as a whole, titles must be one (after the site's own
+name), so texts that only tell about such things are no evidence.
 Literal text (code, pre) is not looked at.  Null and blank fields give nothing;
 a row delivered again counts once; pages without a site form one host.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 
 from ..plans.lineage import cut
-from . import blocks
-
+from . import blocks, sentences
+from . import codepoints as C
+from . import template_table as table
+from . import words as W
+
+FIT_ROWS = 5_000
+DIMENSIONS = 1 << 15
+MESSAGE_SCORE = 1.4  # log-odds from which on a sentence is a message
 RECURRENT_SHARE = 0.3  # of a host's other pages
 
 # Placeholders of template languages.
@@ -61,78 +72,6 @@ FILLER = frozenset(
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 
-# How messages begin, by kind; each must begin a sentence.
-MESSAGES = [
-    # not found, moved, server errors
-    r"error \d{3}\b",
-    r"\d{3} (?:not found|forbidden|bad gateway|internal server error|service unavailable|unauthorized|gateway time-?out)",
-    r"(?:the|this) (?:page|document|file|resource|article) (?:you (?:requested|are looking for|were looking for)|has moved|could not be found|cannot be found|does not exist|no longer exists|was not found)",
-    r"(?:sorry|oops),? .{0,40}(?:page|error|went wrong)",
-    r"an? (?:unexpected |internal )?(?:server |application )?error (?:has )?occurred",
-    r"(?:service|site|page) (?:is )?(?:temporarily )?unavailable",
-    r"gateway time-?out",
-    r"bad gateway",
-    r"too many requests",
-    r"access (?:is |was )?denied\b(?! (?:to|for|by|after)\b)",
-    r"you do(?: not|n.t) have permission",
-    r"your session (?:has )?(?:expired|timed out)",
-    r"page (?:not found|introuvable)",
-    r"la página (?:solicitada|que busca) no (?:existe|se encuentra|está)",
-    r"página no encontrada",
-    r"a página (?:solicitada|pedida) não (?:existe|foi encontrada)",
-    r"la page (?:demandée|recherchée) (?:est introuvable|n.existe)",
-    r"la pagina (?:richiesta|cercata) non (?:esiste|è stata trovata)",
-    r"die (?:angeforderte|gesuchte) seite (?:existiert|wurde|konnte)",
-    r"seite nicht gefunden",
-    r"de (?:opgevraagde|gevraagde) pagina (?:bestaat|is) niet",
-    r"sidan (?:du sökte|kunde inte|finns inte|hittades inte)",
-    r"(?:aradığınız|istenen) sayfa bulunamadı",
-    r"(?:запрошенная|запрашиваемая) страница не",
-    r"страница не найдена",
-    r"(?:您访问的|您请求的)?页面不存在",
-    r"お探しのページは",
-    r"ページが見つかりません",
-    r"(?:आपके द्वारा )?(?:अनुरोधित|खोजा गया) पृष्ठ",
-    r"ไม่พบหน้า",
-    # scripts and browser checks
-    r"(?:please )?(?:enable|turn on|activate|allow) (?:javascript|scripts|cookies)\b",
-    r"javascript (?:is|must be|has been) (?:disabled|enabled|required|turned off)",
-    r"this (?:application|site|page|website|app) (?:needs|requires) (?:scripts|javascript)",
-    r"you need to enable javascript",
-    r"your browser (?:does not support|is not supported|has javascript)",
-    r"checking (?:that )?(?:if )?(?:your )?(?:browser|connection)",
-    r"(?:veuillez |merci d.)activer javascript",
-    r"para (?:ver|continuar|usar).{0,40}(?:activar|active|habilite|habilitar|ative|ativar) (?:o )?javascript",
-    r"bitte aktivieren sie javascript",
-    r"(?:attiva|abilita|per continuare,? attiva) javascript",
-    r"(?:schakel|zet) javascript (?:in|aan)",
-    r"(?:aktivera|slå på) javascript",
-    r"(?:lütfen )?javascript.{0,3}i? etkinleştirin",
-    r"(?:для работы сайта |пожалуйста, )?включите javascript",
-    r"请启用\s?javascript",
-    r"このページを表示するには\s?javascript",
-    r"javascript\s?を有効にしてください",
-    r"(?:कृपया )?javascript (?:सक्षम|चालू)",
-    r"(?:กรุณา|โปรด)เปิด(?:ใช้งาน)?\s?javascript",
-    # filler and default texts of templates
-    r"this is (?:a|an example of a|your first) (?:placeholder|sample|default|dummy|test|post)\b",
-    r"(?:sample|placeholder|dummy|default) (?:text|content|paragraph)",
-    r"(?:insert|enter|write|add|type|put) your (?:story|text|content|headline|title|article|message) here",
-    r"your (?:headline|title|text|story|content) (?:goes )?here",
-    r"content (?:is )?coming soon",
-    r"hier (?:kommt|steht|folgt).{0,30}(?:text|titel|inhalt)\b",
-    r"esto es un texto de (?:relleno|ejemplo|prueba)",
-    r"(?:este é um|isto é um) texto de (?:exemplo|preenchimento)",
-    r"ceci est un texte (?:d.exemple|de remplissage|factice)",
-    r"questo è un testo (?:di esempio|segnaposto|di prova)",
-    r"(?:titre|texte|contenu) (?:de la page )?ici\b",
-    r"(?:ваш|здесь будет|это пример) (?:текст|заголовок)",
-    r"(?:这里是|此处为)(?:示例|占位)",
-    r"(?:ここに|これは)(?:テキスト|サンプル)",
-    r"lorem ipsum\b",
-]
-SENTENCE_START = r"(?:^|[.!?…。！？:|\n»”\"]\s*|\}\}\s*|__\s*)"
-MESSAGE = re.compile(SENTENCE_START + r"(" + "|".join(MESSAGES) + r")", re.IGNORECASE)
 # Titles that are a server's or a template's as a whole.
 TITLE = re.compile(
     r"^(?:"
@@ -184,18 +123,90 @@ def title_evidence(title: str | None) -> bool:
     return any(p and TITLE.match(p) for p in parts)
 
 
-def body_parts(html: str | None) -> tuple[list[str], list[str]]:
-    """Lines of a body that show evidence, and the others."""
-    out: tuple[list[str], list[str]] = [], []
-    for b in blocks.blocks(html, literal=False):
-        s = SPACE.sub(" ", b.text.strip())
-        out[not (placeholder(s) or filler(s) or MESSAGE.search(s))].append(s)
+def hashed(sentences_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, hashed n-gram) of all n-grams of 2 to 5 characters of sentences in their normal form with marked ends."""
+    cp, off = C.from_list(["\u0002" + normal_line(s) + "\u0003" for s in sentences_])
+    row = C.rows_of(off)
+    rows, keys = [], []
+    h = cp.astype(np.uint64)
+    for n in range(2, 6):
+        if len(cp) < n:
+            break
+        h = h[:-1] * W.MULT + cp[n - 1 :].astype(np.uint64)
+        ok = row[: len(h)] == row[n - 1 :]
+        rows.append(row[: len(h)][ok])
+        keys.append((W.mix(h[ok]) % np.uint64(DIMENSIONS)).astype(np.int64))
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def labelled() -> tuple[list[str], list[str]]:
+    """Sentences of the table that are messages, and those that are none."""
+    return [m for v in table.MESSAGES.values() for m in table.split(v)], table.split(table.TELLING) + table.split(table.MENUS)
+
+
+class Evidence:
+    """Logistic regression on hashed n-grams; classes weigh the same; adaptive gradient steps."""
+
+    def __init__(self, texts: list[str] = (), steps: int = 250, messages: list[str] | None = None, telling: list[str] | None = None):
+        ordinary = [u for us in sentences.split_list(list(texts)) for u in us]
+        messages = messages or labelled()[0]
+        others = ordinary + (telling or labelled()[1]) * 2
+        y = np.array([1.0] * len(messages) + [0.0] * len(others))
+        weigh = np.where(y > 0, len(y) / (2 * len(messages)), len(y) / (2 * len(others)))
+        row, key = hashed(messages + others)
+        scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
+        self.w, self.b = np.zeros(DIMENSIONS), 0.0
+        seen, seen_b = np.full(DIMENSIONS, 1e-8), 1e-8
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=self.w[key], minlength=len(y)) * scale + self.b, -30, 30)))
+            d = (p - y) * weigh
+            g = np.bincount(key, weights=(d * scale)[row], minlength=DIMENSIONS) / len(y) + 1e-5 * self.w
+            seen += g * g
+            seen_b += d.mean() ** 2
+            self.w -= 0.5 * g / np.sqrt(seen)
+            self.b -= 0.5 * d.mean() / np.sqrt(seen_b)
+
+    def score(self, sentences_: list[str]) -> np.ndarray:
+        """Log-odds that each sentence is a message."""
+        row, key = hashed(sentences_)
+        n = np.bincount(row, minlength=len(sentences_))
+        return np.bincount(row, weights=self.w[key], minlength=len(sentences_)) / np.sqrt(np.maximum(n, 1)) + self.b
+
+    def shows(self, lines: list[str]) -> np.ndarray:
+        """True for lines with a sentence that is a message."""
+        units = sentences.split_list(lines)
+        flat = [u for us in units for u in us]
+        owner = np.repeat(np.arange(len(units)), [len(us) for us in units])
+        out = np.zeros(len(lines), bool)
+        if flat:
+            out[owner[self.score(flat) > MESSAGE_SCORE]] = True
+        return out
+
+
+@functools.lru_cache(1)
+def default_evidence() -> Evidence:
+    """The classifier without reference texts."""
+    return Evidence()
+
+
+def bodies_parts(bodies: list[str | None], evidence: Evidence | None = None) -> list[tuple[list[str], list[str]]]:
+    """Lines of each body that show evidence, and the others."""
+    lines = [[SPACE.sub(" ", b.text.strip()) for b in blocks.blocks(html, literal=False)] for html in bodies]
+    flat = [s for ls in lines for s in ls]
+    shown = (evidence or default_evidence()).shows(flat)
+    out, at = [], 0
+    for ls in lines:
+        parts: tuple[list[str], list[str]] = [], []
+        for s in ls:
+            parts[not (shown[at] or placeholder(s) or filler(s))].append(s)
+            at += 1
+        out.append(parts)
     return out
 
 
 def body_lines(html: str | None) -> list[str]:
     """Lines of a body that show evidence."""
-    return body_parts(html)[0]
+    return bodies_parts([html])[0][0]
 
 
 def normal_line(s: str, evidence: bool = True) -> str:
@@ -207,15 +218,15 @@ def line_hash(s: str, evidence: bool = True) -> int:
     return int.from_bytes(hashlib.blake2b(normal_line(s, evidence).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def lines_of(articles):
+def lines_of(articles, evidence: Evidence):
     """page_id, site, title (shows evidence), shown and others (hashes of body lines with and without evidence), one row a page."""
     from pyspark.sql import functions as F
 
     def run(pdfs):
-        for pdf in pdfs:
+        for pdf in (piece for whole in pdfs for piece in C.frames(whole, "clean_html")):
             rows = []
-            for p, site, title, html in zip(pdf["page_id"], pdf["site"], pdf["title"], pdf["clean_html"]):
-                shown, others = ({line_hash(s, e) for s in part} for part, e in zip(body_parts(html), (True, False)))
+            for p, site, title, parts in zip(pdf["page_id"], pdf["site"], pdf["title"], bodies_parts(pdf["clean_html"].tolist(), evidence)):
+                shown, others = ({line_hash(s, e) for s in part} for part, e in zip(parts, (True, False)))
                 rows.append((p, site, title_evidence(title), sorted(shown), sorted(others - shown)))
             yield pd.DataFrame(rows, columns=["page_id", "site", "title", "shown", "others"])
 
@@ -235,14 +246,16 @@ def recurrent(lines, share: float = RECURRENT_SHARE):
     return often.join(pages, "site").where(F.col("n") - 1 >= share * (F.col("pages") - 1)).select("site", "h")
 
 
-def residue(articles, share: float = RECURRENT_SHARE):
+def residue(articles, samples=None, share: float = RECURRENT_SHARE, fit_rows: int = FIT_ROWS):
     """(page_id, field_name) of titles and bodies with evidence in what is left without the host's boilerplate.
 
-    articles: page_id, site, title, clean_html; other columns are ignored.
+    articles: page_id, site, title, clean_html; samples: text, reference texts of the
+    languages to expect; other columns are ignored.
     """
     from pyspark.sql import functions as F
 
-    lines = lines_of(articles)
+    texts = [r.text for r in samples.where("text IS NOT NULL").select("text").orderBy(F.xxhash64("text")).limit(fit_rows).collect()] if samples is not None else []
+    lines = lines_of(articles, Evidence(texts) if texts else default_evidence())
     often = cut(recurrent(lines, share))
     bodies = lines.where(F.size("shown") > 0)
     both = F.array(F.struct(F.lit(True).alias("shown"), F.col("shown").alias("hs")), F.struct(F.lit(False).alias("shown"), F.col("others").alias("hs")))
