@@ -9,7 +9,7 @@ language table.
 
 MESSAGES = {
     "en": """The page you requested could not be found.|The page you are looking for does not exist.|This page has moved or no longer exists.|The requested URL was not found on this server.|The document has moved.|Check the address or go back to the start page.|Sorry, this page is not available.|Oops, something went wrong.
-        An unexpected server error occurred.|An internal error has occurred.|Please try again later.|The service is temporarily unavailable.|The site is unavailable because of maintenance.|Gateway timeout while contacting the upstream server.|Bad gateway.|503 Service Unavailable|404 Not Found|500 Internal Server Error|502 Bad Gateway|403 Forbidden|Error 404.|Error 500.|Too many requests.|Your request was blocked.
+        An unexpected server error occurred.|An internal error has occurred.|Please try again later.|The service is temporarily unavailable.|The site is unavailable because of maintenance.|Gateway timeout while contacting the upstream server.|Bad gateway.|503 Service Unavailable|404 Not Found|500 Internal Server Error|502 Bad Gateway|403 Forbidden|Error 404.|Error 500.|Too many requests.|You have sent too many requests.|Too many requests from this address.|Wait a minute and retry.|The request timed out.|Your request was blocked.
         Access denied.|Access to this resource is denied.|You do not have permission to view this page.|You are not authorized to open this page.|Your session has expired.|Please sign in again.|Please log in to continue.
         Please enable JavaScript to view this page.|JavaScript is disabled in your browser.|You need to enable JavaScript to run this app.|This site requires JavaScript.|This application needs scripts to run.|Please turn on cookies.|Your browser does not support scripts.|Your browser is not supported.|Checking your browser before you continue.|Checking if the connection is secure.|Verify that you are human.
         Sample text goes here.|Replace it with your own words.|This is a placeholder paragraph.|Insert your story here.|Enter your text here.|Your content goes here.|Content coming soon.|This is an example of a post.|This is your first post.|Edit or delete it, then start writing.|Default text of the template.|Lorem ipsum dolor sit amet.""",
@@ -44,4 +44,4 @@ MENUS = r"""Contact|Contacto|Contactos|Contatti|Contato|Kontakt|İletişim|Ко
     Archive|Archiv|Archives|Archivo|Archivio|Arquivo|Archief|Arkiv|Arşiv|Архив|存档|アーカイブ|संग्रह|คลัง|About us|Über uns|Qui sommes-nous|Quiénes somos|Chi siamo|Sobre nós|Over ons|Om oss|Hakkımızda|О нас|关于我们|会社案内|हमारे बारे में|เกี่ยวกับเรา|Shop|Boutique|Tienda|Negozio|Loja|Winkel|Butik|Mağaza|Магазин|商店|ショップ|दुकान|ร้านค้า|Advertisement|Anzeige|Publicité|Publicidad|Pubblicità|Publicidade|Advertentie|Annons|Reklam|Реклама|广告|広告|विज्ञापन|โฆษณา
     Related stories|Most read|You may also like|Auch interessant|Meistgelesen|Les plus lus|À lire aussi|Te puede interesar|Lo más leído|Ti potrebbe interessare|I più letti|Mais lidas|Veja também|Meest gelezen|Lees ook|Mest lästa|Läs också|En çok okunanlar|İlginizi çekebilir|Читайте также|Самое читаемое|相关阅读|最多阅读|関連記事|よく読まれている記事|संबंधित खबरें|सबसे ज्यादा पढ़ा गया|ข่าวที่เกี่ยวข้อง|อ่านมากที่สุด
     Accept all or change your settings.|Alle akzeptieren oder Einstellungen ändern.|Tout accepter ou modifier les réglages.|Aceptar todo o cambiar la configuración.|Accetta tutto o modifica le impostazioni.|Aceitar tudo ou alterar as definições.|Accepteer alles of wijzig uw instellingen.|Godkänn alla eller ändra inställningar.|Tümünü kabul et veya ayarları değiştir.|Принять все или изменить настройки.|全部接受或更改设置。|すべて許可するか設定を変更してください。|सभी स्वीकार करें या सेटिंग बदलें।|ยอมรับทั้งหมดหรือเปลี่ยนการตั้งค่า
-    無料のニュースレターに登録してください。|订阅我们的免费通讯。|Ücretsiz bültenimize abone olun.|Schrijf u in voor de gratis nieuwsbrief.|Assine a nossa carta gratuita.|निःशुल्क समाचार पत्र की सदस्यता लें।|สมัครรับจดหมายข่าวฟรี|Imprint, privacy, terms of use.|Impressum, Datenschutz.|Aviso legal, privacidad.|Mentions légales.|1.|2.|§ 3.|OK|✓|×|→|Dr.|No.|p. 12|10:30|x = 1|\\textbf{bold}|== History ==|[[town]]|said Ann.|zei Anna.|dit Anne."""
+    無料のニュースレターに登録してください。|订阅我们的免费通讯。|Ücretsiz bültenimize abone olun.|Schrijf u in voor de gratis nieuwsbrief.|Assine a nossa carta gratuita.|निःशुल्क समाचार पत्र की सदस्यता लें।|สมัครรับจดหมายข่าวฟรี|Imprint, privacy, terms of use.|Impressum, Datenschutz.|Aviso legal, privacidad.|Mentions légales.|1.|2.|§ 3.|OK|✓|×|→|Dr.|No.|p. 12|10:30|x = 1|\\textbf{bold}|== History ==|[[town]]|© 2024 The Daily.|© 2023 Anzeiger Online.|© 2025 Le Courrier.|![a view](/img/a.jpg)|[a link](https://a.example/b)|**bold** word|\\emph{soft}|said Ann.|zei Anna.|dit Anne."""

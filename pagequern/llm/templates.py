@@ -36,8 +36,10 @@ from . import template_table as table
 from . import words as W
 
 FIT_ROWS = 5_000
-DIMENSIONS = 1 << 15
-MESSAGE_SCORE = 1.4  # log-odds from which on a sentence is a message
+BITS = 15
+DIMENSIONS = 1 << BITS  # of hashed n-grams
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+MESSAGE_SCORE = 1.8  # log-odds from which on a sentence is a message
 RECURRENT_SHARE = 0.3  # of a host's other pages
 
 # Placeholders of template languages.
@@ -96,7 +98,12 @@ SPACE = re.compile(r"\s+")
 DIGIT = re.compile(r"\d")
 
 
+SIGN = re.compile(r"[{}$#<%@\[\]_]|[XYxy]{2}/")  # one of which every placeholder has
+
+
 def placeholder(text: str) -> bool:
+    if not SIGN.search(text):
+        return False
     for m in PLACEHOLDER.finditer(text):
         s = m.group()
         if CAPITALS.match(s) and s != s.upper() and not s.startswith(("%(", "@")):
@@ -109,8 +116,8 @@ def placeholder(text: str) -> bool:
 
 def filler(text: str) -> bool:
     """Most words of a longer text are those of the filler text."""
-    words = [w.lower() for w in WORD.findall(text)]
-    return len(words) >= 4 and sum(w in FILLER for w in words) >= 0.8 * len(words)
+    words = WORD.findall(text.lower())
+    return len(words) >= 4 and sum(map(FILLER.__contains__, words)) >= 0.8 * len(words)
 
 
 def title_evidence(title: str | None) -> bool:
@@ -125,7 +132,12 @@ def title_evidence(title: str | None) -> bool:
 
 def hashed(sentences_: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(sentence, hashed n-gram) of all n-grams of 2 to 5 characters of sentences in their normal form with marked ends."""
-    cp, off = C.from_list(["\u0002" + normal_line(s) + "\u0003" for s in sentences_])
+    if not len(sentences_):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # all at once: each between marks that occur in no text
+    text = "\u0003\u0002".join(s.replace("\u0003", " ") for s in sentences_)
+    cp, _ = C.from_list([DIGIT.sub("0", f"\u0002{text.lower()}\u0003")])
+    off = np.concatenate([[0], np.flatnonzero(cp == 3) + 1])
     row = C.rows_of(off)
     rows, keys = [], []
     h = cp.astype(np.uint64)
@@ -135,7 +147,8 @@ def hashed(sentences_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = h[:-1] * W.MULT + cp[n - 1 :].astype(np.uint64)
         ok = row[: len(h)] == row[n - 1 :]
         rows.append(row[: len(h)][ok])
-        keys.append((W.mix(h[ok]) % np.uint64(DIMENSIONS)).astype(np.int64))
+        h_ok = h[ok]
+        keys.append((((h_ok ^ (h_ok >> np.uint64(29))) * MIX) >> np.uint64(64 - BITS)).astype(np.int64))
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
