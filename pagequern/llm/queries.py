@@ -117,5 +117,9 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return _truncation(spark, d).by_source()
 
 
+#: what the bench times
+HEADLINE = [f"p{n}_{'mixture' if n == 9 else 'found'}" for n in range(1, 11)]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
