@@ -192,17 +192,17 @@ def summary_column(sents: Column, language: Column, n: int) -> Column:
     return F.pandas_udf(_summaries, "string")(sents, language, F.lit(n))
 
 
-def _told(sents: pd.Series, n: pd.Series) -> pd.DataFrame:
+def _told(header: pd.Series, sents: pd.Series, n: pd.Series) -> pd.DataFrame:
     out = []
-    for s, k in zip(sents, n):
-        lang = voting.vote(" ".join(s)) if s is not None else None
+    for h, s, k in zip(header, sents, n):
+        lang = voting.vote(" ".join([h or "", *s])) if s is not None and len(s) else None
         out.append((lang, summarise(list(s), lang or "en", int(k)) if s is not None else None))
     return pd.DataFrame(out, columns=["language", "summary"])
 
 
-def told_column(sents: Column, n: int) -> Column:
-    """Struct of the language and the summary of each row's sentences, by one Arrow UDF."""
-    return F.pandas_udf(_told, "struct<language:string,summary:string>")(sents, F.lit(n))
+def told_column(header: Column, sents: Column, n: int) -> Column:
+    """Struct of the language (of title and sentences) and the summary of each row's sentences, by one Arrow UDF."""
+    return F.pandas_udf(_told, "struct<language:string,summary:string>")(header, sents, F.lit(n))
 
 
 def _stems(words: pd.Series, language: pd.Series) -> pd.Series:

@@ -198,7 +198,7 @@ def extract_articles(pages: DataFrame, options: ExtractOptions | None = None, si
     title = F.when(F.col("raw_title").isNotNull(), T.clean_entities(T.cleaned_title(F.col("title_text"))))
     s = s.withColumn("title", title).withColumn("image_url", best_image(F.col("images"), o))
     whole = F.filter(F.flatten(F.transform("paragraphs", S.sentences)), S.complete)
-    s = s.withColumn("told", S.told_column(S.sentences(F.array_join(whole, " ")), o.summary_sentences))
+    s = s.withColumn("told", S.told_column(F.col("title"), S.sentences(F.array_join(whole, " ")), o.summary_sentences))
     s = s.withColumn("language", F.col("told.language")).withColumn("description", T.clean_description(F.col("told.summary")))
     s = s.withColumn("description", F.when(F.length("description") > 0, F.col("description")))
     doc = F.when(F.col("body").isNotNull(), document(F.col("language"), F.col("title"), F.col("description"), F.col("image_url"), F.col("body"), o.compat))

@@ -37,6 +37,15 @@ class PageSource(DataSource):
         return _Reader(self.options)
 
 
+def read_pages(spark, urls: list[str], options=None, timeout: float = 30.0, partitions: int = 8):
+    """Pages of a list of URLs, fetched with the headers of the options."""
+    spark.dataSource.register(PageSource)
+    reader = spark.read.format("pages").option("urls", "\n".join(urls)).option("timeout", str(timeout)).option("partitions", str(partitions))
+    for k, v in dict(options.headers if options else {}).items():
+        reader = reader.option(f"header.{k}", v)
+    return reader.load()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.urls = [u.strip() for u in options.get("urls", "").split("\n") if u.strip()]

@@ -195,3 +195,38 @@ def test_sizes_of_images_are_fetched(spark):
 def test_spans_of_elements():
     assert dom.spans([0, 1, 2, 3], [3, 2, 2, 3], ["a", "b", None, "e"], [None, "d", "c", None]) == ("abcde", [0, 1, 2, 4], [5, 3, 2, 5])
     assert dom.spans([], [], [], []) == ("", [], [])
+
+
+def test_sql_surface(spark):
+    from pagequern.plans import surface
+
+    surface.register(spark)
+    spark.createDataFrame([(1, "<div id='a' class='b c'>x<p>y</p>z</div>"), (2, None)], "page_id int, html string").createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT page_id, n.tag, n.text, n.tail FROM some_pages, LATERAL html_nodes(html) n WHERE n.tag IN ('div', 'p')").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "div", "x", None), (1, "p", "y", "z")]
+    lines = [r.path for r in spark.sql("SELECT t.* FROM some_pages, LATERAL page_tree(html) t").collect()]
+    assert any(x.endswith("div#a.b.c > p") for x in lines)
+    r = spark.sql("SELECT clean_text('a \t\t b') AS a, norm_title('A — «b»') AS b, vote_language('der Hund und die Katze') AS c, detect_charset(encode('é', 'UTF-8')) AS d, clean_text(null) AS e").first()
+    assert tuple(r) == ("a  b".replace("  ", " "), "A b", "de", "utf-8", None)
+
+
+def test_headers_of_options_are_sent(spark):
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.headers.get("X-Who"))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"<p>hi</p>")
+
+        def log_message(self, *a):
+            pass
+
+    srv = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=srv.serve_forever, daemon=True).start()
+    from pagequern.sources.web import read_pages
+
+    got = read_pages(spark, [f"http://127.0.0.1:{srv.server_port}/{i}" for i in range(3)], ExtractOptions(headers={"X-Who": "me"})).collect()
+    srv.shutdown()
+    assert len(got) == 3 and set(seen) == {"me"}
