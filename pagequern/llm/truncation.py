@@ -29,6 +29,7 @@ kind markdown.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -65,7 +66,8 @@ MARK = re.compile(r"\s*(?:\.\.\.|…|\[(?:\.\.\.|…|truncated|cut|more)\]|<(?:t
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d]\w*|[^\w\s]")
 STOP = ".!?。！？।"
 AFTER_STOP = "\"'”’»)]*_"
-ENDER = re.compile(r"([^\W\d_]{2,})[\"'”’»)*_]*[.!?](?=\s|$)|([぀-ヿ㐀-鿿]{2})[。！？]")
+STOPPED = re.compile(r"[.!?](?=\s|\Z)|[。！？]")
+CLOSERS = "\"'”’»)*_"  # between a sentence's last word and its stop
 LETTERS = re.compile(r"[^\W\d_]{2,}")
 ANY = "*"  # stands for all sources together, whose limits hold for texts without a source
 MARK_SIZE = 64  # no mark is longer
@@ -121,8 +123,9 @@ def open_statement(code: str) -> bool:
     return bool(depth)
 
 
+@functools.lru_cache(1 << 16)
 def last_tokens(line: str) -> list[str]:
-    """The last four tokens of a line, with numbers by their form."""
+    """The last four tokens of a line, with numbers by their form; many lines recur, so results are shared."""
     got = TOKEN.findall(line[-160:]) if len(line) > 160 else []
     if len(got) < 5:  # the first of these may be a part
         got = TOKEN.findall(line)
@@ -252,13 +255,33 @@ def sentence_ends(text: str, last: bool) -> list[str]:
         m = mark_at(text)
         text = text[: m.start()].rstrip() if m else text
     out = []
-    for m in ENDER.finditer(text):
-        rest = text[m.end() : m.end() + 9]
-        solid = rest.lstrip()
-        rest, after = rest[: len(rest) - len(solid)], solid[:1]
-        if (last and not after) or ("\n" not in rest and (after.islower() or after.isdigit())):
-            continue
-        out.append((m[1] or "").lower() or m[2])
+    for m in STOPPED.finditer(text):
+        at = m.end()
+        j = at - 1
+        if text[j] in "。！？":
+            word = text[j - 2 : j] if j > 1 else ""
+            if not WIDE.fullmatch(word):
+                continue
+        else:
+            while j and text[j - 1] in CLOSERS:
+                j -= 1
+            k = j
+            while k and text[k - 1].isalpha():
+                k -= 1
+            if j - k < 2:
+                continue
+            word = text[k:j].lower()
+        after = text[at + 1 : at + 2] if text[at : at + 1] == " " else ""
+        if after and not after.isspace():  # the common case: one space
+            if after.islower() or after.isdigit():
+                continue
+        else:
+            rest = text[at : at + 9]
+            solid = rest.lstrip()
+            rest, after = rest[: len(rest) - len(solid)], solid[:1]
+            if (last and not after) or ("\n" not in rest and (after.islower() or after.isdigit())):
+                continue
+        out.append(word)
     return out
 
 
@@ -282,7 +305,10 @@ def _digest(batches):
             row = np.searchsorted(off, first, "right") - 1
             bands, own = band_hashes(h, row, b.num_rows)
             ends_at = np.searchsorted(row, np.arange(b.num_rows), "right")
-            closes, lasts, same, size, anchors = [], [], [], [], []
+            begins_at = np.concatenate([[0], ends_at[:-1]])
+            told = np.flatnonzero(ends_at - begins_at > SHINGLE)
+            tails = dict(zip(told.tolist(), zip(*(x.tolist() for x in anchors(cp, first, h, ends_at[told])))))
+            closes, lasts, same, size, ends_with = [], [], [], [], []
             docs, ended, occurs = Counter(), Counter(), Counter()  # of the slice; they stand in its first row
             cols = [b.column(c).to_pylist() for c in ("text", "kinds", "starts", "lengths")]
             for text, kinds, starts, lengths in zip(*cols):
@@ -309,11 +335,18 @@ def _digest(batches):
                 docs.update(set(ends))
                 same.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
                 size.append(len(text))
-                n = int(ends_at[len(size) - 1])
-                anchors.append(anchor(text, h[int(ends_at[len(size) - 2]) if len(size) > 1 else 0 : n]) if own[len(size) - 1] else None)
+                whole_text = text.rstrip()
+                mark = mark_at(whole_text)
+                got = tails.get(len(size) - 1)
+                if mark:
+                    whole_text = whole_text[: mark.start()].rstrip()
+                    cp1, off1 = C.from_list([whole_text])
+                    first1, _, h1 = W.find(cp1, off1)
+                    got = tuple(int(x[0]) for x in anchors(cp1, first1, h1, np.array([len(h1)]))) if len(h1) > SHINGLE else None
+                ends_with.append(dict(zip(("part", "whole", "last"), got)) if got and own[len(size) - 1] and can_tell(whole_text) else None)
             enders = [[{"word": w, "docs": docs[w], "ends": ended[w], "occurs": k} for w, k in occurs.items()], *[[]] * (b.num_rows - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, anchors)], pa.list_(pa.int64())), pa.array(anchors, anchor_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
+                [b.column("doc_id"), b.column("src"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([x if y is not None else [] for x, y in zip(own, ends_with)], pa.list_(pa.int64())), pa.array(ends_with, anchor_typ), pa.array(closes, typ), pa.array(lasts, last_typ), pa.array(enders[: b.num_rows], ends_typ)],
                 names=["doc_id", "src", "size", "same", "bands", "own", "anchor", "closings", "last", "enders"],
             )
 
@@ -461,25 +494,19 @@ def ender_of(word: str) -> str:
     return word.lower()
 
 
-def anchor(text: str, h: np.ndarray) -> dict | None:
-    """Hashes of the five words before the last one with its first letter, of these six words, and of the last word.
+def anchors(cp: np.ndarray, first: np.ndarray, h: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words before each place in stop: hashes of the five before the last with its first letter, of all six, and of the last.
 
-    The last word may be a part only.  None if the text's end can't tell a cut.
+    The last word may be a part only.
     """
-    s = text.rstrip()
-    m = mark_at(s)
-    if m:
-        s = s[: m.start()].rstrip()
-        h = W.find(*C.from_list([s]))[2]
-    if len(s) < END or s[-1] in STOP or len(h) <= SHINGLE:
-        return None
-    first, _, tail = W.find(*C.from_list([s[-2 * MARK_SIZE :]]))
-    if not len(tail) or tail[-1] != h[-1]:  # a word longer than that
-        return None
-    letter = np.uint64(ord(s[-2 * MARK_SIZE :][int(first[-1])].lower()))
-    five, six = _runs(h[-SHINGLE - 1 :], np.zeros(1, np.int64))
-    part = W.mix(five * W.MULT + letter)
-    return {"part": int(part.view(np.int64)[0]), "whole": int(six.view(np.int64)[0]), "last": int(h[-1:].view(np.int64)[0])}
+    five, six = _runs(h, stop - SHINGLE - 1)
+    letter = W.tables()[1][cp[first[stop - 1]]].astype(np.uint64)
+    return W.mix(five * W.MULT + letter).view(np.int64), six.view(np.int64), h[stop - 1].view(np.int64)
+
+
+def can_tell(s: str) -> bool:
+    """A text's end, without white space and mark, that can tell a cut."""
+    return len(s) >= END and s[-1] not in STOP
 
 
 def _runs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
