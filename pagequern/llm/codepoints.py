@@ -85,7 +85,7 @@ def pieces(batch: pa.RecordBatch, *columns: str):
 
 def frames(pdf, column: str):
     """The same for a pandas frame, by characters."""
-    upto = np.concatenate([[0], np.cumsum(pdf[column].str.len().fillna(0).to_numpy(np.int64))]) if len(pdf) else np.zeros(1, np.int64)
+    upto = np.cumsum([0, *(len(x) if isinstance(x, str) else 0 for x in pdf[column])])
     lo = 0
     while lo < len(pdf):
         hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE // 4, "right")) - 1)

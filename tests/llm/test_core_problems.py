@@ -548,3 +548,32 @@ def test_lengths_at_which_a_source_is_cut(spark):
     t = truncation.Terminality(truncation.digest(corpus(spark, rows)))
     assert {tuple(r) for r in t.limits().select("src", "size").collect()} == {("lab", 99), ("*", 99)}
     assert truncation.fragment("the columns and the col") and not truncation.fragment("the columns and the row") and not truncation.fragment("") and not truncation.fragment("a col of col")
+
+
+def test_odd_tables_give_defined_results(spark):
+    """Nulls in every column, blanks, repeated rows, clashing and extra columns, empty tables."""
+    long = "The river rose in the night and the old bridge was closed. " * 8_000
+    pages = spark.createDataFrame(
+        [(1, None, None, None, 1, "x"), (2, "a.example", "", "  ", 1, "x"), (3, None, "{{title}}", "<p>Please enable JavaScript to view this page.</p>", 1, "x"), (3, None, "{{title}}", "<p>Please enable JavaScript to view this page.</p>", 1, "x"), (4, "a.example", "T", f"<p>{long}</p>", 1, "x"), (None, None, None, "<p>x", 1, "x")],
+        "page_id long, site string, title string, clean_html string, n long, field_name string",
+    )
+    assert sorted(tuple(r) for r in templates.residue(pages).collect()) == [(3, "clean_html"), (3, "title")]
+    samples = spark.createDataFrame([(1, "A plain sentence. Another one."), (2, None)], "sample_id long, text string")
+    assert sorted(tuple(r) for r in templates.residue(pages, samples).collect()) == [(3, "clean_html"), (3, "title")]
+    assert templates.residue(pages.where("page_id > 9")).count() == 0
+    looks = lookalike.SameLook(pages.withColumn("key", F.lit(1)).withColumn("raw", F.lit(2)), "page_id", ["title", "clean_html"])
+    assert looks.pairs().count() == 0 and looks.classes().count() == 0
+    cell = "array<struct<kind:string,start_pos:int,len_chars:int>>"
+    docs = spark.createDataFrame(
+        [(1, None, None, None, "x"), (2, "s", " ", [], "x"), (3, "s", "A text that ends well.", [{"kind": None, "start_pos": None, "len_chars": None}], "x"), (4, None, long, None, "x"), (5, "s", "ab", [{"kind": "code", "start_pos": 0, "len_chars": 99}], "x"), (None, "s", "A text.", None, "x")],
+        f"doc_id long, source string, text string, cells {cell}, same string",
+    )
+    t = truncation.Truncation(docs)
+    assert {r.doc_id for r in t.by_copies().collect()} == set() and {r.doc_id for r in t.found().collect()} <= {3, 4, 5, None}
+    assert sum(r.documents for r in t.by_source().collect()) == 4
+    targets = spark.createDataFrame([(" S", 1.0, 2, 7), ("s", 0.5, None, 7), ("", 1.0, 1, 7)], "source string, target_share double, max_repeat int, tokens int")
+    m = mixing.Mixture(docs.withColumn("tokens", F.lit(1)).withColumn("src", F.lit("z")), targets)
+    assert {r.source for r in m.documents().collect()} == {"s"} and [r.most_copies for r in m.shares().collect()] == [2]
+    gone = boilerplate.unwanted_blocks(pages.select("page_id", F.col("clean_html").alias("html"), "title"), pages)
+    assert gone.where("page_id = 1").count() == 0
+    assert markup.shown_markup(pages).count() == 0 and markup.clean_bodies(pages.where("page_id > 9")).count() == 0
