@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import voting
+from .stemming import stem
 from .text import WS, let, strip
 
 GUARD = r"(^|[^\p{L}])(Dr|Mr|Mrs|Ms|Prof|St|Sr|Sra|Jr|No|Nr|Fig|vs|etc|ca|approx|e\.g|i\.e|[A-Z])\."
@@ -73,36 +74,6 @@ def ranks(sets: Column, iterations: int) -> Column:
     return F.when(F.size(sets) == 0, F.array().cast("array<double>")).otherwise(let(let(sets, matrix), of))
 
 
-# Inflectional endings by language, longest first; a stem keeps at least three letters.
-ENDINGS = {
-    "en": "ational fulness iveness ization ements ingly ement ments ness ings edly ment ing ies ed es ly s",
-    "de": "erinnen innen ungen erin ern est ung en er em es st e n s",
-    "fr": "issements issement ations ation ements ement euses euse eurs eur ives ive ées és ée er ez es é e s",
-    "es": "amientos amiento aciones ación mente adas ados idas idos ando iendo ada ado ida ido es as os ar er ir a e o s",
-    "it": "azioni azione mente ando endo ate ati ato ata are ere ire i e a o", "pt": "amentos amento ações ação mente adas ados ando endo ada ado es as os ar er ir a e o s",
-    "nl": "heden ingen heid ing en er e s", "sv": "heterna heten arna erna orna ade ande ast are en et ar er or a e s", "da": "erne ende ede ene en et er e s", "no": "ene ende ede en et er e a s",
-    "ru": "иями ями ами ость ого ему ыми ими ией ию ая ое ые ий ый ой ам ах ов ев ть ла ло ли а е и о у ы ь я ю", "tr": "larının lerinin larda lerde lardan lerden ların lerin lar ler dan den da de ın in un ün ı i u ü",
-    "fi": "issa issä ista istä ille ilta iden jen ssa ssä sta stä lle lta na nä en n a ä t", "hu": "okat eket ökat oknak eknek ban ben nak nek ból ből ok ek ök t k",
-}
-
-
-def stem(word: str, language: str) -> str:
-    """The word without its longest known ending; unknown languages are treated as English."""
-    for e in _endings().get(language, _endings()["en"]):
-        if word.endswith(e) and len(word) - len(e) >= 3:
-            return word[: -len(e)]
-    return word
-
-
-_cache: dict[str, list[str]] = {}
-
-
-def _endings() -> dict[str, list[str]]:
-    if not _cache:
-        _cache.update({k: v.split() for k, v in ENDINGS.items()})
-    return _cache
-
-
 DENSE = 400  # sentences up to which one matrix holds all similarities
 WIDE = 2_000_000  # numbers of a sparse product that are held at a time
 

@@ -171,3 +171,26 @@ def test_marks_and_broken_bytes():
     assert detect("\ufeffx".encode("utf-8")) == "utf-8" and detect("\ufeffé".encode("utf-16-le")) == "utf-16-le"
     assert detect(b"\x00") == "utf-8" and detect(bytes(range(128, 256)))
     assert detect((RU + "ю").encode("utf-8")[:-1]) == "utf-8" and detect(b"\x93quoted\x94") == "windows-1252"
+
+
+STEMS = {
+    "en": {"generously": "generous", "consistency": "consist", "knightly": "knight", "skies": "sky", "hopping": "hop", "hoping": "hope", "happy": "happi", "ties": "tie", "cries": "cri", "relational": "relat", "nationally": "nation", "troubles": "troubl", "agreed": "agre", "by": "by", "say": "say", "communism": "communism", "herring": "herring", "controlling": "control", "adjustable": "adjust"},
+    "de": {"häuser": "haus", "aufeinanderfolge": "aufeinanderfolg", "kategorien": "kategori", "straße": "strass", "freundlichkeit": "freundlich", "zeitungen": "zeitung"},
+    "sv": {"jaktkarlarne": "jaktkarl", "klostergården": "klostergård", "möjligheten": "möj"}, "da": {"undersøgelse": "undersøg", "indtage": "indtag"}, "no": {"havnedistriktene": "havnedistrikt", "opning": "opning"},
+    "fr": {"chantées": "chant"}, "ru": {"книгами": "книг"}, "xx": {"walks": "walk"},
+}
+
+
+@pytest.mark.parametrize("lang", sorted(STEMS))
+def test_stems_of_languages(lang):
+    assert {w: S.stem(w, lang) for w in STEMS[lang]} == STEMS[lang]
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "sv", "da", "no", "fr", "fi"])
+def test_stems_never_grow_or_vanish(lang):
+    import random
+
+    rnd = random.Random(6)
+    for _ in range(3000):
+        w = "".join(rnd.choice("abcdeghilnorstuyäöåéæøn") for _ in range(rnd.randint(1, 12)))
+        assert 0 < len(S.stem(w, lang)) <= len(w) + 1
