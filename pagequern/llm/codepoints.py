@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 2_000_000  # bytes of text of which arrays are made at a time
+PIECE = 1_000_000  # bytes of text of which arrays are made at a time
 
 
 def from_arrow(col) -> tuple[np.ndarray, np.ndarray]:

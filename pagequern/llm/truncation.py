@@ -123,15 +123,21 @@ def open_statement(code: str) -> bool:
     return bool(depth)
 
 
-@functools.lru_cache(1 << 16)
 def last_tokens(line: str) -> list[str]:
-    """The last four tokens of a line, with numbers by their form; many lines recur, so results are shared."""
+    """The last four tokens of a line, with numbers by their form; short lines recur, so their results are shared."""
+    return _shared_tokens(line) if len(line) <= 80 else _last_tokens(line)
+
+
+def _last_tokens(line: str) -> list[str]:
     got = TOKEN.findall(line[-160:]) if len(line) > 160 else []
     if len(got) < 5:  # the first of these may be a part
         got = TOKEN.findall(line)
     return [shape(x) for x in got[-4:]]
 
 
+_shared_tokens = functools.lru_cache(1 << 14)(_last_tokens)
+
+
 def closing(kind: str, text: str, statement: bool = True) -> tuple[str, list[str], bool]:
     """(kind of line, last tokens in order, statement open if asked) of a cell's end."""
     t = text.rstrip()
@@ -390,14 +396,12 @@ class Terminality:
         def run_cells(pdfs):
             for pdf in pdfs:
                 out: dict[tuple[str, str], int] = {}
-                for cs in pdf["closings"]:
-                    for c in cs if cs is not None else ():
-                        m = mask(list(c["toks"]))
-                        ks = keys(c["kind"], m)
-                        if c["kind"] == "heading" and len(c["toks"]):
-                            ks.append(("heading", "1" + c["toks"][-1].lower()))
-                        for k in ks:
-                            out[k] = out.get(k, 0) + 1
+                for kind, toks in zip(pdf["kind"], pdf["toks"]):
+                    ks = keys(kind, mask(list(toks)))
+                    if kind == "heading" and len(toks):
+                        ks.append(("heading", "1" + toks[-1].lower()))
+                    for k in ks:
+                        out[k] = out.get(k, 0) + 1
                 if out:
                     yield pd.DataFrame([(*k, v) for k, v in out.items()], columns=["kind", "k", "n"])
 
@@ -415,7 +419,7 @@ class Terminality:
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "same", "src", "size", "fragment", "kind", "full", "k3", "k2", "state", "bare_state", "word", "opened", "k1", "form", "lone"])
 
-        cells = self.d.select("closings").mapInPandas(run_cells, "kind string, k string, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
+        cells = self.d.select(F.explode("closings").alias("c")).select("c.kind", "c.toks").mapInPandas(run_cells, "kind string, k string, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
         last = self.d.select("doc_id", "same", F.coalesce("src", F.lit(ANY)).alias("src"), "size", "last").mapInPandas(run_last, "doc_id long, same binary, src string, size long, fragment boolean, kind string, full boolean, k3 string, k2 string, state string, bare_state string, word string, opened boolean, k1 string, form string, lone boolean")
         # only hashes of closings are exchanged; both are joined several times
         cells = cells.select("kind", F.xxhash64("kind", "k").alias("k"), F.col("k").startswith("3").alias("three"), "n")
